@@ -162,3 +162,15 @@ def anomaly_status(pct) -> Column:
     """A18 row status: Critical above 5 %, Warning above 2 %, else Normal."""
     pct = _c(pct)
     return F.when(pct > 5, "Critical").when(pct > 2, "Warning").otherwise("Normal")
+
+
+def round_half_up(x, digits: int) -> Column:
+    """floor(x·10^d + 0.5) / 10^d.
+
+    Spark's ``round`` rounds the shortest decimal text of a double half-up
+    (0.01045 -> 0.0105) while Python and DuckDB round the exact binary value
+    (-> 0.0104).  This form is evaluated the same way in IEEE arithmetic by
+    every engine and matches Python on such values.
+    """
+    scale = float(10 ** digits)
+    return F.floor(_c(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)

@@ -101,46 +101,74 @@ def lag_columns(df_columns: Sequence[str], specs: dict) -> tuple[callable, int]:
 
 
 def ewm_columns(df_columns: Sequence[str], specs: dict) -> tuple[callable, int]:
-    """Adjusted EWM mean Σ q^i x_{t-i} / Σ q^i over present terms."""
+    """Adjusted EWM mean Σ q^i x_{t-i} / Σ q^i over present terms.
+
+    The horizon sum is split in two levels so the plan holds ~2·sqrt(H) lags
+    instead of H: y_t = Σ_{r<B} q^r x_{t-r} (first window pass), then
+    N_t = Σ_{b<K} q^{Bb} y_{t-Bb} (second pass over the same partitioning).
+    The denominator uses the same form on a presence indicator.
+    """
     horizon = 0
     for _, (span, _name) in specs.items():
         horizon = max(horizon, ewm_horizon(span))
 
-    def build(w: Window) -> list[Column]:
-        out = []
+    def build(w: Window) -> list[list[Column]]:
+        first, second = [], []
         for col, (span, name) in specs.items():
             if col not in df_columns:
                 continue
             q = 1.0 - 2.0 / (span + 1.0)
             n_terms = ewm_horizon(span)
+            block = max(1, int(math.ceil(math.sqrt(n_terms))))
+            n_blocks = int(math.ceil(n_terms / block))
             num, den = F.lit(0.0), F.lit(0.0)
-            weight = 1.0
-            for i in range(n_terms):
-                x = F.col(col) if i == 0 else F.lag(col, i).over(w)
-                num = num + F.coalesce(x, F.lit(0.0)) * F.lit(weight)
-                den = den + F.when(x.isNotNull(), F.lit(weight)).otherwise(F.lit(0.0))
-                weight *= q
-            out.append(F.when(den > 0, num / den).alias(name))
-        return out
+            for r in range(block):
+                x = F.col(col) if r == 0 else F.lag(col, r).over(w)
+                num = num + F.coalesce(x, F.lit(0.0)) * F.lit(q ** r)
+                den = den + F.when(x.isNotNull(), F.lit(q ** r)).otherwise(F.lit(0.0))
+            first += [num.alias(f"_ewn_{name}"), den.alias(f"_ewd_{name}")]
+            tn, td = F.lit(0.0), F.lit(0.0)
+            for b in range(n_blocks):
+                yn = F.col(f"_ewn_{name}") if b == 0 else F.lag(f"_ewn_{name}", b * block).over(w)
+                yd = F.col(f"_ewd_{name}") if b == 0 else F.lag(f"_ewd_{name}", b * block).over(w)
+                tn = tn + F.coalesce(yn, F.lit(0.0)) * F.lit(q ** (b * block))
+                td = td + F.coalesce(yd, F.lit(0.0)) * F.lit(q ** (b * block))
+            second.append(F.when(td > 0, tn / td).alias(name))
+        return [first, second] if first else []
     return build, horizon
 
 
+def _drop_helpers(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_ewn_") or c.startswith("_ewd_")])
+
+
 def _apply(df: DataFrame, builders: list, order_by, partition_by, mode: str,
-           num_chunks: int | None) -> DataFrame:
+           num_chunks: int | None, keep_layout: bool = False) -> DataFrame:
     order_by = list(order_by)
     partition_by = list(partition_by or [])
     horizon = max([h for _, h in builders] or [0])
 
     def build(w):
-        cols = []
+        passes: list[list[Column]] = [[]]
         for b, _ in builders:
-            cols += b(w)
-        return cols
+            cols = b(w)
+            if cols and isinstance(cols[0], list):
+                for i, group in enumerate(cols):
+                    if i >= len(passes):
+                        passes.append([])
+                    passes[i] += group
+            else:
+                passes[0] += cols
+        return passes
 
     if mode == "native" and partition_by:
         w = Window.partitionBy(*partition_by).orderBy(*order_by)
-        return df.select("*", *build(w))
-    return ordering.bounded_window(df, order_by, partition_by, build, horizon, num_chunks)
+        out = df
+        for cols in build(w):
+            out = out.select("*", *cols)
+        return _drop_helpers(out)
+    out = ordering.bounded_window(df, order_by, partition_by, build, horizon, num_chunks, keep_layout)
+    return _drop_helpers(out)
 
 
 def rolling(df: DataFrame, specs: dict | None = None, windows: Sequence[int] = (6,),
@@ -193,8 +221,7 @@ def fill_nulls(df: DataFrame, columns: Sequence[str], order_by=DEFAULT_ORDER,
             df = df.select(*[F.last(c, ignorenulls=True).over(fwd).alias(c) if c in columns else F.col(c)
                              for c in df.columns])
         else:
-            df = ordering.fill_carry(df, columns, order_by, partition_by, "backward", num_chunks)
-            df = ordering.fill_carry(df, columns, order_by, partition_by, "forward", num_chunks)
+            df = ordering.fill_carry(df, columns, order_by, partition_by, "both", num_chunks)
     return df.dropna() if drop_remaining else df
 
 
@@ -219,12 +246,16 @@ def retain_last_n(df: DataFrame, n: int, order_by=DEFAULT_ORDER, partition_by=DE
 def feature_pipeline(df: DataFrame, cfg: FeatureConfig | None = None, order_by=DEFAULT_ORDER,
                      partition_by=DEFAULT_PARTITION, mode: str = "chunked",
                      num_chunks: int | None = None, fill: bool = True) -> DataFrame:
-    """Rolling grid + lags + derived + EWM in one ordered pass, then null repair."""
+    """Rolling grid + lags + derived + EWM in one ordered pass, then null repair.
+
+    Chunked form: one range layout is shared by the windows and both fills, and
+    every window runs on the same (chunk, machine) partitioning.
+    """
     cfg = cfg or FeatureConfig()
     cols = df.columns
     builders = [rolling_columns(cols, cfg.rolling, cfg.windows), lag_columns(cols, cfg.lags),
                 ewm_columns(cols, cfg.ewm)]
-    out = derived(_apply(df, builders, order_by, partition_by, mode, num_chunks))
+    out = derived(_apply(df, builders, order_by, partition_by, mode, num_chunks, keep_layout=True))
     if fill:
         out = fill_nulls(out, fill_columns(out, cfg.fill_patterns), order_by, partition_by, mode, num_chunks)
-    return out
+    return out.drop(*[c for c in (ordering.CHUNK, ordering.LPOS, ordering.POS) if c in out.columns])

@@ -89,17 +89,25 @@ def with_halo(placed: DataFrame, chunks: DataFrame, halo: int) -> DataFrame:
 
 def bounded_window(df: DataFrame, order_by: Sequence, partition_by: Sequence,
                    build: Callable[[Window], list[Column]], halo: int,
-                   num_chunks: int | None = None) -> DataFrame:
+                   num_chunks: int | None = None, keep_layout: bool = False) -> DataFrame:
     """Apply window columns whose frames look back at most ``halo`` rows.
 
-    ``build(w)`` receives the ordered window spec and returns aliased columns.
-    Works for the global order (``partition_by`` empty) and for skewed groups.
+    ``build(w)`` receives the ordered window spec and returns aliased columns;
+    it may also return a list of lists, evaluated as successive window passes
+    over the same (chunk, group) partitioning (no extra exchange).  Works for
+    the global order (``partition_by`` empty) and for skewed groups.  With
+    ``keep_layout`` the chunk columns stay so that ``fill_carry`` can reuse them.
     """
     placed, chunks = sorted_layout(df, order_by, partition_by, num_chunks)
     rows = with_halo(placed, chunks, halo)
     w = Window.partitionBy(CHUNK, *_cols(partition_by)).orderBy(*_cols(order_by))
-    out = rows.select("*", *build(w)).filter(~F.col(HALO))
-    return out.drop(CHUNK, LPOS, POS, HALO)
+    passes = build(w)
+    if passes and not isinstance(passes[0], list):
+        passes = [passes]
+    for cols in passes:
+        rows = rows.select("*", *cols)
+    out = rows.filter(~F.col(HALO)).drop(HALO)
+    return out if keep_layout else out.drop(CHUNK, LPOS, POS)
 
 
 def _group_struct(partition_by: Sequence) -> Column:
@@ -156,49 +164,66 @@ def row_position(df: DataFrame, order_by: Sequence, partition_by: Sequence = (),
 
 def fill_carry(df: DataFrame, columns: Sequence[str], order_by: Sequence, partition_by: Sequence = (),
                direction: str = "forward", num_chunks: int | None = None) -> DataFrame:
-    """Forward (last non-null before) or backward (next non-null after) fill.
-
-    Within a chunk a running ``last(ignorenulls)`` frame does the work (linear,
-    the backward form runs over the reversed order instead of an unbounded
-    following frame, which Spark would recompute per row).  Across chunks the
-    nearest non-null value is folded on the per-chunk summary.
+    """Forward fill, backward fill, or ``both`` (back-fill, then forward-fill).
+
+    Back-fill followed by forward-fill equals ``coalesce(next non-null at or
+    after, last non-null before)`` on the original values, so ``both`` needs a
+    single summary pass.  Within a chunk a running ``last(ignorenulls)`` frame
+    does the work (the backward form runs over the reversed order instead of an
+    unbounded-following frame, which Spark would recompute per row).  Across
+    chunks the nearest non-null value of the same group is folded on the
+    per-chunk summary (one row per chunk) and broadcast back.
     """
-    placed, chunks = sorted_layout(df, order_by, partition_by, num_chunks)
-    g = _group_struct(partition_by)
-    placed = placed.withColumn("_g", g)
-    back = direction == "backward"
-    local_order = F.col(LPOS).desc() if back else F.col(LPOS).asc()
-    w = (Window.partitionBy(CHUNK, *_cols(partition_by)).orderBy(local_order)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    # per chunk: the group at the edge facing the next chunk and its extreme non-null value
-    edge_fn = F.min_by if back else F.max_by
-    aggs = [edge_fn("_g", LPOS).alias("_edge"), (F.max_by if back else F.min_by)("_g", LPOS).alias("_inner")]
+    if CHUNK in df.columns and LPOS in df.columns:
+        placed = df  # already laid out (e.g. by bounded_window(keep_layout=True))
+    else:
+        placed, _ = sorted_layout(df, order_by, partition_by, num_chunks)
+    keep = CHUNK in df.columns
+    columns = list(columns)
+    dirs = ["backward", "forward"] if direction == "both" else [direction]
+    placed = placed.withColumn("_g", _group_struct(partition_by))
+    aggs = [F.min_by("_g", LPOS).alias("_gfirst"), F.max_by("_g", LPOS).alias("_glast")]
     for c in columns:
-        aggs.append(edge_fn(F.struct(F.col("_g").alias("g"), F.col(c).alias("v")),
-                            F.when(F.col(c).isNotNull(), F.col(LPOS))).alias(f"_e_{c}"))
+        present = F.when(F.col(c).isNotNull(), F.col(LPOS))
+        pair = F.struct(F.col("_g").alias("g"), F.col(c).alias("v"))
+        aggs += [F.min_by(pair, present).alias(f"_fn_{c}"), F.max_by(pair, present).alias(f"_ln_{c}")]
     summary = placed.groupBy(CHUNK).agg(*aggs)
-    # carry for chunk c: nearest non-null of the group facing c, from chunks before (forward) / after (backward)
-    order = F.col(CHUNK).desc() if back else F.col(CHUNK).asc()
-    sel = [CHUNK, F.col("_inner").alias("_cg")]
-    for c in columns:
-        val = F.when(F.col(f"_e_{c}.g") == F.col("_edge"), F.col(f"_e_{c}.v"))
-        summary = summary.withColumn(f"_v_{c}", val)
-    for c in columns:
-        carried = F.last(f"_v_{c}", ignorenulls=True).over(
-            Window.partitionBy("_edge").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-        summary = summary.withColumn(f"_k_{c}", carried)
-    # value reaches chunk c only when c's inner-facing group equals the group whose carry we took
-    lookup = Window.orderBy(order)
-    for c in columns:
-        take = F.when(F.lag("_edge").over(lookup) == F.col("_inner"),
-                      F.coalesce(F.lag(f"_v_{c}").over(lookup), F.lag(f"_k_{c}").over(lookup)))
-        sel.append(take.alias(f"_carry_{c}"))
+    sel = [CHUNK, "_gfirst", "_glast"]
+    for d in dirs:
+        back = d == "backward"
+        # edge group facing the neighbour we borrow from, and its nearest non-null value in this chunk
+        edge = "_gfirst" if back else "_glast"
+        inner = "_glast" if back else "_gfirst"
+        order = F.col(CHUNK).desc() if back else F.col(CHUNK).asc()
+        for c in columns:
+            src = f"_fn_{c}" if back else f"_ln_{c}"
+            summary = summary.withColumn(f"_v{d[0]}_{c}", F.when(F.col(f"{src}.g") == F.col(edge), F.col(f"{src}.v")))
+            summary = summary.withColumn(f"_k{d[0]}_{c}", F.last(f"_v{d[0]}_{c}", ignorenulls=True).over(
+                Window.partitionBy(edge).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+        look = Window.orderBy(order)
+        for c in columns:
+            sel.append(F.when(F.lag(edge).over(look) == F.col(inner), F.lag(f"_k{d[0]}_{c}").over(look))
+                       .alias(f"_carry{d[0]}_{c}"))
     carry = summary.select(*sel)
     out = placed.join(F.broadcast(carry), CHUNK)
+    part = Window.partitionBy(CHUNK, *_cols(partition_by))
+    fwd = part.orderBy(F.col(LPOS).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    bwd = part.orderBy(F.col(LPOS).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    filled = {}
     for c in columns:
-        local = F.last(c, ignorenulls=True).over(w)
-        out = out.withColumn(c, F.coalesce(local, F.when(F.col("_g") == F.col("_cg"), F.col(f"_carry_{c}"))))
-    drop = [CHUNK, LPOS, POS, "_g", "_cg"] + [f"_carry_{c}" for c in columns]
+        parts = []
+        for d in dirs:
+            if d == "backward":
+                parts += [F.last(c, ignorenulls=True).over(bwd),
+                          F.when(F.col("_g") == F.col("_glast"), F.col(f"_carryb_{c}"))]
+            else:
+                parts += [F.last(c, ignorenulls=True).over(fwd),
+                          F.when(F.col("_g") == F.col("_gfirst"), F.col(f"_carryf_{c}"))]
+        filled[c] = F.coalesce(*parts).alias(c)
+    out = out.select(*[filled.get(c, F.col(c)) for c in out.columns])
+    drop = ["_g", "_gfirst", "_glast"] + [c for c in out.columns if c.startswith("_carry")]
+    if not keep:
+        drop += [CHUNK, LPOS, POS]
     return out.drop(*drop)
 
 

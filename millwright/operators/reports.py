@@ -207,22 +207,22 @@ def machine_stats(scored: DataFrame, last_n: int | None = None, trend_rows: int
     trend = mean(last ``trend_rows``) < mean(first ``trend_rows``) -> improving.
     Positions and group sizes come from the skew-safe grouped layout.
     """
-    pos = ordering.row_position(scored, order_by, ["machine_id"], name="_pos", size_name="_size")
+    pos = ordering.row_position(scored, order_by, ["machine_id"], name="_rowpos", size_name="_size")
     if last_n:
-        pos = pos.filter(F.col("_pos") >= F.col("_size") - last_n)
-        pos = pos.withColumn("_pos", F.col("_pos") - F.greatest(F.col("_size") - last_n, F.lit(0))) \
+        pos = pos.filter(F.col("_rowpos") >= F.col("_size") - last_n)
+        pos = pos.withColumn("_rowpos", F.col("_rowpos") - F.greatest(F.col("_size") - last_n, F.lit(0))) \
                  .withColumn("_size", F.least(F.col("_size"), F.lit(last_n)))
     p = F.col("failure_probability")
     agg = pos.groupBy("machine_id").agg(
         F.count(F.lit(1)).alias("total_predictions"),
         F.round(F.avg(p), 4).alias("average_failure_probability"),
-        F.round(F.max(p), 4).alias("max_failure_probability"),
-        F.round(F.min(p), 4).alias("min_failure_probability"),
+        rules.round_half_up(F.max(p), 4).alias("max_failure_probability"),
+        rules.round_half_up(F.min(p), 4).alias("min_failure_probability"),
         F.round(F.stddev_pop(p), 4).alias("std_failure_probability"),
         *[F.count_if(F.col("risk_level") == name).alias(name.lower()) for name in rules.RISK_LEVELS],
         F.max_by(F.struct(*order_by, "failure_probability", "risk_level"), _latest_struct(order_by)).alias("_latest"),
-        F.avg(F.when(F.col("_pos") >= F.col("_size") - trend_rows, p)).alias("_last"),
-        F.avg(F.when(F.col("_pos") < trend_rows, p)).alias("_first"),
+        F.avg(F.when(F.col("_rowpos") >= F.col("_size") - trend_rows, p)).alias("_last"),
+        F.avg(F.when(F.col("_rowpos") < trend_rows, p)).alias("_first"),
     )
     return agg.select(
         "machine_id", "total_predictions", "average_failure_probability", "max_failure_probability",

@@ -57,7 +57,7 @@ RESOLUTIONS = """SELECT machine_id, max(ts) AS resolved_timestamp, 'team' AS res
 FROM sensors WHERE machine_id % 3 = 0 GROUP BY machine_id"""
 
 REGISTRY = """SELECT machine_id, min(ts) AS created_timestamp, max(ts) AS last_seen, 'OPERATIONAL' AS status,
-       printf('Floor %d, Section %d', (machine_id-1)//10 + 1, (machine_id-1)%10 + 1) AS location,
+       printf('Floor %d, Section %d', CAST(floor((machine_id-1)/10) AS BIGINT) + 1, ((machine_id-1)%10 + 10)%10 + 1) AS location,
        CASE machine_id % 3 WHEN 0 THEN 'Industrial Robot Arm' WHEN 1 THEN 'CNC Machine'
             ELSE 'Hydraulic Press' END AS type
 FROM sensors GROUP BY machine_id"""

@@ -229,7 +229,7 @@ def _feature_sql():
 , ewm AS (SELECT a.event_id, sum(pow({q!r}, a.rn - b.rn) * b.rotational_speed) / sum(pow({q!r}, a.rn - b.rn)) AS rpm_ema
           FROM numbered a JOIN numbered b ON a.machine_id = b.machine_id AND b.rn <= a.rn
           GROUP BY a.event_id)
-, raw AS (SELECT s.event_id, s.machine_id, s.ts,
+, raw AS (SELECT event_id, machine_id, ts,
     avg(air_temp) OVER w AS air_temp_mean_6, avg(process_temp) OVER w AS process_temp_mean_6,
     stddev_samp(rotational_speed) OVER w AS rpm_std_6, stddev_samp(torque) OVER w AS torque_std_6,
     lag(air_temp, 1) OVER ({W_MACHINE}) AS air_temp_lag1, lag(air_temp, 2) OVER ({W_MACHINE}) AS air_temp_lag2,
