@@ -1,2 +1,213 @@
-"""placeholder"""
-QUERIES = {}
+"""Registered model queries: scaling, weights, scoring, votes, attributions (O)
+and trained Spark ML models (R: rows-only, no exact SQL equivalent)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from ..functions import rules
+from ..operators import attribution, cleaning, ordering
+from ..operators.features import MODEL_FEATURES
+from ..plans import scoring, training
+from ..plans.scoring import LINEAR_MODELS, linear_logit_sql
+from ..sources import messages
+from .base_sql import with_views
+from .sources_q import _live_readings
+
+SENS = ", ".join(rules.SENSORS)
+M1 = LINEAR_MODELS["m1"]
+
+# Light fit settings for the registered (verification) runs; library defaults are the reference's.
+LIGHT = {"lr": {"maxIter": 100}, "rf": {"numTrees": 40, "maxDepth": 8},
+         "gbt": {"maxIter": 20, "maxDepth": 4}, "gbt_b": {"maxIter": 20, "maxDepth": 4, "maxBins": 64}}
+
+
+def q_standard_scale(spark, d):
+    s = ordering.time_split(fx.sensors(spark, d).select("event_id", "ts", *rules.SENSORS), ["ts", "event_id"], 0.2)
+    scaler = training.fit_scaler(s.filter(F.col("split") == "train"), rules.SENSORS)
+    out = training.apply_scaler(s, scaler, rules.SENSORS)
+    return out.select("event_id", *[F.round(c, 6).alias(c) for c in rules.SENSORS])
+
+
+def _scale_sql():
+    stats = ", ".join(f"avg({c}) AS mu_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0e0 END AS sd_{c}"
+                      for c in rules.SENSORS)
+    cols = ", ".join(f"round(({c} - mu_{c}) / sd_{c}, 6) AS {c}" for c in rules.SENSORS)
+    return with_views(f"""
+, n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS total FROM sensors)
+, st AS (SELECT {stats} FROM n WHERE pos < CAST(floor(total * 0.8e0) AS BIGINT))
+SELECT event_id, {cols} FROM n, st""", "sensors")
+
+
+def q_class_weights(spark, d):
+    return training.class_weights(fx.sensors(spark, d))
+
+
+SQL_WEIGHTS = with_views("""
+SELECT machine_failure AS class, count(*) AS count, (SELECT count(*) FROM sensors) / (2.0e0 * count(*)) AS weight
+FROM sensors GROUP BY machine_failure""", "sensors")
+
+
+def q_score_linear(spark, d):
+    return fx.predictions(spark, d).select("event_id", "prediction", "failure_probability", "normal_probability",
+                                           "risk_level")
+
+
+SQL_SCORE = with_views("""
+SELECT event_id, prediction, failure_probability, normal_probability, risk_level FROM predictions""", "predictions")
+
+
+def q_ensemble_votes(spark, d):
+    return fx.predictions(spark, d).select("event_id", "vote_m2", "vote_m1", "vote_m3", "vote_m4",
+                                           "ensemble_agreement")
+
+
+SQL_VOTES = with_views("""
+SELECT event_id, vote_m2, vote_m1, vote_m3, vote_m4, ensemble_agreement FROM predictions""", "predictions")
+
+
+def q_score_live(spark, d):
+    """Live readings -> model schema (engineered features 0) -> score."""
+    accepted, _ = messages.live_ingest(_live_readings(spark, d))
+    aligned = accepted.select("machine_id", "received_at", *[
+        F.col(c).cast("double").alias(c) if c in accepted.columns else F.lit(0.0).alias(c) for c in MODEL_FEATURES])
+    scored = scoring.score_linear(aligned)
+    return scored.select("machine_id", "received_at", "failure_probability", "risk_level", "ensemble_agreement")
+
+
+def _live_score_sql():
+    chosen = linear_logit_sql(M1)
+    return with_views(f"""
+, live AS (SELECT trim(' machine_' || CAST(machine_id AS VARCHAR)) AS machine_id, ts AS received_at, air_temp,
+                  process_temp, rotational_speed, CASE WHEN event_id % 5 = 0 THEN 0.0e0 ELSE torque END AS torque,
+                  tool_wear FROM sensors WHERE event_id % 7 <> 0)
+, sc AS (SELECT *, ROUND(1.0e0/(1.0e0+EXP(-({chosen}))), 6) AS failure_probability,
+    {' + '.join(['1'] + [f"CASE WHEN (CASE WHEN {linear_logit_sql(LINEAR_MODELS[m])} >= 0 THEN 1 ELSE 0 END) = (CASE WHEN {linear_logit_sql(LINEAR_MODELS['m2'])} >= 0 THEN 1 ELSE 0 END) THEN 1 ELSE 0 END" for m in ('m1', 'm3', 'm4')])} AS same
+  FROM live)
+SELECT machine_id, received_at, failure_probability,
+       CASE WHEN failure_probability >= 0.8e0 THEN 'CRITICAL' WHEN failure_probability >= 0.5e0 THEN 'HIGH'
+            WHEN failure_probability >= 0.3e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+       ROUND(same / 4.0e0, 2) AS ensemble_agreement FROM sc""", "sensors")
+
+
+def _linear_long(spark, d):
+    return attribution.linear_attribution(fx.sensors(spark, d), M1)
+
+
+def q_linear_attribution(spark, d):
+    return _linear_long(spark, d).select("event_id", "feature", F.round("phi", 6).alias("phi"))
+
+
+def _phi_sql():
+    names = ["torque", "tool_wear", "air_temp", "process_temp", "rotational_speed"]
+    means = ", ".join(f"avg({n}) AS mu_{n}" for n in names)
+    unions = " UNION ALL ".join(
+        f"SELECT event_id, '{n}' AS feature, {w!r}e0 * ({n} - mu_{n}) AS phi FROM sensors, m"
+        if "e" not in repr(w) else f"SELECT event_id, '{n}' AS feature, {w!r} * ({n} - mu_{n}) AS phi FROM sensors, m"
+        for w, n in zip(M1[1:], names))
+    return f"""
+, m AS (SELECT {means} FROM sensors)
+, phi AS ({unions})"""
+
+
+SQL_PHI = with_views(_phi_sql() + "\nSELECT event_id, feature, round(phi, 6) AS phi FROM phi", "sensors")
+
+
+def q_top3_attribution(spark, d):
+    return attribution.top_k_attribution(_linear_long(spark, d), 3)
+
+
+SQL_TOP3 = with_views(_phi_sql() + """
+SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank,
+       feature, round(phi, 4) AS impact FROM phi
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(phi) DESC, feature) <= 3""", "sensors")
+
+
+def q_global_importance(spark, d):
+    return attribution.global_importance(_linear_long(spark, d)).select(
+        "feature", F.round("mean_abs_shap", 6).alias("mean_abs_shap"))
+
+
+SQL_GLOBAL = with_views(_phi_sql() + """
+SELECT feature, round(avg(abs(phi)), 6) AS mean_abs_shap FROM phi GROUP BY feature""", "sensors")
+
+
+# --- trained models (rows-only checks) ---------------------------------------------------------
+def _split(spark, d):
+    frame = training.training_frame(fx.sensors(spark, d))
+    return training.time_split(frame)
+
+
+def _train(spark, d, kind):
+    train, test = _split(spark, d)
+    if kind == "lr" or kind == "rf":
+        train = training.with_weights(train, training.class_weights(train))
+    else:
+        train = training.with_pos_weight(train)
+    model = training.fit(train, MODEL_FEATURES, kind, LIGHT[kind])
+    return training.evaluate(model, test, MODEL_FEATURES).select(F.lit(kind).alias("model"), "*")
+
+
+def q_train_lr(spark, d):
+    return _train(spark, d, "lr")
+
+
+def q_train_rf(spark, d):
+    return _train(spark, d, "rf")
+
+
+def q_train_gbt(spark, d):
+    return _train(spark, d, "gbt")
+
+
+def q_train_gbt_b(spark, d):
+    return _train(spark, d, "gbt_b")
+
+
+def q_model_roundtrip(spark, d):
+    """M8: a saved and reloaded pipeline scores the test part exactly as the fitted one."""
+    train, test = _split(spark, d)
+    model = training.fit(training.with_pos_weight(train), MODEL_FEATURES, "gbt", {"maxIter": 5, "maxDepth": 3})
+    path = training.save_model(model, spark=spark, name="gbt-model")
+    again = training.load_model(path)
+    a = scoring.score_model(test, model, MODEL_FEATURES).select("event_id", F.col("failure_probability").alias("p1"))
+    b = scoring.score_model(test, again, MODEL_FEATURES).select("event_id", F.col("failure_probability").alias("p2"))
+    return a.join(b, "event_id").select("event_id", "p1", "p2", (F.col("p1") == F.col("p2")).alias("same"))
+
+
+def q_tune_search(spark, d):
+    """M9: seeded random search, each trial one distributed fit (3 trials, capped rounds)."""
+    train, test = _split(spark, d)
+    return training.tune(train, test, MODEL_FEATURES, n_trials=3, max_iter_cap=10)
+
+
+def q_sampled_attribution(spark, d):
+    """Permutation Shapley of the chosen linear scorer on the test part, scored in one pass."""
+    s = cleaning.one_hot(fx.sensors(spark, d), "type", prefix="Type")
+    split = ordering.time_split(s, ["ts", "event_id"], 0.2)
+    test = split.filter(F.col("split") == "test")
+
+    def score(frame):
+        return frame.withColumn("failure_probability", scoring.probability(scoring.linear_logit(M1)))
+    return attribution.sampled_shapley(test, rules.SENSORS, score, split.filter(F.col("split") == "train"),
+                                       n_permutations=4)
+
+
+QUERIES = {
+    "standard_scale": (q_standard_scale, _scale_sql()),
+    "class_weights": (q_class_weights, SQL_WEIGHTS),
+    "score_linear": (q_score_linear, SQL_SCORE),
+    "ensemble_votes": (q_ensemble_votes, SQL_VOTES),
+    "score_live": (q_score_live, _live_score_sql()),
+    "linear_attribution": (q_linear_attribution, SQL_PHI),
+    "top3_attribution": (q_top3_attribution, SQL_TOP3),
+    "global_importance": (q_global_importance, SQL_GLOBAL),
+    "train_lr": (q_train_lr, None),
+    "train_rf": (q_train_rf, None),
+    "train_gbt": (q_train_gbt, None),
+    "train_gbt_b": (q_train_gbt_b, None),
+    "model_roundtrip": (q_model_roundtrip, None),
+    "tune_search": (q_tune_search, None),
+    "sampled_attribution": (q_sampled_attribution, None),
+}
