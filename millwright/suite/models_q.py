@@ -194,6 +194,13 @@ def q_sampled_attribution(spark, d):
                                        n_permutations=4)
 
 
+def q_tree_attribution(spark, d):
+    """Exact path-dependent attributions of a fitted GBT for every test row."""
+    train, test = _split(spark, d)
+    model = training.fit(training.with_pos_weight(train), MODEL_FEATURES, "gbt", {"maxIter": 10, "maxDepth": 3})
+    return attribution.tree_attribution(test, model, MODEL_FEATURES)
+
+
 QUERIES = {
     "standard_scale": (q_standard_scale, _scale_sql()),
     "class_weights": (q_class_weights, SQL_WEIGHTS),
@@ -210,4 +217,5 @@ QUERIES = {
     "model_roundtrip": (q_model_roundtrip, None),
     "tune_search": (q_tune_search, None),
     "sampled_attribution": (q_sampled_attribution, None),
+    "tree_attribution": (q_tree_attribution, None),
 }
