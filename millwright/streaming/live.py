@@ -134,25 +134,26 @@ def _feature_state_fn(window: int = 6, span: float = 6.0):
     def fn(key, frames: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
         if st.exists:
             air, rpm, ew_n, ew_d = st.get
-            air, rpm = list(air), list(rpm)
+            air, rpm = [float(v) for v in air], [float(v) for v in rpm]
         else:
             air, rpm, ew_n, ew_d = [], [], 0.0, 0.0
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = {k: [] for k in ("air_temp_mean_6", "rpm_std_6", "air_temp_lag1", "air_temp_lag2", "rpm_ema")}
-        for a, r in zip(rows["air_temp"].to_numpy(), rows["rotational_speed"].to_numpy()):
-            out["air_temp_lag1"].append(air[-1] if len(air) >= 1 else None)
-            out["air_temp_lag2"].append(air[-2] if len(air) >= 2 else None)
-            air = (air + [float(a)])[-window:]
-            rpm = (rpm + [float(r)])[-window:]
-            out["air_temp_mean_6"].append(float(pd.Series(air).mean()))
-            s = pd.Series(rpm).std()
-            out["rpm_std_6"].append(None if pd.isna(s) else float(s))
-            ew_n, ew_d = q * ew_n + float(r), q * ew_d + 1.0
-            out["rpm_ema"].append(ew_n / ew_d)
-        st.update((air, rpm, ew_n, ew_d))
+        k = len(air)
+        # carried history + this batch, vectorised rolling / lag (history gives the look-back)
+        a_all = pd.Series(air + rows["air_temp"].astype(float).tolist())
+        r_all = pd.Series(rpm + rows["rotational_speed"].astype(float).tolist())
         res = rows[["event_id", "machine_id", "ts"]].copy()
-        for k, v in out.items():
-            res[k] = pd.array(v, dtype="Float64")
+        res["air_temp_mean_6"] = pd.array(a_all.rolling(window, min_periods=1).mean().to_numpy()[k:], dtype="Float64")
+        res["rpm_std_6"] = pd.array(r_all.rolling(window, min_periods=1).std().to_numpy()[k:], dtype="Float64")
+        res["air_temp_lag1"] = pd.array(a_all.shift(1).to_numpy()[k:], dtype="Float64")
+        res["air_temp_lag2"] = pd.array(a_all.shift(2).to_numpy()[k:], dtype="Float64")
+        # the EWM recurrence carries (N, D) across batches: N' = qN + x, D' = qD + 1
+        ema = []
+        for r in r_all.to_numpy()[k:]:
+            ew_n, ew_d = q * ew_n + float(r), q * ew_d + 1.0
+            ema.append(ew_n / ew_d)
+        res["rpm_ema"] = pd.array(ema, dtype="Float64")
+        st.update((a_all.tolist()[-window:], r_all.tolist()[-window:], ew_n, ew_d))
         yield res
     return fn
 
