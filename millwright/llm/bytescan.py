@@ -12,6 +12,7 @@ import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_SHORT = np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)  # marks sequences shorter than a shingle
 _SHINGLE_BASE = np.uint64(0xD1342543DE82EF95)
 
 
@@ -116,7 +117,7 @@ def shingles(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     out[whole] = rolled[pos[whole]]
     for d in np.flatnonzero((n_words > 0) & (n_words < k)):
         part = w[first[d]: first[d + 1]]
-        out[out_at[d]] = (part * scale[: len(part)]).sum(dtype=np.uint64) + np.uint64(len(part)) * np.uint64(0xA0761D6478BD642F)
+        out[out_at[d]] = (part * scale[: len(part)]).sum(dtype=np.uint64) ^ _SHORT[len(part) % len(_SHORT)]
     return mix(out), out_at
 
 

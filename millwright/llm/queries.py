@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .chat_format import conversation_turns, format_preferences, stale_reply_pairs
 from .common import table
+from .crosspoly import near_duplicate_vectors
 from .html_extract import extract_main_text
 from .mixing import mix_sources
 from .packing import pack_documents
+from .pu_quality import score_quality, train_quality
 from .token_rollups import TokenRollup, maintain_token_counts
+from .topk_search import top_k
 
 
 def _tokenizer(name: str) -> str:
@@ -50,15 +53,54 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.filter("vec_id % 20 = 0"))
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS y FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.y, x.y) AS BIGINT) AS score
+           FROM v q JOIN v x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
     return maintain_token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), rollup)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a AS node, b AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+least_seen AS (SELECT node, min(seen) AS m FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(m.m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(m.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counted c ON c.a = e.vec_id LEFT JOIN least_seen m ON m.node = e.vec_id
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -88,7 +130,10 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 QUERIES = {
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
     "op3_packing": (op3_packing, None),
+    "op4_topk_search": (op4_topk_search, OP4_SQL),
     "op5_html_extraction": (op5_html_extraction, None),
+    "op6_quality_classifier": (op6_quality_classifier, None),
     "op7_token_counts": (op7_token_counts, None),
+    "op8_embedding_near_dedup": (op8_embedding_near_dedup, OP8_SQL),
     "op9_mixing": (op9_mixing, OP9_SQL),
 }
