@@ -11,6 +11,7 @@ from .common import table
 from .crosspoly import near_duplicate_vectors
 from .html_extract import extract_main_text
 from .mixing import mix_sources
+from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
 from .pu_quality import score_quality, train_quality
 from .token_rollups import TokenRollup, maintain_token_counts
@@ -22,6 +23,26 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM worded WHERE len(w) > 0),
+grams AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM placed),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+reach AS (SELECT a AS node, b AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+least_seen AS (SELECT node, min(seen) AS m FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id, coalesce(c.n, 0) AS n_links
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_seen m ON m.node = d.doc_id LEFT JOIN counted c ON c.a = d.doc_id
+"""
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and masked completions per conversation with a reply; spans as text."""
     pairs = stale_reply_pairs(conversation_turns(table(spark, sf_dir, "conversations")))
@@ -128,6 +149,7 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, OP1_SQL),
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
     "op3_packing": (op3_packing, None),
     "op4_topk_search": (op4_topk_search, OP4_SQL),
