@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import by_block, forest, paired_blocks
@@ -306,6 +306,18 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     return out.unionByName(_without_id(rows.filter("doc_id is null"), k))
 
 
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without those that reach a smaller doc_id by links; of repeated rows one stays.
+
+    Rows without doc_id link with nothing and all stay.  Ids are taken to name documents: different
+    texts under one id stay or go together.
+    """
+    first = ngram_jaccard_join(docs, k, percent).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi")
+    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    return kept.withColumn("_again", again).filter("_again = 1").drop("_again").unionByName(docs.filter("doc_id is null"))
+
+
 def _without_id(rows: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:

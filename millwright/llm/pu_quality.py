@@ -216,3 +216,12 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
     rows = docs.select(*keep, F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("text").alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
     return rows.mapInArrow(run, schema + ", score double, predicted int")
+
+
+def good_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
+    """The documents whose score reaches the threshold, with all of their columns."""
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                yield part.filter(pa.array(model.score(part.column(part.schema.get_field_index("text"))) >= threshold))
+    return docs.mapInArrow(run, docs.schema)

@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
 from .pu_quality import score_quality, train_quality
+from .suffix_dedup import remove_repeats
 from .token_rollups import TokenRollup, maintain_token_counts
 from .topk_search import top_k
 
@@ -148,6 +149,12 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 """
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, OP1_SQL),
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
@@ -158,4 +165,5 @@ QUERIES = {
     "op7_token_counts": (op7_token_counts, None),
     "op8_embedding_near_dedup": (op8_embedding_near_dedup, OP8_SQL),
     "op9_mixing": (op9_mixing, OP9_SQL),
+    "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
 }
