@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import reports, state
+from ..session import scratch_path
 from .base_sql import with_views
 
 CUT = "2024-01-08 00:00:00"
@@ -22,7 +23,8 @@ def q_upsert_predictions(spark, d):
 
 SQL_UPSERT = with_views("""
 SELECT id, "timestamp", machine_id, failure_probability, risk_level FROM machine_failures
-QUALIFY row_number() OVER (PARTITION BY date_trunc('day', "timestamp"), machine_id ORDER BY id DESC) = 1""",
+QUALIFY row_number() OVER (PARTITION BY date_trunc('day', "timestamp"), machine_id
+                           ORDER BY "timestamp" >= TIMESTAMP '2024-01-08 00:00:00' DESC, id DESC) = 1""",
                         "machine_failures")
 
 
@@ -55,12 +57,14 @@ def q_resolve_failures(spark, d):
 
 
 RESOLVED_SQL = """SELECT f.id, f."timestamp", f.machine_id, f.prediction, f.risk_level,
-       CASE WHEN f.resolved = 0 AND r.machine_id IS NOT NULL THEN 1 ELSE f.resolved END AS resolved,
-       CASE WHEN f.resolved = 0 AND r.machine_id IS NOT NULL THEN r.resolved_timestamp ELSE f.resolved_timestamp END
+       CASE WHEN f.hit THEN 1 ELSE f.resolved END AS resolved,
+       CASE WHEN f.hit THEN r.resolved_timestamp ELSE f.resolved_timestamp END
          AS resolved_timestamp,
-       CASE WHEN f.resolved = 0 AND r.machine_id IS NOT NULL THEN r.resolved_by ELSE f.resolved_by END AS resolved_by,
-       CASE WHEN f.resolved = 0 AND r.machine_id IS NOT NULL THEN r.notes ELSE f.notes END AS notes
-FROM machine_failures f LEFT JOIN resolutions r ON f.machine_id = r.machine_id"""
+       CASE WHEN f.hit THEN r.resolved_by ELSE f.resolved_by END AS resolved_by,
+       CASE WHEN f.hit THEN r.notes ELSE f.notes END AS notes
+FROM (SELECT x.*, coalesce(x.resolved = 0 AND x.prediction = 1 AND x."timestamp" <= y.resolved_timestamp, false) AS hit
+      FROM machine_failures x LEFT JOIN resolutions y ON x.machine_id = y.machine_id) f
+LEFT JOIN resolutions r ON f.machine_id = r.machine_id"""
 
 SQL_RESOLVE = with_views(f"""
 SELECT id, machine_id, resolved, resolved_timestamp, resolved_by, notes FROM ({RESOLVED_SQL})""",
@@ -126,8 +130,33 @@ WHERE NOT (resolved = 1 AND resolved_timestamp IS NOT NULL
                        "machine_failures", "resolutions")
 
 
+def q_purge_count(spark, d):
+    """The rows removed and kept by the purge."""
+    now = fx.sensors(spark, d).agg(F.max("ts").alias("_now"))
+    return state.purge_count(_resolved(spark, d).crossJoin(F.broadcast(now)), F.col("_now"), 1)
+
+
+SQL_PURGE_COUNT = with_views(f"""
+, old AS (SELECT coalesce(resolved = 1 AND resolved_timestamp < (SELECT max(ts) FROM sensors) - INTERVAL 1 DAY, false) AS gone
+          FROM ({RESOLVED_SQL}) x)
+SELECT count_if(gone) AS removed, count_if(NOT gone) AS kept FROM old""", "machine_failures", "resolutions")
+
+
+def q_committed_state(spark, d):
+    """U1 and U3 committed as two versions of one table; the reader gets the current one."""
+    mf = fx.machine_failures(spark, d)
+    store = state.VersionedTable(spark, scratch_path(spark, "failure-store"))
+    store.commit(mf)
+    version = store.commit(state.resolve_failures(store.read(), fx.resolutions(spark, d)), expected=1)
+    return store.read().select("id", "machine_id", "resolved", "resolved_by").withColumn("version", F.lit(version))
+
+
+SQL_COMMITTED = with_views(f"""
+SELECT id, machine_id, resolved, resolved_by, 2 AS version FROM ({RESOLVED_SQL}) x""", "machine_failures", "resolutions")
+
+
 def q_store_statistics(spark, d):
-    return reports.store_statistics(_resolved(spark, d))
+    return reports.store_statistics(_resolved(spark, d), fx.registry(spark, d))
 
 
 SQL_STORE = with_views(f"""
@@ -136,7 +165,7 @@ SELECT count_if(prediction = 1) AS total_failures, count_if(resolved = 0 AND pre
        count_if(resolved = 0 AND prediction = 1 AND risk_level = 'HIGH') AS unresolved_high,
        count_if(resolved = 0 AND prediction = 1 AND risk_level = 'MEDIUM') AS unresolved_medium,
        count_if(resolved = 0 AND prediction = 1 AND risk_level = 'LOW') AS unresolved_low,
-       count(DISTINCT machine_id) AS machines FROM ({RESOLVED_SQL}) x""", "machine_failures", "resolutions")
+       (SELECT count(*) FROM registry) AS machines FROM ({RESOLVED_SQL}) x""", "machine_failures", "resolutions", "registry")
 
 
 def q_registry_set_maintenance(spark, d):
@@ -182,6 +211,8 @@ QUERIES = {
     "resolution_upsert": (q_resolution_upsert, SQL_RES_UPSERT),
     "resolved_semi_join": (q_resolved_semi_join, SQL_SEMI),
     "purge_resolved": (q_purge_resolved, SQL_PURGE),
+    "purge_count": (q_purge_count, SQL_PURGE_COUNT),
+    "committed_state": (q_committed_state, SQL_COMMITTED),
     "store_statistics": (q_store_statistics, SQL_STORE),
     "registry_set_maintenance": (q_registry_set_maintenance, SQL_SET_MAINT),
     "registry_set_status": (q_registry_set_status, SQL_SET_STATUS),
