@@ -64,7 +64,7 @@ def target_profile(df: DataFrame, target: str = "machine_failure") -> DataFrame:
                  F.coalesce(F.sum(target), F.lit(0)).cast("long").alias("failures"))
     return agg.select(
         "total_rows", "failures", (F.col("total_rows") - F.col("failures")).alias("normal"),
-        F.round(F.col("failures") / F.col("total_rows") * 100, 4).alias("failure_pct"),
+        F.when(F.col("total_rows") > 0, F.round(F.col("failures") / F.col("total_rows") * 100, 4)).otherwise(F.lit(0.0)).alias("failure_pct"),
         F.round((F.col("total_rows") - F.col("failures")) / F.greatest(F.col("failures"), F.lit(1)), 4)
         .alias("imbalance_ratio"))
 
@@ -75,30 +75,30 @@ def category_counts(df: DataFrame, column: str) -> DataFrame:
         .orderBy(F.col("count").desc(), F.col("value"))
 
 
-def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> DataFrame:
-    """Linear-interpolated quantiles (pandas / ``quantile_cont``) from a distributed sort.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """Linear-interpolated quantiles (pandas / ``quantile_cont``) of all columns in one job.
 
-    Positions come from the range layout; only the <= 2·len(qs) rows at the
-    needed positions are kept, so nothing unbounded reaches one task.
+    Values are counted first (partial aggregation, so a frequent value is one row), then the counts
+    are summed up in (column, value) order; the value at a position is the one whose range of
+    positions holds it.  Returns one row per column: ``_c`` (index), ``q0``, ``q1``, ...
     """
-    vals = df.select(F.col(_q(column)).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    pos = ordering.row_position(vals, ["v"], name="pos", size_name="n")
-    picks = []
-    for i, q in enumerate(qs):
-        h = (F.col("n") - 1) * F.lit(float(q))
-        picks.append((i, q, h))
-    wanted = None
-    for i, q, h in picks:
-        cond = (F.col("pos") == F.floor(h)) | (F.col("pos") == F.ceil(h))
-        wanted = cond if wanted is None else (wanted | cond)
-    near = pos.filter(wanted)
+    pieces = ", ".join(f"{i}, CAST({_q(c)} AS DOUBLE)" for i, c in enumerate(columns))
+    long = df.selectExpr(f"stack({len(columns)}, {pieces}) AS (_c, v)").filter(F.col("v").isNotNull())
+    counts = long.groupBy("_c", "v").agg(F.count(F.lit(1)).alias("_n"))
+    cum = ordering.running_sums(counts, ["_n"], ["_c", "v"]).withColumnRenamed("_n_cum", "_end")
+    # One row per column: where its values begin and how many there are.
+    ranges = cum.groupBy("_c").agg(F.min(F.col("_end") - F.col("_n")).alias("_from"), F.max("_end").alias("_to")) \
+        .select("_c", "_from", (F.col("_to") - F.col("_from")).alias("_total"))
+    placed = cum.join(F.broadcast(ranges), "_c").withColumn("_end", F.col("_end") - F.col("_from"))
     aggs = []
-    for i, q, h in picks:
-        lo = F.max(F.when(F.col("pos") == F.floor(h), F.col("v")))
-        hi = F.max(F.when(F.col("pos") == F.ceil(h), F.col("v")))
-        frac = F.first(h - F.floor(h))
-        aggs.append((lo + (hi - lo) * frac).alias(f"q{i}"))
-    return near.agg(*aggs)
+    for i, q in enumerate(qs):
+        h = (F.col("_total") - 1) * F.lit(float(q))
+
+        def at(position):
+            return F.max(F.when((F.col("_end") - F.col("_n") <= position) & (position < F.col("_end")), F.col("v")))
+        lo, hi = at(F.floor(h)), at(F.ceil(h))
+        aggs.append((lo + (hi - lo) * F.max(h - F.floor(h))).alias(f"q{i}"))
+    return placed.groupBy("_c").agg(*aggs)
 
 
 def numeric_describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
@@ -114,17 +114,16 @@ def numeric_describe(df: DataFrame, columns: Sequence[str] | None = None, approx
                   *[F.min(F.col(_q(c)).cast("double")).alias(f"lo{i}") for i, c in enumerate(columns)],
                   *[F.max(F.col(_q(c)).cast("double")).alias(f"hi{i}") for i, c in enumerate(columns)])
     qs = [0.25, 0.5, 0.75]
-    out = base
-    for i, c in enumerate(columns):
-        if approx:
-            qdf = df.agg(F.percentile_approx(F.col(_q(c)).cast("double"), qs, 10000).alias("a")) \
-                .select(*[F.col("a")[j].alias(f"q{j}") for j in range(3)])
-        else:
-            qdf = exact_quantiles(df, c, qs)
-        out = out.crossJoin(F.broadcast(qdf.select(*[F.col(f"q{j}").alias(f"q{j}_{i}") for j in range(3)])))
-    pieces = ", ".join(f"'{c}', n{i}, m{i}, s{i}, lo{i}, q0_{i}, q1_{i}, q2_{i}, hi{i}" for i, c in enumerate(columns))
-    return out.selectExpr(
-        f"stack({len(columns)}, {pieces}) AS (column, count, mean, std, min, p25, p50, p75, max)")
+    if approx:
+        parts = df.agg(*[F.percentile_approx(F.col(_q(c)).cast("double"), qs, 10000).alias(f"a{i}") for i, c in enumerate(columns)])
+        quartiles = parts.selectExpr(f"stack({len(columns)}, " + ", ".join(f"{i}, a{i}[0], a{i}[1], a{i}[2]" for i in range(len(columns)))
+                                     + ") AS (_c, q0, q1, q2)")
+    else:
+        quartiles = exact_quantiles(df, columns, qs)
+    pieces = ", ".join(f"{i}, '{c}', n{i}, m{i}, s{i}, lo{i}, hi{i}" for i, c in enumerate(columns))
+    out = base.selectExpr(f"stack({len(columns)}, {pieces}) AS (_c, column, count, mean, std, min, max)")
+    return out.join(F.broadcast(quartiles), "_c", "left").select(
+        "column", "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
 
 
 def column_value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -141,24 +140,21 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         .groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
 
 
-def one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None, prefix: str | None = None,
+def one_hot(df: DataFrame, column: str, levels: Sequence[str] = TYPE_LEVELS, prefix: str | None = None,
             drop_level: str | None = REFERENCE_LEVEL, drop_source: bool = True) -> DataFrame:
     """Integer indicator per level; the reference level is dropped.
 
-    With ``levels=None`` the levels are read from the data (a distinct of one
-    categorical column, bounded by its cardinality); only levels that occur
-    get a column, as in the reference.
+    The levels are an argument, so that the schema does not depend on the rows at hand: a level
+    that does not occur gets a column of zeros, a value outside the levels gets zeros only.
     """
     prefix = prefix or column
-    if levels is None:
-        levels = sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
-    cols = [(F.col(column) == F.lit(lv)).cast("int").alias(f"{prefix}_{lv}") for lv in levels if lv != drop_level]
+    cols = [F.coalesce(F.col(column) == F.lit(lv), F.lit(False)).cast("int").alias(f"{prefix}_{lv}") for lv in levels if lv != drop_level]
     out = df.select("*", *cols)
     return out.drop(column) if drop_source else out
 
 
 def clean(df: DataFrame, drop: Sequence[str] = DROP_COLUMNS, renames: dict | None = None,
-          type_column: str = "Type", type_levels: Sequence[str] | None = TYPE_LEVELS) -> DataFrame:
+          type_column: str = "Type", type_levels: Sequence[str] = TYPE_LEVELS) -> DataFrame:
     """P7 + P8 + P9: drop identifiers, rename to safe names, one-hot the type."""
     renames = RENAMES if renames is None else renames
     out = df.drop(*[c for c in drop if c in df.columns])
@@ -176,15 +172,13 @@ def exclude_columns(df: DataFrame, exclude: Sequence[str] = EXCLUDE_FROM_FEATURE
 def median_impute(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Fill nulls of numeric columns with the column median (exact by default)."""
     columns = list(columns or numeric_columns(df))
-    out = df
-    for c in columns:
-        if approx:
-            med = df.agg(F.percentile_approx(F.col(_q(c)).cast("double"), 0.5, 10000).alias("_m"))
-        else:
-            med = exact_quantiles(df, c, [0.5]).select(F.col("q0").alias("_m"))
-        out = out.crossJoin(F.broadcast(med)).withColumn(c, F.coalesce(F.col(_q(c)), F.col("_m").cast(
-            df.schema[c].dataType))).drop("_m")
-    return out
+    if approx:
+        medians = df.agg(*[F.percentile_approx(F.col(_q(c)).cast("double"), 0.5, 10000).alias(f"_m{i}") for i, c in enumerate(columns)])
+    else:
+        medians = exact_quantiles(df, columns, [0.5]).agg(*[F.max(F.when(F.col("_c") == i, F.col("q0"))).alias(f"_m{i}") for i in range(len(columns))])
+    kinds = {c: df.schema[c].dataType for c in columns}
+    return df.crossJoin(F.broadcast(medians)).select(*[  # one row
+        F.coalesce(F.col(_q(c)), F.col(f"_m{columns.index(c)}").cast(kinds[c])).alias(c) if c in kinds else F.col(_q(c)) for c in df.columns])
 
 
 def coerce_types(df: DataFrame, numeric: Sequence[str], integer: Sequence[str] = ()) -> DataFrame:
@@ -194,7 +188,7 @@ def coerce_types(df: DataFrame, numeric: Sequence[str], integer: Sequence[str] =
         if c in numeric:
             cols.append(F.expr(f"try_cast({_q(c)} AS DOUBLE)").alias(c))
         elif c in integer:
-            cols.append(F.expr(f"CAST(try_cast({_q(c)} AS DOUBLE) AS INT)").alias(c))
+            cols.append(F.expr(f"try_cast(try_cast({_q(c)} AS DOUBLE) AS INT)").alias(c))
         else:
             cols.append(F.col(_q(c)))
     return df.select(*cols)

@@ -78,12 +78,12 @@ def q_category_counts(spark, d):
 
 SQL_CATEGORY = with_views("SELECT type AS value, count(*) AS count FROM sensors GROUP BY type", "sensors")
 
-LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def q_numeric_describe(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
-    out = cleaning.numeric_describe(li, LI_NUM)
+    out = cleaning.numeric_describe(li)
     return out.select("column", "count", *[F.round(c, 6).alias(c) for c in
                                            ["mean", "std", "min", "p25", "p50", "p75", "max"]])
 
@@ -93,11 +93,11 @@ SQL_DESCRIBE = " UNION ALL ".join(
   round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
   round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM lineitem""" for c in LI_NUM)
 
-PART_COLS = ["p_brand", "p_size", "p_type"]
+PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
 def q_column_value_counts(spark, d):
-    return cleaning.column_value_counts(spark.read.parquet(f"{d}/part.parquet"), PART_COLS)
+    return cleaning.column_value_counts(spark.read.parquet(f"{d}/part.parquet"))
 
 
 SQL_VALUE_COUNTS = " UNION ALL ".join(
@@ -152,14 +152,14 @@ SELECT "Air temperature [K]" AS air_temp, "Process temperature [K]" AS process_t
 
 
 def q_median_impute(spark, d):
-    s = fx.with_nulls(spark, d).select("event_id", "air_temp", "torque")
-    return cleaning.median_impute(s, ["air_temp", "torque"])
+    """P11 over all numeric columns."""
+    return cleaning.median_impute(fx.with_nulls(spark, d)).select("event_id", *rules.SENSORS)
 
 
 SQL_MEDIAN = with_views(f"""
 , nulls AS ({NULLS_SQL})
 SELECT event_id, coalesce(air_temp, (SELECT quantile_cont(air_temp, 0.5) FROM nulls)) AS air_temp,
-       coalesce(torque, (SELECT quantile_cont(torque, 0.5) FROM nulls)) AS torque FROM nulls""", "sensors")
+       process_temp, rotational_speed, torque, tool_wear FROM nulls""", "sensors")
 
 
 def q_coerce_types(spark, d):
