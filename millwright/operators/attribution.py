@@ -2,8 +2,9 @@
 
 * J2 linear attribution: φ_j = w_j·(x_j − E[x_j]) - exact Shapley values of a
   linear model with an independent background; column arithmetic + ``stack``.
-* J3 top-k per row: sort an array of (|φ|, feature) structs inside the row
-  (no shuffle), slice, explode.
+* J3 top-k per row: an array of (|φ|, feature) structs is sorted inside the
+  row; for linear scorers without any shuffle (``linear_top_k``), for
+  attributions that come in long form after one grouping by row.
 * J4 global importance: mean |φ| per feature, one aggregate.
 * J5 model-agnostic sampled Shapley: seeded permutations are exploded into
   coalition points, all points are scored by one ``transform``, and marginal
@@ -33,6 +34,21 @@ def linear_attribution(df: DataFrame, coefs: Sequence[float], id_col: str = "eve
     return wide.selectExpr(id_col, f"stack({len(names)}, {pieces}) AS (feature, phi)")
 
 
+def linear_top_k(df: DataFrame, coefs: Sequence[float], k: int = 3, id_col: str = "event_id",
+                 background: DataFrame | None = None, digits: int = 4) -> DataFrame:
+    """J2 + J3 in one projection: the k largest |φ| of a linear scorer per row, ranked inside the row."""
+    names = [t.split(" - ")[0] for t in TERMS]
+    means = (background if background is not None else df).agg(*[F.avg(n).alias(f"_mu_{n}") for n in names])
+    entries = []
+    for w, n in zip(coefs[1:], names):
+        phi = F.lit(float(w)) * (F.col(n) - F.col(f"_mu_{n}"))
+        entries.append(F.struct((-F.abs(phi)).alias("neg_abs"), F.lit(n).alias("feature"), phi.alias("phi")))
+    ranked = df.select(id_col, *names).crossJoin(F.broadcast(means)).select(  # one row
+        id_col, F.posexplode(F.slice(F.array_sort(F.array(*entries)), 1, k)).alias("_i", "_e"))
+    return ranked.select(id_col, (F.col("_i") + 1).alias("rank"), F.col("_e.feature").alias("feature"),
+                         F.round(F.col("_e.phi"), digits).alias("impact"))
+
+
 def top_k_attribution(wide_or_long: DataFrame, k: int = 3, id_col: str = "event_id", digits: int = 4) -> DataFrame:
     """The k largest |φ| per row (ties by feature name), rounded; rank 1..k.
 

@@ -277,3 +277,55 @@ def halves(df: DataFrame, order_by: Sequence, num_chunks: int | None = None) ->
     out = placed.crossJoin(F.broadcast(mid))
     return (out.withColumn("half", F.when(F.col(POS) < F.col("_mid"), 0).otherwise(1))
             .withColumn("row_position", F.col(POS)).drop(CHUNK, LPOS, POS, "_mid"))
+
+
+# --------------------------------------------------------------------------
+# The middle of an order without sorting the table.
+# --------------------------------------------------------------------------
+
+MIDDLE_BINS = 1024
+MIDDLE_ROWS = 100_000
+
+
+def _rankable(df: DataFrame, name: str) -> Column:
+    """A column that orders like ``name`` and can be cut into bins."""
+    kind = df.schema[name].dataType.typeName()
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    return F.unix_date(F.col(name)) if kind == "date" else F.col(name)
+
+
+def with_half(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """T8 without positions: ``half`` = 0 for the first n div 2 rows in ``order_by``, else 1.
+
+    The key in the middle is found by counting rows per bin of the first key that still differs
+    and going on inside the bin that holds the middle; only ``MIDDLE_BINS`` counts per step and the
+    last ``MIDDLE_ROWS`` keys are gathered.  Keys must be numbers, dates or timestamps without
+    nulls and name a row.
+    """
+    names = [f"_o{i}" for i in range(len(order_by))]
+    keys = df.select(*[_rankable(df, c).alias(n) for c, n in zip(order_by, names)])
+    rows, n = keys, keys.count()
+    position = n // 2
+    for name in names:
+        while n > MIDDLE_ROWS:
+            low, high = rows.agg(F.min(name), F.max(name)).first()
+            if low == high:
+                break
+            step = (high - low) / MIDDLE_BINS
+            bin_of = F.least(F.floor((F.col(name) - F.lit(low)) / F.lit(step)), F.lit(MIDDLE_BINS - 1)).cast("int")
+            counts = sorted(rows.groupBy(bin_of.alias("_b")).count().collect())
+            for b, count in counts:
+                if position < count:
+                    break
+                position -= count
+            rows, n = rows.filter(bin_of == b), count
+    if n == 0:
+        return df.withColumn("half", F.lit(0))
+    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(*names)))  # at most MIDDLE_ROWS keys, or equal ones
+    middle = ranked.filter(F.col("_i") == position + 1).first()
+    first, equal = F.lit(False), F.lit(True)
+    for c, name in zip(order_by, names):
+        first = first | (equal & (_rankable(df, c) < F.lit(middle[name])))
+        equal = equal & (_rankable(df, c) == F.lit(middle[name]))
+    return df.withColumn("half", F.when(first, 0).otherwise(1))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from . import ordering
+from . import features, ordering
 
 ORDER = ("ts", "event_id")
 SENSORS = rules.SENSORS
@@ -36,7 +36,7 @@ def _with_half(df: DataFrame, last_n: int | None, order_by: Sequence[str]) -> Da
         w = Window.orderBy(*order_by)
         n = F.count(F.lit(1)).over(Window.partitionBy())
         return recent.withColumn("half", F.when(F.row_number().over(w) - 1 < F.floor(n / 2), 0).otherwise(1))
-    return ordering.halves(df, order_by)
+    return ordering.with_half(df, order_by)
 
 
 def factory_health(scored: DataFrame, last_n: int | None = None, order_by: Sequence[str] = ORDER) -> DataFrame:
@@ -71,9 +71,9 @@ def _latest_struct(order_by: Sequence[str]):
     return F.struct(*[F.col(c) for c in order_by])
 
 
-def machines_at_risk(scored: DataFrame, threshold: float = 0.3, top: int | None = 20,
+def machines_at_risk(scored: DataFrame, threshold: float = 0.3, top: int | None = None,
                      last_n: int | None = None, order_by: Sequence[str] = ORDER) -> DataFrame:
-    """A2: per-machine mean/max probability, latest reading, level, action; top by mean."""
+    """A2: per-machine mean/max probability, latest reading, level, action; worst first if ``top`` rows are asked for."""
     rows = _recent(scored, last_n, order_by)
     agg = rows.groupBy("machine_id").agg(
         F.avg("failure_probability").alias("_avg"),
@@ -94,7 +94,7 @@ def machines_at_risk(scored: DataFrame, threshold: float = 0.3, top: int | None
     return out.drop("_avg")
 
 
-def maintenance_schedule(scored: DataFrame, base_ts=None, days: int | None = None, top: int | None = 30,
+def maintenance_schedule(scored: DataFrame, base_ts=None, days: int | None = None, top: int | None = None,
                          last_n: int | None = None, order_by: Sequence[str] = ORDER) -> DataFrame:
     """A3: urgency, date, duration, cost and parts per machine; top by (priority, date).
 
@@ -130,7 +130,7 @@ def maintenance_schedule(scored: DataFrame, base_ts=None, days: int | None = Non
         F.lit("Scheduled").alias("status"),
         F.date_format(F.timestamp_add("HOUR", hours_c, sched), "yyyy-MM-dd HH:mm").alias("estimated_completion"),
         rules.parts_list("_max").alias("parts_required"),
-        F.round(hours_c * 150 + F.col("_max") * 500, 2).alias("estimated_cost"),
+        rules.round_half_up(hours_c * 150 + F.col("_max") * 500, 2).alias("estimated_cost"),
         days_c.alias("_days"),
     )
     if days is not None:
@@ -168,7 +168,7 @@ def fleet_diagnostics(scored: DataFrame, total_machines=None, last_n: int | None
         agg = agg.withColumn("total_machines", F.lit(int(total_machines)).cast("long"))
     t, m = F.col("total_machines"), F.col("machines_monitored")
     return agg.select("total_machines", "machines_monitored", m.alias("machines_online"),
-                      (t - m).alias("machines_offline"), F.round(m / t * 100, 2).alias("monitoring_uptime"),
+                      (t - m).alias("machines_offline"), F.when(t > 0, F.round(m / t * 100, 2)).otherwise(F.lit(0.0)).alias("monitoring_uptime"),
                       "critical", "high", "medium", "low", "avg_air_temperature", "avg_rotational_speed",
                       "avg_torque", "data_points_analyzed", "model_confidence")
 
@@ -205,25 +205,25 @@ def machine_stats(scored: DataFrame, last_n: int | None = None, trend_rows: int
     """Per-machine mean/max/min/population std, level counts, latest row, trend.
 
     trend = mean(last ``trend_rows``) < mean(first ``trend_rows``) -> improving.
-    Positions and group sizes come from the skew-safe grouped layout.
+    One aggregate, and two ranks that keep ``trend_rows`` rows per machine before the shuffle.
     """
-    pos = ordering.row_position(scored, order_by, ["machine_id"], name="_rowpos", size_name="_size")
-    if last_n:
-        pos = pos.filter(F.col("_rowpos") >= F.col("_size") - last_n)
-        pos = pos.withColumn("_rowpos", F.col("_rowpos") - F.greatest(F.col("_size") - last_n, F.lit(0))) \
-                 .withColumn("_size", F.least(F.col("_size"), F.lit(last_n)))
+    rows = features.retain_last_n(scored, last_n, order_by, ["machine_id"]) if last_n else scored
     p = F.col("failure_probability")
-    agg = pos.groupBy("machine_id").agg(
+    agg = rows.groupBy("machine_id").agg(
         F.count(F.lit(1)).alias("total_predictions"),
         F.round(F.avg(p), 4).alias("average_failure_probability"),
         rules.round_half_up(F.max(p), 4).alias("max_failure_probability"),
         rules.round_half_up(F.min(p), 4).alias("min_failure_probability"),
         F.round(F.stddev_pop(p), 4).alias("std_failure_probability"),
         *[F.count_if(F.col("risk_level") == name).alias(name.lower()) for name in rules.RISK_LEVELS],
-        F.max_by(F.struct(*order_by, "failure_probability", "risk_level"), _latest_struct(order_by)).alias("_latest"),
-        F.avg(F.when(F.col("_rowpos") >= F.col("_size") - trend_rows, p)).alias("_last"),
-        F.avg(F.when(F.col("_rowpos") < trend_rows, p)).alias("_first"),
-    )
+        F.max_by(F.struct(*order_by, "failure_probability", "risk_level"), _latest_struct(order_by)).alias("_latest"))
+
+    def edge(order, name):
+        ranked = rows.select("machine_id", *order_by, "failure_probability") \
+            .withColumn("_i", F.row_number().over(Window.partitionBy("machine_id").orderBy(*order))).filter(F.col("_i") <= trend_rows)
+        return ranked.groupBy("machine_id").agg(F.avg("failure_probability").alias(name))
+    agg = agg.join(edge([F.col(c) for c in order_by], "_first"), "machine_id") \
+        .join(edge([F.col(c).desc() for c in order_by], "_last"), "machine_id")
     return agg.select(
         "machine_id", "total_predictions", "average_failure_probability", "max_failure_probability",
         "min_failure_probability", "std_failure_probability", "critical", "high", "medium", "low",
@@ -344,12 +344,33 @@ def telemetry_tail(readings: DataFrame, n: int = 200, order_by: Sequence[str] =
     return ordering.tail_n(readings.select(*order_by, *SENSORS), n, order_by).orderBy(*order_by)
 
 
-def store_statistics(failures: DataFrame) -> DataFrame:
-    """Failures, unresolved, level counts of unresolved, distinct machines."""
+def store_statistics(failures: DataFrame, registry: DataFrame) -> DataFrame:
+    """Failures, unresolved, level counts of unresolved, registered machines."""
     unresolved = (F.col("resolved") == 0) & (F.col("prediction") == 1)
-    return failures.agg(
+    counts = failures.agg(
         F.count_if(F.col("prediction") == 1).alias("total_failures"),
         F.count_if(unresolved).alias("unresolved_failures"),
         *[F.count_if(unresolved & (F.col("risk_level") == lvl)).alias(f"unresolved_{lvl.lower()}")
-          for lvl in rules.RISK_LEVELS],
-        F.count_distinct("machine_id").alias("machines"))
+          for lvl in rules.RISK_LEVELS])
+    return counts.crossJoin(registry.agg(F.count(F.lit(1)).alias("machines")))  # one row each
+
+
+def at_risk_report(failures: DataFrame, attributed: DataFrame | None = None, order: Sequence[str] = ("timestamp", "id"),
+                   k: int = 3) -> DataFrame:
+    """Newest unresolved predicted failure per machine, ranked by probability, with its reasons.
+
+    ``attributed`` holds the ``k`` strongest attributions per failure (id, rank, feature, impact) and
+    is joined by id as feature_1, impact_1, ...  ``rank`` is the place in the report (T5): highest
+    probability first, then machine.
+    """
+    open_ = failures.filter((F.col("resolved") == 0) & (F.col("prediction") == 1))
+    keep = ["id", "timestamp", "risk_level", "failure_probability", *SENSORS]
+    newest = open_.groupBy("machine_id").agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("_r"))
+    out = newest.select("machine_id", *[F.col(f"_r.{c}").alias(c) for c in keep])
+    if attributed is not None:
+        wide = attributed.join(out.select("id"), "id", "left_semi").groupBy("id").agg(
+            *[x for i in range(1, k + 1) for x in (F.max(F.when(F.col("rank") == i, F.col("feature"))).alias(f"feature_{i}"),
+                                                   F.max(F.when(F.col("rank") == i, F.col("impact"))).alias(f"impact_{i}"))])
+        out = out.join(wide, "id", "left")
+    ranked = ordering.row_position(out, [F.col("failure_probability").desc(), F.col("machine_id").asc()], name="rank")
+    return ranked.withColumn("rank", F.col("rank") + 1)

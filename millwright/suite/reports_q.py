@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import rules
-from ..operators import ordering, reports
+from ..operators import attribution, ordering, reports
+from ..plans.scoring import CHOSEN_MODEL, LINEAR_MODELS
 from .base_sql import with_views
 
 ORDER = ["ts", "event_id"]
@@ -44,7 +45,7 @@ def _urg_sql(field: int, urg: str = "urgency") -> str:
 
 # --- A2 -----------------------------------------------------------------------------------------
 def q_machines_at_risk_scored(spark, d):
-    return reports.machines_at_risk(fx.predictions(spark, d), threshold=0.3, top=20)
+    return reports.machines_at_risk(fx.predictions(spark, d), threshold=0.3)
 
 
 SQL_AT_RISK = with_views(f"""
@@ -59,7 +60,7 @@ FROM (SELECT *, CASE WHEN m >= 0.8e0 THEN 'CRITICAL' WHEN m >= 0.5e0 THEN 'HIGH'
                    max_by(torque, ts) lt, max_by(tool_wear, ts) lw
             FROM predictions GROUP BY machine_id) g
       WHERE a >= 0.3e0) t
-ORDER BY a DESC, machine_id LIMIT 20""", "predictions")
+""", "predictions")
 
 
 # --- A1 -----------------------------------------------------------------------------------------
@@ -103,7 +104,7 @@ SQL_HEALTH_RECENT = with_views(
 
 # --- A3 -----------------------------------------------------------------------------------------
 def q_maintenance_schedule(spark, d):
-    out = reports.maintenance_schedule(fx.predictions(spark, d), top=30)
+    out = reports.maintenance_schedule(fx.predictions(spark, d))
     return out.withColumn("parts_required", F.array_join("parts_required", ", "))
 
 
@@ -118,8 +119,8 @@ SELECT machine_id, {_urg_sql(3)} AS maintenance_type, urgency, {_urg_sql(1)} AS
        printf('Machine %d requires %s. Current risk: %.1f%%', machine_id, lower({_urg_sql(3)}), round(a * 100, 1))
          AS description,
        'Scheduled' AS status, strftime(sched + to_hours(hours), '%Y-%m-%d %H:%M') AS estimated_completion,
-       {_parts_sql('m')} AS parts_required, round(hours * 150 + m * 500, 2) AS estimated_cost
-FROM s ORDER BY priority, scheduled_date, machine_id LIMIT 30""", "predictions")
+       {_parts_sql('m')} AS parts_required, floor((hours * 150 + m * 500) * 100 + 0.5e0) / 100 AS estimated_cost
+FROM s""", "predictions")
 
 
 # --- A4 -----------------------------------------------------------------------------------------
@@ -150,8 +151,8 @@ def q_dashboard_summary(spark, d):
     """A5: the four dashboard aggregates from one scored frame, as one row."""
     scored = fx.predictions(spark, d)
     h = reports.factory_health(scored).select("health_score", "status", "trend")
-    r = reports.machines_at_risk(scored, top=20).agg(F.count(F.lit(1)).alias("machines_at_risk"))
-    m = reports.maintenance_schedule(scored, top=30).agg(
+    r = reports.machines_at_risk(scored).agg(F.count(F.lit(1)).alias("machines_at_risk"))
+    m = reports.maintenance_schedule(scored).agg(
         F.count_if(F.col("urgency") == "IMMEDIATE").alias("immediate_tasks"),
         F.count(F.lit(1)).alias("scheduled_tasks"))
     g = reports.fleet_diagnostics(scored).select("machines_monitored", "model_confidence")
@@ -326,16 +327,15 @@ SENS = ", ".join(rules.SENSORS)
 
 
 def q_unresolved_failures(spark, d):
-    """Unresolved predicted failures, newest first (top 500 of the log: the endpoint's page)."""
+    """Unresolved predicted failures, all of them; a page size belongs to the caller."""
     mf = fx.machine_failures(spark, d)
     return (mf.filter((F.col("resolved") == 0) & (F.col("prediction") == 1))
-            .orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(500)
             .select("id", "timestamp", "machine_id", "failure_probability", "risk_level", *rules.SENSORS))
 
 
 SQL_UNRESOLVED = with_views(f"""
 SELECT id, "timestamp", machine_id, failure_probability, risk_level, {SENS} FROM machine_failures
-WHERE resolved = 0 AND prediction = 1 ORDER BY "timestamp" DESC, id DESC LIMIT 500""", "machine_failures")
+WHERE resolved = 0 AND prediction = 1""", "machine_failures")
 
 
 def _newest_failures(spark, d):
@@ -370,17 +370,35 @@ QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY ts, event_id) = 1"""
 
 
 def q_at_risk_report(spark, d):
-    """Newest unresolved failure per machine with readings, highest probability first."""
-    n = _newest_failures(spark, d)
-    return n.select("id", "timestamp", "machine_id", "risk_level",
+    """Newest unresolved failure per machine with readings and top-3 reasons, highest probability first."""
+    reasons = attribution.linear_top_k(fx.sensors(spark, d), LINEAR_MODELS[CHOSEN_MODEL]).withColumnRenamed("event_id", "id")
+    n = reports.at_risk_report(fx.machine_failures(spark, d), reasons)
+    return n.select("id", "timestamp", "machine_id", "risk_level", "rank",
+                    *[f"{c}_{i}" for i in (1, 2, 3) for c in ("feature", "impact")],
                     F.col("failure_probability").alias("avg_risk_score"),
                     F.col("failure_probability").alias("max_risk_score"), *rules.SENSORS)
 
 
-SQL_AT_RISK_REPORT = with_views(f"""
-SELECT id, "timestamp", machine_id, risk_level, failure_probability AS avg_risk_score,
-       failure_probability AS max_risk_score, {SENS} FROM machine_failures WHERE resolved = 0 AND prediction = 1
-QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY "timestamp" DESC, id DESC) = 1""", "machine_failures")
+def _at_risk_report_sql():
+    # Weights of the chosen scorer, written out here on purpose.
+    weights = {"torque": "0.06e0", "tool_wear": "0.012e0", "air_temp": "0.10e0", "process_temp": "0.0e0", "rotational_speed": "0.0e0"}
+    means = ", ".join(f"avg({n}) AS mu_{n}" for n in weights)
+    parts = " UNION ALL ".join(f"SELECT event_id, '{n}' AS feature, {w} * ({n} - mu_{n}) AS phi FROM sensors, mu" for n, w in weights.items())
+    wide = ", ".join(f"max(CASE WHEN i = {i} THEN feature END) AS feature_{i}, max(CASE WHEN i = {i} THEN round(phi, 4) END) AS impact_{i}"
+                     for i in (1, 2, 3))
+    return with_views(f"""
+, mu AS (SELECT {means} FROM sensors)
+, phi AS ({parts})
+, placed AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(phi) DESC, feature) AS i FROM phi)
+, wide AS (SELECT event_id, {wide} FROM placed GROUP BY event_id)
+, newest AS (SELECT * FROM machine_failures WHERE resolved = 0 AND prediction = 1
+             QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY "timestamp" DESC, id DESC) = 1)
+SELECT n.id, n."timestamp", n.machine_id, n.risk_level, row_number() OVER (ORDER BY failure_probability DESC, machine_id) AS rank,
+       feature_1, impact_1, feature_2, impact_2, feature_3, impact_3, failure_probability AS avg_risk_score,
+       failure_probability AS max_risk_score, {SENS} FROM newest n JOIN wide w ON w.event_id = n.id""", "sensors", "machine_failures")
+
+
+SQL_AT_RISK_REPORT = _at_risk_report_sql()
 
 
 # --- A15, A16, A17, A19, A20 --------------------------------------------------------------------
@@ -408,7 +426,7 @@ LEFT JOIN (SELECT risk_level, count(*) AS n FROM predictions GROUP BY risk_level
 
 def q_urgency_counts(spark, d):
     scored = fx.predictions(spark, d)
-    return reports.urgency_counts(reports.machines_at_risk(scored, top=20), reports.maintenance_schedule(scored, top=30))
+    return reports.urgency_counts(reports.machines_at_risk(scored), reports.maintenance_schedule(scored))
 
 
 def _urgency_counts_sql():

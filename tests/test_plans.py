@@ -24,6 +24,6 @@ def test_filter_and_projection_reach_the_scan(spark):
 
 
 def test_newest_per_machine_is_an_aggregate_not_a_window(spark):
-    plan = _plan(reports.machines_at_risk(fx.predictions(spark, SF_SMALL), top=None))
+    plan = _plan(reports.machines_at_risk(fx.predictions(spark, SF_SMALL)))
     assert "HashAggregate" in plan or "ObjectHashAggregate" in plan or "SortAggregate" in plan
     assert "Window" not in plan
