@@ -46,7 +46,7 @@ def _curve_counts(df: DataFrame, label, score) -> tuple[DataFrame, DataFrame]:
     y = _c(label)
     per_score = df.groupBy(_c(score).cast("double").alias("threshold")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
-    totals = df.agg(F.count_if(y == 1).alias("P"), F.count_if(y != 1).alias("N"))
+    totals = per_score.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"), F.coalesce(F.sum("neg"), F.lit(0)).alias("N"))
     return per_score, totals
 
 
@@ -83,8 +83,8 @@ def pr_summary(df: DataFrame, label="machine_failure", score="failure_probabilit
     pts = pr_points(df, label, score)
     trap = (F.col("recall") - F.col("prev_recall")) * (F.col("precision") + F.col("prev_precision")) / 2
     ap = (F.col("recall") - F.col("prev_recall")) * F.col("precision")
-    agg = pts.agg(F.sum(trap).alias("pr_auc"), F.sum(ap).alias("average_precision"),
-                  F.sum("precision").alias("_ps"), F.count(F.lit(1)).alias("_n"))
+    agg = pts.agg(F.coalesce(F.sum(trap), F.lit(0.0)).alias("pr_auc"), F.coalesce(F.sum(ap), F.lit(0.0)).alias("average_precision"),
+                  F.coalesce(F.sum("precision"), F.lit(0.0)).alias("_ps"), F.count(F.lit(1)).alias("_n"))
     return agg.select(F.round("pr_auc", 6).alias("pr_auc"), F.round("average_precision", 6).alias("average_precision"),
                       F.round((F.col("_ps") + 1.0) / (F.col("_n") + 1), 6).alias("pr_baseline"))
 
@@ -113,14 +113,15 @@ def classification_report(df: DataFrame, label="machine_failure", pred="predicti
     total = s0 + s1
     wide = cm.select(p0.alias("p0"), r0.alias("r0"), f0.alias("f0"), s0.alias("s0"),
                      p1.alias("p1"), r1.alias("r1"), f1.alias("f1"), s1.alias("s1"), total.alias("n"),
-                     safe(tp + tn, total).alias("acc"))
+                     safe(tp + tn, total).alias("acc"), safe(p0 * s0 + p1 * s1, total).alias("wp"),
+                     safe(r0 * s0 + r1 * s1, total).alias("wr"), safe(f0 * s0 + f1 * s1, total).alias("wf"))
     long = wide.selectExpr(
         "stack(5, "
         f"'{names[0]}', p0, r0, f0, s0, "
         f"'{names[1]}', p1, r1, f1, s1, "
         "'accuracy', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), acc, n, "
         "'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n, "
-        "'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n, (f0 * s0 + f1 * s1) / n, n"
+        "'weighted avg', wp, wr, wf, n"
         ") AS (class, precision, recall, f1_score, support)")
     return long.select("class", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1_score")],
                        F.col("support").cast("long").alias("support"))

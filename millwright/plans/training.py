@@ -145,6 +145,29 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def save_artefacts(models: dict[str, PipelineModel], scores: DataFrame, feature_columns: Sequence[str], root: str) -> str:
+    """M7 + M8: every fitted model, the best one (PR-AUC, then listing order) and the metadata.
+
+    ``scores`` has one row per model: model, rank, pr_auc, f1.  The metadata is one JSON row with
+    the best model's name, the feature columns and each model's scores.
+    """
+    best = metrics.select_best(scores).first()["model"]
+    for name, model in models.items():
+        model.write().overwrite().save(f"{root}/models/{name}")
+    models[best].write().overwrite().save(f"{root}/best")
+    listed = F.collect_list(F.struct("model", "rank", "pr_auc", "f1"))
+    (scores.agg(F.array_sort(listed).alias("scores"))
+     .select(F.lit(best).alias("best_model"), F.array(*[F.lit(c) for c in feature_columns]).alias("feature_columns"), "scores")
+     .write.mode("overwrite").json(f"{root}/metadata"))
+    return best
+
+
+def load_artefacts(spark, root: str) -> tuple[dict[str, PipelineModel], dict]:
+    """The saved models by name, and the metadata."""
+    meta = spark.read.json(f"{root}/metadata").first().asDict(recursive=True)
+    return {s["model"]: load_model(f"{root}/models/{s['model']}") for s in meta["scores"]}, meta
+
+
 def sample_search_space(n_trials: int, seed: int = SEED, space: dict | None = None) -> list[dict]:
     """M9: seeded random configurations (log-uniform learning rate)."""
     rng = random.Random(seed)
@@ -163,23 +186,24 @@ def sample_search_space(n_trials: int, seed: int = SEED, space: dict | None = No
     return out
 
 
-def to_gbt_params(cfg: dict, max_iter_cap: int | None = None) -> dict:
+def to_gbt_params(cfg: dict) -> dict:
     """Map a search configuration onto ``GBTClassifier`` parameters."""
-    iters = int(cfg["n_estimators"]) if max_iter_cap is None else min(int(cfg["n_estimators"]), max_iter_cap)
-    return {"maxIter": iters, "maxDepth": int(cfg["max_depth"]), "stepSize": float(cfg["learning_rate"]),
+    return {"maxIter": int(cfg["n_estimators"]), "maxDepth": int(cfg["max_depth"]), "stepSize": float(cfg["learning_rate"]),
             "subsamplingRate": float(cfg["subsample"]), "featureSubsetStrategy": str(round(cfg["colsample_bytree"], 3)),
             "minInstancesPerNode": int(cfg["min_child_weight"]), "minInfoGain": float(cfg["gamma"]) / 100.0}
 
 
 def tune(train: DataFrame, valid: DataFrame, feature_columns: Sequence[str], n_trials: int = 50,
-         max_iter_cap: int | None = None, seed: int = SEED) -> DataFrame:
-    """M9: each trial is one distributed fit scored by PR-AUC on the time-later part."""
+         seed: int = SEED, space: dict | None = None) -> DataFrame:
+    """M9: each trial is one distributed fit scored by PR-AUC on the time-later part.
+
+    ``space`` replaces ``SEARCH_SPACE`` (same names, other ranges)."""
     spark = train.sparkSession
     rows = []
-    for i, cfg in enumerate(sample_search_space(n_trials, seed)):
+    for i, cfg in enumerate(sample_search_space(n_trials, seed, space)):
         weighted = train.withColumn("weight", F.when(F.col(LABEL) == 1, F.lit(float(cfg["scale_pos_weight"])))
                                     .otherwise(F.lit(1.0)))
-        model = fit(weighted, feature_columns, "gbt", to_gbt_params(cfg, max_iter_cap))
+        model = fit(weighted, feature_columns, "gbt", to_gbt_params(cfg))
         score = evaluate(model, valid, feature_columns).first()
         rows.append((i, float(score["pr_auc"]), float(score["f1"]), *[float(cfg[k]) for k in SEARCH_SPACE]))
     schema = "trial int, pr_auc double, f1 double, " + ", ".join(f"{k} double" for k in SEARCH_SPACE)
