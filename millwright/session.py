@@ -26,6 +26,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(_CKPT_KEY, None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"{_CKPT_KEY} must name a folder that all executors share on {sc.master}")
         configured = tempfile.mkdtemp(prefix="millwright-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -173,7 +173,7 @@ def registry_explode(documents: DataFrame, text_col: str = "value") -> DataFrame
     return parsed.select(F.explode("m").alias("key", "e")).select("key", "e.*")
 
 
-def prediction_arrays(scored: DataFrame, keep_last: int = 1000, ts_col: str = "ts",
+def prediction_arrays(scored: DataFrame, keep_last: int, ts_col: str = "ts",
                       order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """Per-machine JSON arrays of the newest ``keep_last`` predictions (W16 retention bounds each array)."""
     from ..operators.features import retain_last_n
@@ -194,7 +194,7 @@ PREDICTION_RECORD = T.StructType([
 ])
 
 
-def machine_recent_predictions(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
+def machine_recent_predictions(spark: SparkSession, path: str, limit: int) -> DataFrame:
     """Read per-machine array files; machine id from the file path; last ``limit`` each.
 
     Each line holds one machine's (retention-bounded) array, so its length is on
@@ -207,7 +207,7 @@ def machine_recent_predictions(spark: SparkSession, path: str, limit: int = 100)
     return rows.filter(F.col("idx") >= F.col("_n") - limit).select("machine_id", "idx", "r.*")
 
 
-def machine_report(registry: DataFrame, stats: DataFrame, scored: DataFrame, recent: int = 200,
+def machine_report(registry: DataFrame, stats: DataFrame, scored: DataFrame, recent: int,
                    order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """One report row per machine for the whole fleet in one job:
     registry entry + statistics + the newest ``recent`` predictions (bounded list)."""

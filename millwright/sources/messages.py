@@ -29,10 +29,11 @@ def topic_message_parse(messages: DataFrame, topic_col: str = "topic", payload_c
                         arrival_col: str | None = "arrival") -> DataFrame:
     """S5: 'factory/machines/<id>/sensors' -> machine id (segment 2), JSON payload -> columns.
 
-    Topics with fewer than three segments are ignored, as in the reference.
+    Topics with fewer than three segments and payloads that are no JSON object are left out; see
+    ``topic_message_rejects``.
     """
     parts = F.split(F.col(topic_col), "/")
-    parsed = messages.filter(F.size(parts) >= 3).select(
+    parsed = messages.filter(_readable(topic_col, payload_col)).select(
         parts.getItem(2).alias("machine_id"),
         F.from_json(F.col(payload_col), READING_SCHEMA).alias("r"),
         *([F.col(arrival_col).alias("timestamp")] if arrival_col and arrival_col in messages.columns else []))
@@ -40,6 +41,17 @@ def topic_message_parse(messages: DataFrame, topic_col: str = "topic", payload_c
                          *(["timestamp"] if "timestamp" in parsed.columns else []))
 
 
+def _readable(topic_col: str, payload_col: str):
+    text = F.get_json_object(F.col(payload_col), "$")
+    return F.coalesce((F.size(F.split(F.col(topic_col), "/")) >= 3) & text.isNotNull() & F.trim(text).startswith("{"), F.lit(False))
+
+
+def topic_message_rejects(messages: DataFrame, topic_col: str = "topic", payload_col: str = "payload") -> DataFrame:
+    """S5, the quarantine output: messages that ``topic_message_parse`` leaves out, with the reason."""
+    reason = F.when(F.size(F.split(F.col(topic_col), "/")) >= 3, F.lit("payload")).otherwise(F.lit("topic"))
+    return messages.filter(~_readable(topic_col, payload_col)).withColumn("reason", reason)
+
+
 def fleet_doc_explode(docs: DataFrame, ingest_col: str = "fetched_at") -> DataFrame:
     """One row per machine element of ``{machines: [...]}`` documents."""
     cols = [F.explode("machines").alias("m")]

@@ -46,10 +46,11 @@ class StreamRun:
             reader = reader.option("maxFilesPerTrigger", max_files)
         return reader.load(self.landing)
 
-    def run(self, writer, timeout_s: int = 600) -> None:
+    def run(self, writer, timeout_s: int | None = None) -> None:
         q = writer.option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
-        finished = q.awaitTermination(timeout_s)
-        if not finished:
+        if timeout_s is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(timeout_s):
             q.stop()
             raise TimeoutError("streaming query did not finish in time")
         if q.exception() is not None:

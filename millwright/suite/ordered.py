@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..functions import rules
 from ..operators import features as feat
 from ..operators import ordering
 from .base_sql import with_views
@@ -188,19 +189,17 @@ SELECT event_id, machine_id, ts, round(last_value(v IGNORE NULLS) OVER (ORDER BY
 
 
 def q_ffill_all(spark, d):
-    s = fx.with_nulls(spark, d).select(*KEYS, "air_temp", "torque")
-    out = feat.forward_fill_all(s)
-    return _r6(out, ["air_temp", "torque"])
+    out = feat.forward_fill_all(fx.with_nulls(spark, d).select(*KEYS, *rules.SENSORS))
+    return _r6(out, rules.SENSORS)
 
 
 SQL_FFILL_ALL = with_views(f"""
 , nulls AS (SELECT event_id, machine_id, ts, CASE WHEN event_id % 11 = 0 THEN NULL ELSE air_temp END AS air_temp,
-            torque FROM sensors)
+            process_temp, rotational_speed, torque, tool_wear FROM sensors)
 SELECT event_id, machine_id, ts,
   round(last_value(air_temp IGNORE NULLS) OVER ({W_MACHINE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6)
-    AS air_temp,
-  round(last_value(torque IGNORE NULLS) OVER ({W_MACHINE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6)
-    AS torque
+    AS air_temp, round(process_temp, 6) AS process_temp, round(rotational_speed, 6) AS rotational_speed,
+  round(torque, 6) AS torque, round(tool_wear, 6) AS tool_wear
 FROM nulls""", "sensors")
 
 
