@@ -41,7 +41,8 @@ FRAGMENTS = 4
 STEP = 4096
 
 _DEALT = "kind int, cell int, doc_id long, fp long, n int, keys binary, counts binary, vals binary, hot binary"
-_FOUND = "kind int, doc_id long, fp long, n int, vals binary, ranks binary"
+_FOUND = "kind int, doc_id long, fp long, n int, bucket int, fps binary, counts binary, vals binary, ranks binary"
+_BLOBS = ["fps", "counts", "vals", "ranks"]
 
 
 def fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
@@ -128,61 +129,69 @@ def _dealer(k: int, fragments: int):
     return run
 
 
-def _shared_in_fragment(table: pa.Table):
-    """Per set the shingles of this fragment that two or more sets hold, with a class of how many do."""
-    kind = table.column("kind").to_numpy()
-    passed = pa.Table.from_arrays([table.column(c) for c in ("kind", "doc_id", "fp", "n", "vals")], ["kind", "doc_id", "fp", "n", "vals"])
-    docs = passed.filter(pa.array(kind == 1))
-    if docs.num_rows:
-        yield from docs.append_column("ranks", pa.nulls(docs.num_rows, pa.binary())).to_batches()
-    known = passed.filter(pa.array(kind == 2))
-    if known.num_rows:
-        ranks = pa.array([bytes([HOT_CLASS]) * n for n in known.column("n").to_pylist()], pa.binary())
-        yield from known.append_column("ranks", ranks).to_batches()
-    blobs = table.filter(pa.array(kind == 0))
-    if not blobs.num_rows:
-        return
-    read = lambda c, t: np.frombuffer(b"".join(blobs.column(c).to_pylist()), t)
-    fp, value = np.repeat(read("keys", np.uint64), read("counts", np.uint32)), read("vals", np.uint64)
-    order = np.lexsort((fp, value))
-    fp, value = fp[order], value[order]
-    if len(value) == 0:
-        return
-    new = np.concatenate([[True], (value[1:] != value[:-1]) | (fp[1:] != fp[:-1])])
-    fp, value = fp[new], value[new]
-    first = np.concatenate([[True], value[1:] != value[:-1]])
-    count = np.diff(np.append(np.flatnonzero(first), len(value)))
-    rank = np.minimum(np.floor(8 * np.log2(count)), HOT_CLASS - 1).astype(np.uint8)
-    hot = np.isin(value[first], read("hot", np.uint64))
-    rank[hot] = HOT_CLASS
-    use = np.repeat((count > 1) | hot, count)
-    rank = np.repeat(rank, count)[use]
-    fp, value = fp[use], value[use]
-    order = np.argsort(fp, kind="stable")
-    fp, value, rank = fp[order], value[order], rank[order]
-    rows = [(f, value[a:b].tobytes(), rank[a:b].tobytes(), b - a) for f, a, b in _parts(fp.view(np.int64))]
-    if rows:
-        f, v, r, n = zip(*rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([2] * len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array(f, pa.int64()), pa.array(n, pa.int32()),
-             pa.array(v, pa.binary()), pa.array(r, pa.binary())], ["kind", "doc_id", "fp", "n", "vals", "ranks"])
+def _shared_in_fragment(buckets: int):
+    """Documents as they come, and by bucket of sets: the shingles of this fragment that two or more
+    sets hold, each with a class of how many do."""
+    def work(table: pa.Table):
+        kind = table.column("kind").to_numpy()
+        docs = table.filter(pa.array(kind == 1))
+        if docs.num_rows:
+            none = [pa.nulls(docs.num_rows, pa.int32()), *[pa.nulls(docs.num_rows, pa.binary())] * 4]
+            yield from pa.Table.from_arrays([docs.column(c) for c in ("kind", "doc_id", "fp", "n")] + none,
+                                            ["kind", "doc_id", "fp", "n", "bucket", *_BLOBS]).to_batches()
+        known = table.filter(pa.array(kind == 2))
+        known_fp = np.repeat(known.column("fp").to_numpy().view(np.uint64), known.column("n").to_numpy())
+        known_value = np.frombuffer(b"".join(known.column("vals").to_pylist()), np.uint64)
+        blobs = table.filter(pa.array(kind == 0))
+        read = lambda c, t: np.frombuffer(b"".join(blobs.column(c).to_pylist()), t)
+        fp, value = np.repeat(read("keys", np.uint64), read("counts", np.uint32)), read("vals", np.uint64)
+        order = np.lexsort((fp, value))
+        fp, value = fp[order], value[order]
+        new = np.concatenate([[True], (value[1:] != value[:-1]) | (fp[1:] != fp[:-1])])[:len(value)]
+        fp, value = fp[new], value[new]
+        first = np.concatenate([[True], value[1:] != value[:-1]])[:len(value)]
+        count = np.diff(np.append(np.flatnonzero(first), len(value)))
+        rank = np.minimum(np.floor(8 * np.log2(count)), HOT_CLASS - 1).astype(np.uint8)
+        hot = np.isin(value[first], read("hot", np.uint64))
+        rank[hot] = HOT_CLASS
+        use = np.repeat((count > 1) | hot, count)
+        rank = np.concatenate([np.repeat(rank, count)[use], np.full(len(known_fp), HOT_CLASS, np.uint8)])
+        fp, value = np.concatenate([fp[use], known_fp]), np.concatenate([value[use], known_value])
+        bucket = (fp % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((fp, bucket))
+        fp, value, rank, bucket = fp[order], value[order], rank[order], bucket[order]
+        rows = []
+        for k, a, b in _parts(bucket):
+            sets = [(f, j - i) for f, i, j in _parts(fp[a:b])]
+            rows.append((2, None, None, None, k, np.array([f for f, _ in sets], np.uint64).tobytes(), np.array([n for _, n in sets], np.uint32).tobytes(),
+                         value[a:b].tobytes(), rank[a:b].tobytes()))
+        if rows:
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["kind", "doc_id", "fp", "n", "bucket", *_BLOBS])
+    return work
 
 
 def _gather(percent: int):
-    """One row per set: its shared shingles, rarest first; sets that share too few are left out."""
+    """One row per set of a bucket: its shared shingles, rarest first; sets that share too few are left out."""
     def work(table: pa.Table):
-        value = np.frombuffer(b"".join(table.column("vals").to_pylist()), np.uint64)
-        rank = np.frombuffer(b"".join(table.column("ranks").to_pylist()), np.uint8)
-        value, where = np.unique(value, return_index=True)
-        rank = rank[where]
-        n = table.column("size")[0].as_py()
-        if 100 * len(value) < percent * n:
-            return
-        order = np.argsort(rank, kind="stable")
-        prefix = max(0, n - -(-percent * n // 100) + 1 - (n - len(value)))
-        yield pa.RecordBatch.from_arrays(
-            [table.column("fp").combine_chunks()[:1], pa.array([n], pa.int32()), table.column("copies").combine_chunks()[:1],
-             pa.array([value[order].tobytes()], pa.binary()), pa.array([prefix], pa.int32())], ["fp", "size", "copies", "vals", "prefix"])
+        of_class = table.filter(table.column("fps").is_null())
+        blobs = table.filter(table.column("fps").is_valid())
+        read = lambda c, t: np.frombuffer(b"".join(blobs.column(c).to_pylist()), t)
+        fp, value, rank = np.repeat(read("fps", np.int64), read("counts", np.uint32)), read("vals", np.uint64), read("ranks", np.uint8)
+        order = np.lexsort((value, fp))
+        fp, value, rank = fp[order], value[order], rank[order]
+        new = np.concatenate([[True], (value[1:] != value[:-1]) | (fp[1:] != fp[:-1])])[:len(value)]
+        fp, value, rank = fp[new], value[new], rank[new]
+        sizes = dict(zip(of_class.column("fp").to_pylist(), zip(of_class.column("size").to_pylist(), of_class.column("copies").to_pylist())))
+        rows = []
+        for f, a, b in _parts(fp):
+            n, copies = sizes[f]
+            if 100 * (b - a) >= percent * n:
+                by_rank = a + np.argsort(rank[a:b], kind="stable")
+                rows.append((f, n, copies, value[by_rank].tobytes(), max(0, n - -(-percent * n // 100) + 1 - (n - (b - a)))))
+        if rows:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["fp", "size", "copies", "vals", "prefix"])
     return work
 
 
@@ -270,19 +279,20 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     component.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    fragments = 4 * partitions(spark)
+    fragments = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = rows.filter("doc_id is not null")
     dealt = named.mapInArrow(_dealer(k, fragments), _DEALT)
-    found = settled(by_block(dealt, "cell", _shared_in_fragment, _FOUND), "ngram-shared")
+    found = settled(by_block(dealt, "cell", _shared_in_fragment(fragments), _FOUND), "ngram-shared")
     members = found.filter("kind = 1").select("doc_id", "fp", "n")
     classes = settled(members.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("size"),
                                                                F.count(F.lit(1)).alias("copies")), "ngram-classes")
-    shared = found.filter("kind = 2")
-    able = (shared.groupBy("fp").agg(F.sum("n").alias("_shared")).join(classes, "fp")
-            .filter(F.col("_shared") * 100 >= F.col("size") * percent).select("fp", "size", "copies"))
-    sets = settled(by_block(shared.select("fp", "vals", "ranks").join(able, "fp"), "fp", _gather(percent),
-                            "fp long, size int, copies long, vals binary, prefix int"), "ngram-sets")
+    none = [F.lit(None).cast("binary").alias(c) for c in _BLOBS]
+    in_bucket = F.expr(f"cast(pmod(pmod(fp, {fragments}) + if(fp < 0, {2 ** 64 % fragments}, 0), {fragments}) as int)").alias("bucket")
+    able = (classes.select(in_bucket, "fp", "size", "copies", *none)
+            .unionByName(found.filter("kind = 2").select("bucket", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("int").alias("size"),
+                                                         F.lit(None).cast("long").alias("copies"), *_BLOBS)))
+    sets = settled(by_block(able, "bucket", _gather(percent), "fp long, size int, copies long, vals binary, prefix int"), "ngram-sets")
     prefixes = sets.select("fp", "vals", "prefix").mapInArrow(_prefix_rows, "shingle long, fp long")
     roots = prefixes.groupBy("shingle").agg(F.min("fp").alias("root"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     clusters = connected_components(prefixes.join(roots, "shingle").select("fp", "root").distinct(), "fp", "root", "ngram-clusters")
