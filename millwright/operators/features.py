@@ -27,11 +27,13 @@ from . import ordering
 
 DEFAULT_ORDER = ("ts", "event_id")
 DEFAULT_PARTITION = ("machine_id",)
+#: A machine with more rows than this is spread over several tasks.
+HOT_ROWS = 5_000_000
 
 
 @dataclass(frozen=True)
 class FeatureConfig:
-    """Feature grid; defaults are the reference's configuration."""
+    """Feature grid.  Fixed values: the defaults are the input contract's configuration."""
     windows: tuple = (6,)
     # column -> (stats, prefix)
     rolling: dict = field(default_factory=lambda: {
@@ -46,6 +48,7 @@ class FeatureConfig:
     fill_patterns: tuple = ("_mean_", "_std_", "_lag", "temp_diff", "wear_torque")
 
 
+# The model's feature columns.
 MODEL_FEATURES = [
     "air_temp", "process_temp", "rotational_speed", "torque", "tool_wear", "Type_L", "Type_M",
     "air_temp_mean_6", "process_temp_mean_6", "rpm_std_6", "torque_std_6",
@@ -244,13 +247,25 @@ def retain_last_n(df: DataFrame, n: int, order_by=DEFAULT_ORDER, partition_by=DE
 
 
 def feature_pipeline(df: DataFrame, cfg: FeatureConfig | None = None, order_by=DEFAULT_ORDER,
-                     partition_by=DEFAULT_PARTITION, mode: str = "chunked",
-                     num_chunks: int | None = None, fill: bool = True) -> DataFrame:
+                     partition_by=DEFAULT_PARTITION, mode: str = "auto",
+                     num_chunks: int | None = None, fill: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rolling grid + lags + derived + EWM in one ordered pass, then null repair.
 
     Chunked form: one range layout is shared by the windows and both fills, and
-    every window runs on the same (chunk, machine) partitioning.
+    every window runs on the same (chunk, machine) partitioning.  Native form: one
+    hash shuffle by machine.  ``auto`` takes the native form for machines of at most
+    ``hot_rows`` rows and the chunked one, which splits a machine, for the others; the
+    results are the same.
     """
+    if mode == "auto" and partition_by:
+        by = list(partition_by)
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+        if sizes.isEmpty():
+            return feature_pipeline(df, cfg, order_by, by, "native", num_chunks, fill)
+        hot = F.broadcast(sizes.select(*by))  # at most (all rows / hot_rows) keys
+        return feature_pipeline(df.join(hot, by, "left_anti"), cfg, order_by, by, "native", num_chunks, fill).unionByName(
+            feature_pipeline(df.join(hot, by, "left_semi"), cfg, order_by, by, "chunked", num_chunks, fill))
+    mode = "chunked" if mode == "auto" else mode
     cfg = cfg or FeatureConfig()
     cols = df.columns
     builders = [rolling_columns(cols, cfg.rolling, cfg.windows), lag_columns(cols, cfg.lags),

@@ -53,7 +53,7 @@ class TrainingData:
     feature_columns: list = field(default_factory=list)
 
 
-def training_frame(sensors: DataFrame, mode: str = "chunked") -> DataFrame:
+def training_frame(sensors: DataFrame, mode: str = "auto") -> DataFrame:
     """Cleaned sensors -> 16 model features (+ label, order keys)."""
     with_type = cleaning.one_hot(sensors, "type", prefix="Type")
     return features.feature_pipeline(with_type, mode=mode)

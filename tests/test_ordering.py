@@ -81,6 +81,16 @@ def test_native_mode_agrees_with_chunked(spark):
     np.testing.assert_allclose(a["x_mean_6"], b["x_mean_6"], equal_nan=True)
 
 
+def test_feature_pipeline_splits_only_hot_machines(spark):
+    pdf, _ = _frame(spark)
+    pdf["air_temp"] = pdf["torque"] = pdf["process_temp"] = pdf["rotational_speed"] = pdf["x"]
+    pdf["tool_wear"] = 1.0
+    df = spark.createDataFrame(pdf).replace(float("nan"), None)
+    frames = [feat.feature_pipeline(df, mode=m, hot_rows=h).orderBy("event_id").toPandas() for m, h in (("native", 1), ("chunked", 1), ("auto", 90), ("auto", 10**9))]
+    for f in frames[1:]:
+        pd.testing.assert_frame_equal(frames[0], f[frames[0].columns], rtol=1e-9)
+
+
 @pytest.mark.parametrize("rows", [0, 1, 2, 301])
 def test_half_without_a_sort_matches_positions(spark, rows, monkeypatch):
     monkeypatch.setattr(ordering, "MIDDLE_ROWS", 5)
