@@ -6,7 +6,7 @@ empty lines in their place.  Then the text lengths of ``WINDOW`` consecutive lin
 every line; the sum surges where a body of text begins and dives to nothing where it ends.  The
 text between a surge and its dive is one candidate body.  A page that marks its article keeps the
 bodies inside the mark; any other page keeps each body whose peak reaches ``PEAK_SHARE`` of the
-page's highest peak.
+page's highest peak, and every body in an element that holds lines of the highest one.
 """
 
 from __future__ import annotations
@@ -33,11 +33,12 @@ BLOCK = frozenset(("address article aside blockquote body caption center dd deta
 FURNITURE = frozenset("nav aside footer form menu dialog button input label fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status".split())
 FURNITURE_WORDS = frozenset(("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist "
-                             "consent cookie cookies disqus dropdown footer gdpr header login masthead menu menubar modal nav navbar navigation navi "
+                             "consent aside rail alert adsense adsbygoogle copyright cookie cookies disqus dropdown foot footer gdpr header login masthead menu menubar modal nav navbar navigation navi "
                              "newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related "
                              "replies respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored "
                              "subscribe subscription toolbar topbar widget widgets").split())
 LANDMARKS = frozenset("article main".split())
+CONTAINERS = frozenset("div section td center main article body details".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -61,20 +62,22 @@ def _is_furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     return bool(names & FURNITURE_WORDS)
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters inside links, landmark number or 0) per block; ("", 0, -1) where markup was taken out."""
-    out: list[tuple[str, int, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, characters inside links, landmark number or 0, element number) per block; an empty text
+    and a landmark of -1 where markup was taken out."""
+    out: list[tuple[str, int, int, int]] = []
     parts: list[str] = []
     linked = 0
     in_link = 0
     landmark, marks, n_marks = 0, [], 0          # innermost landmark, its open elements
     skip, depth = "", 0                          # the element being left out
+    holders, n_holders = [("", 0)], 0            # open containers
 
     def close():
         nonlocal linked
         text = " ".join(_html.unescape("".join(parts)).split())
         if text:
-            out.append((text, linked, landmark))
+            out.append((text, linked, landmark, holders[-1][1]))
         parts.clear()
         linked = 0
 
@@ -106,28 +109,35 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             if tag in RAW or _is_furniture(tag, attributes, landmark > 0):
                 if tag in BLOCK or tag in FURNITURE or tag not in RAW:
                     close()
-                    out.extend([("", 0, -1)] * WINDOW)
+                    out.extend([("", 0, -1, -1)] * WINDOW)
                 if tag not in VOID and not m.group(3).endswith("/"):
                     skip, depth = tag, 1
                 continue
         if tag == "a":
             in_link = 0 if ends else 1
-        elif tag == "br" or tag in ("td", "th"):
+        elif tag == "br" or tag == "th" or (tag == "td" and ends):
             parts.append(" ")
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag in CONTAINERS:
             close()
+            if tag in CONTAINERS:
+                if not ends:
+                    n_holders += 1
+                    holders.append((tag, n_holders))
+                elif any(t == tag for t, _ in holders):
+                    while holders.pop()[0] != tag:
+                        pass
             if tag in LANDMARKS:
                 if not ends:
                     n_marks += 1
                     marks.append((tag, landmark))
                     landmark = n_marks
-                    out.extend([("", 0, -1)] * WINDOW)
+                    out.extend([("", 0, -1, -1)] * WINDOW)
                 elif any(t == tag for t, _ in marks):
                     while marks:
                         t, landmark = marks.pop()
                         if t == tag:
                             break
-                    out.extend([("", 0, -1)] * WINDOW)
+                    out.extend([("", 0, -1, -1)] * WINDOW)
     if not skip and at < len(page):
         parts.append(page[at:])
     close()
@@ -137,9 +147,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 def main_text(page: str | None) -> str:
     """Blocks of the page's main text in page order, joined by one line feed; "" if there is none."""
     lines = lines_of(page or "")
-    marked = any(mark > 0 and text for text, _, mark in lines)
+    marked = any(mark > 0 and text for text, _, mark, _ in lines)
     lengths = []
-    for text, linked, mark in lines:
+    for text, linked, mark, _ in lines:
         if marked:
             lengths.append(len(text) if mark > 0 else 0)
         else:
@@ -153,14 +163,16 @@ def main_text(page: str | None) -> str:
         surge = i
         while i < len(sums) and sums[i] > 0:     # the dive: WINDOW lines without text
             i += 1
-        bodies.append((surge, i, max(sums[surge:i])))
-    if not marked and bodies:
-        top = max(peak for _, _, peak in bodies)
-        bodies = [b for b in bodies if b[2] >= PEAK_SHARE * top]
-    kept = [k for a, b, _ in bodies for k in range(a, b)]
+        full = [k for k in range(surge, i) if lengths[k]]
+        bodies.append((full[0], full[-1] + 1, max(sums[surge:i])))
     if marked:
-        return "\n".join(lines[k][0] for k in kept if lengths[k])
-    return "\n".join(lines[k][0] for k in kept if lines[k][0])
+        return "\n".join(lines[k][0] for a, b, _ in bodies for k in range(a, b) if lengths[k])
+    if bodies:
+        first, last, top = max(bodies, key=lambda b: b[2])
+        holders = {lines[k][3] for k in range(first, last) if lengths[k]} - {0}
+        bodies = [(a, b, peak) for a, b, peak in bodies
+                  if peak >= PEAK_SHARE * top or any(lines[k][3] in holders for k in range(a, b) if lengths[k])]
+    return "\n".join(lines[k][0] for a, b, _ in bodies for k in range(a, b) if lines[k][0])
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -193,6 +193,8 @@ PAGES = [
      "<p>And another one.</p></div><div class='comments'>Reader says hello</div>", "A long paragraph of main text, with commas.\nAnd another one."),
     ("<nav><ul><li>never closed<article><p>Body &lt;b&gt; &eacute;&nbsp;x</p>", "Body <b> é x"),
     ("plain text only", "plain text only"),
+    ("<div class=page><ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div class=text><p>" + "Long text here. " * 9 + "</p><div class=ad>Buy</div><p>Short end.</p>"
+     "</div><div class=foot><p>Imprint</p></div></div>", ("Long text here. " * 9).strip() + "\nShort end."),
     ("", ""), (None, ""), ("<script>only()</script>", ""), ("<form><input name=q>Search</form>", ""),
     ("<article><p>a<!-- <p>comment</p> -->b</p><p>  c \n\t d </p></article>", "ab\nc d"),
 ]
