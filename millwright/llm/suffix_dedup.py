@@ -20,6 +20,8 @@ sent on, so a passage that very many documents share reaches its fragment once p
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,9 +34,9 @@ from .ngram_join import _parts, fragment_of
 
 LENGTH = 50
 GRAM = 20
-SLICE_BYTES = 1 << 20
-BATCH_ANCHORS = 400_000
-BATCH_BYTES = 12 << 20
+SLICE_BYTES = 1 << 18
+BATCH_ANCHORS = 300_000
+BATCH_BYTES = 4 << 20
 
 _DEALT = "kind int, cell int, rid long, keys binary, counts binary, vals binary, hot binary"
 _STRETCH = "kind int, cell int, rid long, keys binary, buckets binary, hashes binary, ids binary, starts binary, sizes binary, data binary"
@@ -191,14 +193,15 @@ def _flush(held: list[tuple], fragments: int) -> pa.RecordBatch:
     for c, a, b in _parts(cell[use]):
         i = use[a:b]
         blob = np.concatenate([data[at[k]:at[k + 1]] for k in i])
-        rows.append((0, c, None, rid[i].tobytes(), gram[i].tobytes(), name[i].tobytes(), doc[i].tobytes(), start[i].astype(np.int64).tobytes(),
-                     size[i].astype(np.uint16).tobytes(), blob.tobytes()))
+        low = (gram[i] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        rows.append((0, c, None, rid[i].tobytes(), low.tobytes(), name[i].tobytes(), doc[i].tobytes(), start[i].astype(np.uint32).tobytes(),
+                     size[i].astype(np.uint16).tobytes(), zlib.compress(blob.tobytes(), 1)))
     kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 7)
     names = ["kind", "cell", "rid", "keys", "buckets", "hashes", "ids", "starts", "sizes", "data"]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
 
 
-def _stretches_of(length: int, gram: int, fragments: int):
+def _stretches_of(length: int, gram: int, fragments: int, parts: int):
     """Stretches whose q-gram is shared; columns rid, doc_id, shared (list of cells and values), text."""
     def run(batches):
         held, used = [], 0
@@ -225,10 +228,10 @@ def _stretches_of(length: int, gram: int, fragments: int):
                 held.append((rid, doc, h, first - at[owner], size, name, data))
                 used += len(data)
                 if used >= BATCH_BYTES:
-                    yield _flush(held, fragments)
+                    yield _flush(held, parts)
                     held, used = [], 0
         if held:
-            yield _flush(held, fragments)
+            yield _flush(held, parts)
     return run
 
 
@@ -270,8 +273,9 @@ def _covered(length: int):
         if not blobs.num_rows:
             return
         read = lambda c, t: np.frombuffer(b"".join(blobs.column(c).to_pylist()), t)
-        rid, bucket, name, doc, start = read("keys", np.int64), read("buckets", np.uint64), read("hashes", np.uint64), read("ids", np.int64), read("starts", np.int64)
-        size, data = read("sizes", np.uint16).astype(np.int64), read("data", np.uint8)
+        rid, bucket, name, doc, start = read("keys", np.int64), read("buckets", np.uint32), read("hashes", np.uint64), read("ids", np.int64), read("starts", np.uint32)
+        start, size = start.astype(np.int64), read("sizes", np.uint16).astype(np.int64)
+        data = np.frombuffer(b"".join(map(zlib.decompress, blobs.column("data").to_pylist())), np.uint8)
         at = np.concatenate([[0], np.cumsum(size)])
         _, example, inverse = np.unique(name, return_index=True, return_inverse=True)
         least = np.full(len(example), np.iinfo(np.int64).max)
@@ -357,7 +361,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     dealt = named.select("rid", "text").mapInArrow(_grams(length, gram, fragments), _DEALT)
     shared = settled(by_block(dealt, "cell", _shared_grams, "rid long, cells binary, vals binary"), "repeat-grams")
     shared = shared.groupBy("rid").agg(F.collect_list("cells").alias("cells"), F.collect_list("vals").alias("vals"))
-    candidates = named.join(shared, "rid").mapInArrow(_stretches_of(length, gram, fragments), _STRETCH)
+    candidates = named.join(shared, "rid").mapInArrow(_stretches_of(length, gram, fragments, 4 * fragments), _STRETCH)
     spans = by_block(candidates, "cell", _covered(length), _SPANS)
     spans = spans.groupBy("rid").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     none = F.array().cast("array<binary>")
