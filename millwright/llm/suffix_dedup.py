@@ -40,7 +40,7 @@ BATCH_BYTES = 4 << 20
 
 _DEALT = "kind int, cell int, rid long, keys binary, counts binary, vals binary, hot binary"
 _STRETCH = "kind int, cell int, rid long, keys binary, buckets binary, hashes binary, ids binary, starts binary, sizes binary, data binary"
-_SPANS = "rid long, starts binary, ends binary"
+_FOUND = "bucket int, rids binary, counts binary, first binary, second binary"
 
 
 def stretches(raw: np.ndarray, at: np.ndarray, length: int, gram: int):
@@ -132,32 +132,58 @@ def _grams(length: int, gram: int, fragments: int):
     return run
 
 
-def _shared_grams(table: pa.Table):
-    """(rid, cell, low 32 bits) of the q-grams that two or more rows hold."""
-    kind = table.column("kind").to_numpy()
-    known = table.filter(pa.array(kind == 1))
-    if known.num_rows:
-        yield from known.select(["rid", "counts", "vals"]).rename_columns(["rid", "cells", "vals"]).to_batches()
-    blobs = table.filter(pa.array(kind == 0))
-    if not blobs.num_rows:
-        return
-    read = lambda c, t: np.frombuffer(b"".join(blobs.column(c).to_pylist()), t)
-    rid, low = np.repeat(read("keys", np.int64), read("counts", np.uint32)), read("vals", np.uint32)
-    order = np.lexsort((rid, low))
-    rid, low = rid[order], low[order]
-    if len(low) == 0:
-        return
-    first = np.concatenate([[True], low[1:] != low[:-1]])
-    group = np.cumsum(first) - 1
-    rows_of = np.add.reduceat(np.concatenate([[True], (low[1:] != low[:-1]) | (rid[1:] != rid[:-1])]).astype(np.int64), np.flatnonzero(first))
-    use = (rows_of > 1)[group] | np.isin(low, read("hot", np.uint32))
-    rid, low = rid[use], low[use]
-    order = np.argsort(rid, kind="stable")
-    rid, low = rid[order], low[order]
-    cell = np.int32(table.column("cell")[0].as_py())
-    rows = [(r, np.full(b - a, cell, np.int32).tobytes(), low[a:b].tobytes()) for r, a, b in _parts(rid)]
+def _bucket_rows(rid: np.ndarray, first: np.ndarray, second: np.ndarray, buckets: int):
+    """Two values per entry, brought together by bucket of rows: one record per bucket."""
+    bucket = (rid.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((rid, bucket))
+    rid, first, second, bucket = rid[order], first[order], second[order], bucket[order]
+    rows = []
+    for k, a, b in _parts(bucket):
+        runs = [(r, j - i) for r, i, j in _parts(rid[a:b])]
+        rows.append((k, np.array([r for r, _ in runs], np.int64).tobytes(), np.array([n for _, n in runs], np.uint32).tobytes(),
+                     first[a:b].tobytes(), second[a:b].tobytes()))
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["rid", "cells", "vals"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))],
+                                         ["bucket", "rids", "counts", "first", "second"])
+
+
+def _per_row(first_type, second_type, names: list[str], merge=None):
+    """One record per row of a bucket, with all of its entries."""
+    def work(table: pa.Table):
+        read = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+        rid = np.repeat(read("rids", np.int64), read("counts", np.uint32))
+        order = np.argsort(rid, kind="stable")
+        rid, first, second = rid[order], read("first", first_type)[order], read("second", second_type)[order]
+        rows = []
+        for r, a, b in _parts(rid):
+            x, y = merge(first[a:b], second[a:b]) if merge else (first[a:b], second[a:b])
+            rows.append((r, x.tobytes(), y.tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["rid", *names])
+    return work
+
+
+def _shared_grams(buckets: int):
+    """Cell and low 32 bits of the q-grams that two or more rows hold, for each of these rows."""
+    def work(table: pa.Table):
+        kind = table.column("kind").to_numpy()
+        known, blobs = (table.filter(pa.array(kind == k)) for k in (1, 0))
+        read = lambda t, c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k)
+        known_low = read(known, "vals", np.uint32)
+        known_rid = np.repeat(known.column("rid").to_numpy(), [len(v) // 4 for v in known.column("vals").to_pylist()])
+        rid, low = np.repeat(read(blobs, "keys", np.int64), read(blobs, "counts", np.uint32)), read(blobs, "vals", np.uint32)
+        order = np.lexsort((rid, low))
+        rid, low = rid[order], low[order]
+        if len(low):
+            first = np.concatenate([[True], low[1:] != low[:-1]])
+            distinct = np.concatenate([[True], (low[1:] != low[:-1]) | (rid[1:] != rid[:-1])]).astype(np.int64)
+            rows_of = np.add.reduceat(distinct, np.flatnonzero(first))
+            use = (rows_of > 1)[np.cumsum(first) - 1] | np.isin(low, read(blobs, "hot", np.uint32))
+            rid, low = rid[use], low[use]
+        cell = np.full(len(rid), table.column("cell")[0].as_py(), np.int32)
+        yield from _bucket_rows(np.concatenate([rid, known_rid]), np.concatenate([cell, read(known, "counts", np.int32)]),
+                                np.concatenate([low, known_low]), buckets)
+    return work
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +242,7 @@ def _stretches_of(length: int, gram: int, fragments: int, parts: int):
                 for d in range(part.num_rows):
                     a, b = bounds[d], bounds[d + 1]
                     if a < b:
-                        shared = (np.frombuffer(b"".join(cells[d]), np.int32).astype(np.uint64) << np.uint64(32)) | np.frombuffer(b"".join(vals[d]), np.uint32)
+                        shared = (np.frombuffer(cells[d], np.int32).astype(np.uint64) << np.uint64(32)) | np.frombuffer(vals[d], np.uint32)
                         keep[a:b] = np.isin(tag[a:b], shared)
                 if not keep.any():
                     continue
@@ -262,16 +288,13 @@ def string_buckets(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nd
     return position[fits], number[fits]
 
 
-def _covered(length: int):
-    """Spans of the stretches of one fragment that a smaller document covers."""
+def _covered(length: int, buckets: int):
+    """Spans of the stretches of one fragment that a smaller document covers, by bucket of rows."""
     def work(table: pa.Table):
         kind = table.column("kind").to_numpy()
-        known = table.filter(pa.array(kind == 1))
-        if known.num_rows:
-            yield from known.select(["rid", "starts", "sizes"]).rename_columns(["rid", "starts", "ends"]).to_batches()
-        blobs = table.filter(pa.array(kind == 0))
-        if not blobs.num_rows:
-            return
+        known, blobs = (table.filter(pa.array(kind == k)) for k in (1, 0))
+        known_starts, known_ends = (np.frombuffer(b"".join(known.column(c).to_pylist()), np.int64) for c in ("starts", "sizes"))
+        known_rid = np.repeat(known.column("rid").to_numpy(), [len(v) // 8 for v in known.column("starts").to_pylist()])
         read = lambda c, t: np.frombuffer(b"".join(blobs.column(c).to_pylist()), t)
         rid, bucket, name, doc, start = read("keys", np.int64), read("buckets", np.uint32), read("hashes", np.uint64), read("ids", np.int64), read("starts", np.uint32)
         start, size = start.astype(np.int64), read("sizes", np.uint16).astype(np.int64)
@@ -281,7 +304,7 @@ def _covered(length: int):
         least = np.full(len(example), np.iinfo(np.int64).max)
         np.minimum.at(least, inverse, doc)
         later = doc > least[inverse]
-        spans = [(rid[later], start[later], (start + size)[later])]
+        spans = [(known_rid, known_starts, known_ends), (rid[later], start[later], (start + size)[later])]
         # Distinct stretches that share their q-gram with another one are compared string by string.
         _, of, count = np.unique(bucket[example], return_inverse=True, return_counts=True)
         several = np.flatnonzero(count[of] > 1)
@@ -306,9 +329,10 @@ def _covered(length: int):
             begin = start[entry] + np.repeat(offset, times)
             spans.append((rid[entry], begin, begin + length))
         owner, s, e = (np.concatenate(c) for c in zip(*spans))
-        rows = list(_span_rows(owner, s, e))
+        rows = [(o, np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for o, x, y in _span_rows(owner, s, e)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["rid", "starts", "ends"])
+            yield from _bucket_rows(np.repeat([o for o, _, _ in rows], [len(x) for _, x, _ in rows]), np.concatenate([x for _, x, _ in rows]),
+                                    np.concatenate([y for _, _, y in rows]), buckets)
     return work
 
 
@@ -323,7 +347,7 @@ def _cut(batches):
             for d, (s, e) in enumerate(zip(starts, ends)):
                 text = blob[at[d]:at[d + 1]]
                 if s:
-                    s, e = _merged(np.frombuffer(b"".join(s), np.int64), np.frombuffer(b"".join(e), np.int64))
+                    s, e = np.frombuffer(s, np.int64), np.frombuffer(e, np.int64)
                     cuts = [0, *np.stack([s, e], 1).ravel().tolist(), len(text)]
                     text = b"".join(text[i:j] for i, j in zip(cuts[::2], cuts[1::2]))
                     all_s.append(s.tolist())
@@ -359,12 +383,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     # Both joins below read the named rows by one and the same exchange.
     named = rows.filter("doc_id is not null").select(*columns)
     dealt = named.select("rid", "text").mapInArrow(_grams(length, gram, fragments), _DEALT)
-    shared = settled(by_block(dealt, "cell", _shared_grams, "rid long, cells binary, vals binary"), "repeat-grams")
-    shared = shared.groupBy("rid").agg(F.collect_list("cells").alias("cells"), F.collect_list("vals").alias("vals"))
+    shared = settled(by_block(dealt, "cell", _shared_grams(fragments), _FOUND), "repeat-grams")
+    shared = by_block(shared, "bucket", _per_row(np.int32, np.uint32, ["cells", "vals"]), "rid long, cells binary, vals binary")
     candidates = named.join(shared, "rid").mapInArrow(_stretches_of(length, gram, fragments, 4 * fragments), _STRETCH)
-    spans = by_block(candidates, "cell", _covered(length), _SPANS)
-    spans = spans.groupBy("rid").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    none = F.array().cast("array<binary>")
+    spans = by_block(candidates, "cell", _covered(length, fragments), _FOUND)
+    spans = by_block(spans, "bucket", _per_row(np.int64, np.int64, ["starts", "ends"], _merged), "rid long, starts binary, ends binary")
+    none = F.lit(None).cast("binary")
     carried = f"_carried {dict(rows.dtypes)['_carried']}, " if carry else ""
     schema = f"doc_id long, rid long, {carried}n_bytes long, starts array<long>, ends array<long>, kept binary"
     cut = named.join(spans, "rid", "left").mapInArrow(_cut, schema)
