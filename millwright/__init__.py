@@ -4,11 +4,8 @@ import sys as _sys
 
 __version__ = "0.1.0"
 
-# Python functions shipped to executors (mapInPandas, applyInPandasWithState)
+# Python functions shipped to executors (mapInPandas, mapInArrow, applyInPandasWithState)
 # are pickled by value, so executors need no installed copy of this package.
-try:
-    from pyspark import cloudpickle as _cloudpickle
+from pyspark import cloudpickle as _cloudpickle
 
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle: ship the package with addPyFile instead
-    pass
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

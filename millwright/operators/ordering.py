@@ -39,10 +39,6 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in (xs or [])]
 
 
-def _names(xs) -> list[str]:
-    return [x if isinstance(x, str) else x._jc.toString() for x in (xs or [])]
-
-
 def default_chunks(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

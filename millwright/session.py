@@ -39,15 +39,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/millwright/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python-side writers can use the path."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return path
-
-
 def build_local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "millwright") -> SparkSession:
     """Session for tests and the bench: UI off, UTC, AQE on, ANSI on."""
     builder = (
