@@ -37,6 +37,22 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of one Arrow batch where rows hold whole texts; Spark's own default is 10,000.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let this session send texts to Python in batches of at most ``TEXT_ROWS`` rows.
+
+    A batch is held by the JVM and by the Python worker at once; with whole texts in its rows the
+    default makes batches of tens of megabytes.  A smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, shared by its tasks."""
     holder = sys.modules.setdefault("_millwright_worker_cache", types.ModuleType("_millwright_worker_cache"))

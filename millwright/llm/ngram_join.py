@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from .blocks import by_block, forest, paired_blocks
 from .bytescan import distinct_per_row, mix, shingles, utf8
-from .common import partitions, settled, slices
+from .common import partitions, settled, slices, text_batches
 from .components import connected_components
 
-SLICE_BYTES = 1 << 20
-BATCH_SHINGLES = 1_000_000
-HOT_IN_BATCH = 64
+SLICE_BYTES = 1 << 18
+BATCH_SHINGLES = 500_000
+HOT_IN_BATCH = 32
 HOT_CLASS = 255
 BLOCK_ROWS = 256
 FRAGMENTS = 4
@@ -279,6 +279,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     component.  An empty table gives no rows.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     fragments = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = rows.filter("doc_id is not null")

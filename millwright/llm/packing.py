@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import chunks, utf8
-from .common import settled, slices, worker_cache
+from .common import settled, slices, text_batches, worker_cache
 
 SEPARATOR = 2
 RANK_ROWS = 1024
 CACHE_WORDS = 1_500_000
 CACHE_PIECES = 500_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 class WordEncoder:
@@ -136,6 +136,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, id_col:
     A null or empty text has the separator as its only id.
     """
     schema = PIECE + (", ids array<int>" if keep_ids else "")
+    text_batches(docs.sparkSession)
 
     def cut(batches):
         enc = encoder(tokenizer_path)

@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import mix, shingles, utf8, words
-from .common import slices
+from .common import slices, text_batches
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 FOLDS = 5
 
 
@@ -220,6 +220,8 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
 
 def good_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """The documents whose score reaches the threshold, with all of their columns."""
+    text_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .blocks import by_block
 from .bytescan import _BASE, _BASE_INV, _VALUES, mix, powers, utf8
-from .common import partitions, settled, slices
+from .common import partitions, settled, slices, text_batches
 from .ngram_join import _parts, fragment_of
 
 LENGTH = 50
@@ -375,6 +375,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     """
     if not 8 <= gram < length <= 4096:
         raise ValueError("gram must be at least 8 and less than length, length at most 4096")
+    text_batches(docs.sparkSession)
     fragments = 4 * partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        *([F.struct(*carry).alias("_carried")] if carry else []))
