@@ -27,6 +27,8 @@ _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]
 _PARTS = re.compile(r"[a-z0-9]+")
 
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option datalist".split())
+#: Their content is characters only, up to their own end tag.
+TEXT_ONLY = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style title textarea iframe noscript".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul").split())
@@ -62,6 +64,27 @@ def _is_furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     return bool(names & FURNITURE_WORDS)
 
 
+def _tokens(page: str):
+    """(start, end, name, is an end tag, attributes) of every mark; what ``TEXT_ONLY`` elements hold is passed over.
+
+    A script or style without an end tag reaches to the end of the page, any other such element is empty.
+    """
+    at, missing = 0, set()
+    while m := _TOKEN.search(page, at):
+        at, tag, ends, extra = m.end(), (m.group(2) or "").lower(), m.group(1) == "/", m.group(3) or ""
+        if tag in TEXT_ONLY and not ends and not extra.endswith("/"):
+            stop = None if tag in missing else TEXT_ONLY[tag].search(page, at)
+            if stop:
+                at = stop.start()
+            else:
+                missing.add(tag)
+                if tag in ("script", "style"):
+                    yield m.start(), len(page), tag, ends, "/"
+                    return
+                extra = "/"
+        yield m.start(), m.end(), tag, ends, extra
+
+
 def lines_of(page: str) -> list[tuple[str, int, int, int]]:
     """(text, characters inside links, landmark number or 0, element number) per block; an empty text
     and a landmark of -1 where markup was taken out."""
@@ -82,21 +105,21 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if not skip and m.start() > at:
-            parts.append(page[at:m.start()])
+    for start, end, tag, ends, extra in _tokens(page):
+        if not skip and start > at:
+            parts.append(page[at:start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        tag = (m.group(2) or "").lower()
+                linked += start - at
+        at = end
         if not tag:
             continue
-        ends = m.group(1) == "/"
         if skip:
             if tag == skip:
-                depth += -1 if ends else (0 if m.group(3).endswith("/") else 1)
+                depth += -1 if ends else (0 if extra.endswith("/") else 1)
                 if depth == 0:
                     skip = ""
+            elif skip == "head" and not ends and tag in BLOCK:
+                skip = ""                        # its end tag may be left out
             elif skip not in RAW and ((not ends and tag in LANDMARKS and not marks and skip not in ("aside", "dialog"))
                                       or (ends and tag in ("body", "html")) or (ends and marks and tag == marks[-1][0])):
                 skip = ""                        # an element that was never closed ends here
@@ -105,12 +128,12 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
             if skip or ends and tag not in LANDMARKS:
                 continue
         if not ends:
-            attributes = _attributes(m.group(3))
+            attributes = _attributes(extra)
             if tag in RAW or _is_furniture(tag, attributes, landmark > 0):
                 if tag in BLOCK or tag in FURNITURE or tag not in RAW:
                     close()
                     out.extend([("", 0, -1, -1)] * WINDOW)
-                if tag not in VOID and not m.group(3).endswith("/"):
+                if tag not in VOID and not extra.endswith("/"):
                     skip, depth = tag, 1
                 continue
         if tag == "a":

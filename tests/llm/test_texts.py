@@ -217,6 +217,18 @@ def test_main_text_keeps_every_paragraph_of_the_given_pages(spark):
         assert html_extract.main_text(r["html"]) == "\n".join(p for p in parts if p)
 
 
+@pytest.mark.parametrize("page", [
+    "<script>for(var i=0;i<n;i++){f(i)}</script><article><p>Body.</p></article><script>g()</script>",
+    "<head><SCRIPT>if(a<b&&c)x='<!--'</SCRIPT ><style>a<b{}</style></head><article><p>Body.</p></article>",
+    "<nav><script>s='</nav>';i<n</script>Menu</nav><article><p>Body.</p></article>",
+    "<head><title>a <b</title><body><p>Body.</p></body>",
+    "<article><p>Body.</p></article><script>for(i=0;i<n;i++)s='<p>lost</p>'",
+    "<article><textarea><p>typed</textarea><noscript><img src=x></noscript><p>Body.</p></article>",
+])
+def test_scripts_are_passed_over_as_characters(page):
+    assert html_extract.main_text(page) == "Body."
+
+
 def turns(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
