@@ -5,7 +5,8 @@ and page furniture (navigation, banners, side columns, adverts, notices, reader
 empty lines in their place.  Then the text lengths of ``WINDOW`` consecutive lines are summed for
 every line; the sum surges where a body of text begins and dives to nothing where it ends.  The
 text between a surge and its dive is one candidate body.  A page that marks its article keeps the
-bodies inside the mark; any other page keeps each body whose peak reaches ``PEAK_SHARE`` of the
+bodies inside the mark, where no text outside of it has a higher sum and more length; of several
+marks those with sums near the highest count.  Any other page keeps each body whose peak reaches ``PEAK_SHARE`` of the
 page's highest peak, and every body in an element that holds lines of the highest one.
 """
 
@@ -39,6 +40,9 @@ FURNITURE_WORDS = frozenset(("ad ads adbox adslot advert adverts advertisement a
                              "newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related "
                              "replies respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored "
                              "subscribe subscription toolbar topbar widget widgets").split())
+#: Elements that may leave out their end tag: what they are parts of, and what else ends them.
+PARTS_OF = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "td": ("table",), "th": ("table",), "tr": ("table",)}
+SIBLINGS = {"dt": ("dd",), "dd": ("dt",), "td": ("th", "tr", "tbody"), "th": ("td", "tr", "tbody"), "tr": ("tbody", "tfoot")}
 LANDMARKS = frozenset("article main".split())
 CONTAINERS = frozenset("div section td center main article body details".split())
 
@@ -85,15 +89,69 @@ def _tokens(page: str):
         yield m.start(), m.end(), tag, ends, extra
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, characters inside links, landmark number or 0, element number) per block; an empty text
-    and a landmark of -1 where markup was taken out."""
+def _closings(tokens: list[tuple]) -> dict[int, int]:
+    """Place of the end tag of every element that has one, by the place of its start tag."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for k, (_, _, tag, ends, extra) in enumerate(tokens):
+        if ends:
+            if opened.get(tag):
+                out[opened[tag].pop()] = k
+        elif tag and tag not in VOID and not extra.endswith("/"):
+            opened.setdefault(tag, []).append(k)
+    return out
+
+
+def _after(tokens: list[tuple], k: int, closings: dict[int, int], mark: str) -> tuple[int, bool]:
+    """Place of the first token after the element that begins at ``k``, inside an open landmark ``mark``
+    or "", and if the token before it is the element's end tag.
+
+    An element ends at its end tag, but not outside of the landmark or body it began in.  One that
+    has none ends where its kind may (a list item at the next one) or, with no landmark open, at
+    the next landmark.
+    """
+    tag, stop = tokens[k][2], closings.get(k)
+    around = PARTS_OF.get(tag)
+    depth = inner = 0
+    for i in range(k + 1, len(tokens)):
+        _, _, t, ends, extra = tokens[i]
+        if i == stop and tag != "p" and not around:
+            return i + 1, True
+        if not t or extra.endswith("/") and not ends:
+            continue
+        if tag == "p" and (t in BLOCK or ends and t in CONTAINERS):
+            own = ends and t == "p"
+            return i + own, own
+        if around:
+            if t in around:
+                depth += -1 if ends else 1
+                if depth < 0:
+                    return i, False
+            elif depth == 0 and (t == tag or t in SIBLINGS.get(tag, ())):
+                own = ends and t == tag
+                return i + own, own
+        if ends and t in ("body", "html"):
+            return i, False
+        if t == mark:
+            inner += -1 if ends else 1
+            if inner < 0:
+                return i, False
+        elif stop is None and t in LANDMARKS and not ends and not mark:
+            return i, False
+        elif stop is None and tag == "head" and not ends and t in BLOCK:
+            return i, False
+    return len(tokens), False
+
+
+def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """(text, characters inside links, landmark number or 0, element number) per block, with an empty
+    text and a landmark of -1 where markup was taken out; and the landmark around each landmark."""
     out: list[tuple[str, int, int, int]] = []
+    around = [0]
     parts: list[str] = []
     linked = 0
     in_link = 0
     landmark, marks, n_marks = 0, [], 0          # innermost landmark, its open elements
-    skip, depth = "", 0                          # the element being left out
     holders, n_holders = [("", 0)], 0            # open containers
 
     def close():
@@ -104,29 +162,19 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
         parts.clear()
         linked = 0
 
-    at = 0
-    for start, end, tag, ends, extra in _tokens(page):
-        if not skip and start > at:
+    tokens = list(_tokens(page))
+    closings = _closings(tokens)
+    at = k = 0
+    while k < len(tokens):
+        start, end, tag, ends, extra = tokens[k]
+        if start > at:
             parts.append(page[at:start])
             if in_link:
                 linked += start - at
         at = end
+        k += 1
         if not tag:
             continue
-        if skip:
-            if tag == skip:
-                depth += -1 if ends else (0 if extra.endswith("/") else 1)
-                if depth == 0:
-                    skip = ""
-            elif skip == "head" and not ends and tag in BLOCK:
-                skip = ""                        # its end tag may be left out
-            elif skip not in RAW and ((not ends and tag in LANDMARKS and not marks and skip not in ("aside", "dialog"))
-                                      or (ends and tag in ("body", "html")) or (ends and marks and tag == marks[-1][0])):
-                skip = ""                        # an element that was never closed ends here
-            else:
-                continue
-            if skip or ends and tag not in LANDMARKS:
-                continue
         if not ends:
             attributes = _attributes(extra)
             if tag in RAW or _is_furniture(tag, attributes, landmark > 0):
@@ -134,7 +182,8 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
                     close()
                     out.extend([("", 0, -1, -1)] * WINDOW)
                 if tag not in VOID and not extra.endswith("/"):
-                    skip, depth = tag, 1
+                    k, own = _after(tokens, k - 1, closings, marks[-1][0] if marks else "")
+                    at = tokens[k - 1][1] if own else tokens[k][0] if k < len(tokens) else len(page)
                 continue
         if tag == "a":
             in_link = 0 if ends else 1
@@ -153,6 +202,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
                 if not ends:
                     n_marks += 1
                     marks.append((tag, landmark))
+                    around.append(landmark)
                     landmark = n_marks
                     out.extend([("", 0, -1, -1)] * WINDOW)
                 elif any(t == tag for t, _ in marks):
@@ -161,22 +211,43 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
                         if t == tag:
                             break
                     out.extend([("", 0, -1, -1)] * WINDOW)
-    if not skip and at < len(page):
+    if at < len(page):
         parts.append(page[at:])
     close()
-    return out
+    return out, around
+
+
+def _chosen_landmarks(bodies: list[tuple], around: list[int]) -> set[int]:
+    """The landmarks whose bodies are the main text, from (first, end, highest sum, landmark, text length).
+
+    None if the text outside of all of them has both a higher sum and more text than any outermost
+    one; else those whose highest sum reaches ``PEAK_SHARE`` of the best, and those around them.
+    """
+    outer = list(range(len(around)))
+    for mark in outer:
+        outer[mark] = outer[around[mark]] if around[mark] else mark
+    peaks, whole = {}, {}
+    for _, _, peak, mark, length in bodies:
+        peaks[mark] = max(peaks.get(mark, 0), peak)
+        top, total = whole.get(outer[mark], (0, 0))
+        whole[outer[mark]] = max(top, peak), total + length
+    outside = whole.pop(0, (0, 0))
+    peaks.pop(0, 0)
+    if not whole or all(outside[0] > top and outside[1] > total for top, total in whole.values()):
+        return set()
+    least = PEAK_SHARE * max(peaks.values())
+    chosen = {mark for mark, peak in peaks.items() if peak >= least}
+    for mark in list(chosen):
+        while around[mark]:
+            mark = around[mark]
+            chosen.add(mark)
+    return chosen
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the page's main text in page order, joined by one line feed; "" if there is none."""
-    lines = lines_of(page or "")
-    marked = any(mark > 0 and text for text, _, mark, _ in lines)
-    lengths = []
-    for text, linked, mark, _ in lines:
-        if marked:
-            lengths.append(len(text) if mark > 0 else 0)
-        else:
-            lengths.append(0 if linked > LINK_SHARE * len(text) else len(text))
+    lines, around = lines_of(page or "")
+    lengths = [len(text) if mark > 0 or linked <= LINK_SHARE * len(text) else 0 for text, linked, mark, _ in lines]
     sums = [sum(lengths[i:i + WINDOW]) for i in range(len(lengths))]
     bodies, i = [], 0
     while i < len(sums):
@@ -187,15 +258,17 @@ def main_text(page: str | None) -> str:
         while i < len(sums) and sums[i] > 0:     # the dive: WINDOW lines without text
             i += 1
         full = [k for k in range(surge, i) if lengths[k]]
-        bodies.append((full[0], full[-1] + 1, max(sums[surge:i])))
-    if marked:
-        return "\n".join(lines[k][0] for a, b, _ in bodies for k in range(a, b) if lengths[k])
+        bodies.append((full[0], full[-1] + 1, max(sums[surge:i]), lines[full[0]][2], sum(lengths[surge:i])))
+    chosen = _chosen_landmarks(bodies, around)
+    if chosen:
+        return "\n".join(lines[k][0] for a, b, _, mark, _ in bodies if mark in chosen for k in range(a, b) if lengths[k])
+    bodies = [body for body in bodies if body[3] == 0]
     if bodies:
-        first, last, top = max(bodies, key=lambda b: b[2])
+        first, last, top, *_ = max(bodies, key=lambda b: b[2])
         holders = {lines[k][3] for k in range(first, last) if lengths[k]} - {0}
-        bodies = [(a, b, peak) for a, b, peak in bodies
-                  if peak >= PEAK_SHARE * top or any(lines[k][3] in holders for k in range(a, b) if lengths[k])]
-    return "\n".join(lines[k][0] for a, b, _ in bodies for k in range(a, b) if lines[k][0])
+        bodies = [body for body in bodies
+                  if body[2] >= PEAK_SHARE * top or any(lines[k][3] in holders for k in range(body[0], body[1]) if lengths[k])]
+    return "\n".join(lines[k][0] for a, b, *_ in bodies for k in range(a, b) if lines[k][0])
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -229,6 +229,24 @@ def test_scripts_are_passed_over_as_characters(page):
     assert html_extract.main_text(page) == "Body."
 
 
+BODY = "".join(f"<p>Paragraph {i} of the body, {'with a few more words, ' * 6}and an end.</p>" for i in range(6))
+TEXT = html_extract.main_text(BODY)
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class=content>{BODY}</div><div class=related><article><p>A teaser.</p></article><article><p>One more.</p></article></div>",
+    f"<div class=content>{BODY}</div><div><article><p>Nice text, says a reader.</p></article><article><p>Thanks.</p></article></div>",
+    f"<article>{BODY}</article><div class=comments><article><p>{'A reader says so. ' * 30}</p></article></div>",
+    f"<article>{BODY}</article><div><article><p>First!</p></article><article><p>Second!</p></article></div>",
+    f"<main><div>{BODY}</div></main><footer><article><p>About us</p></article></footer>",
+    f"<nav><ul><li>never closed<main>{BODY}</main>",
+    f"<article>{BODY}<nav><nav>a</nav>never closed</article>",
+    f"<ul><li class=ad>Buy<li class=ad>More</ul><article><p class=ad>Buy this{BODY}</article>",
+])
+def test_landmarks_in_furniture_are_not_the_main_text(page):
+    assert html_extract.main_text(page) == TEXT and TEXT.count("\n") == 5
+
+
 def turns(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
