@@ -1,8 +1,9 @@
 """Operator 5: main text of HTML pages by line-block distribution.
 
 Markup is stripped first: every block element of a page becomes one line, scripts, styles, forms
-and page furniture (navigation, banners, side columns, adverts, notices, reader comments) leave
-empty lines in their place.  Then the text lengths of ``WINDOW`` consecutive lines are summed for
+and page furniture (navigation, side columns, footers) leave empty lines in their place.  Names of
+classes and ids are a hint only: an element named like furniture goes if it has no long text
+without links, one named like text of others (adverts, reader comments) if the page has other text.  Then the text lengths of ``WINDOW`` consecutive lines are summed for
 every line; the sum surges where a body of text begins and dives to nothing where it ends.  The
 text between a surge and its dive is one candidate body.  A page that marks its article keeps the
 bodies inside the mark, where no text outside of it has a higher sum and more length; of several
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 WINDOW = 3
 PEAK_SHARE = 0.34
 LINK_SHARE = 0.6
+LONG = 140                                       # characters without a link in WINDOW lines
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -43,6 +45,13 @@ FURNITURE_WORDS = frozenset(("ad ads adbox adslot advert adverts advertisement a
 #: Elements that may leave out their end tag: what they are parts of, and what else ends them.
 PARTS_OF = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "td": ("table",), "th": ("table",), "tr": ("table",)}
 SIBLINGS = {"dt": ("dd",), "dd": ("dt",), "td": ("th", "tr", "tbody"), "th": ("td", "tr", "tbody"), "tr": ("tbody", "tfoot")}
+#: Words that name text of somebody else; those of the others that also name parts of an article;
+#: and words that name its text.
+FOREIGN_WORDS = frozenset(("ad ads adbox adslot advert adverts advertisement advertising adsense adsbygoogle comment comments commentlist consent "
+                           "cookie cookies copyright disqus gdpr newsletter promo promoted promotion replies sidebar sidebars signup sponsor "
+                           "sponsored subscribe subscription").split())
+FRAME_WORDS = frozenset("alert aside banner foot footer header notice notices notification rail widget widgets".split())
+CONTENT_WORDS = frozenset("article body content editor entry heading headline paragraph post story text title".split())
 LANDMARKS = frozenset("article main".split())
 CONTAINERS = frozenset("div section td center main article body details".split())
 
@@ -58,14 +67,34 @@ def _is_furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
+    return tag not in ("html", "body", "main") and not (tag == "header" and inside) and attributes.get("role") in FURNITURE_ROLES
+
+
+def _hint(tag: str, attributes: dict[str, str], inside: bool) -> int:
+    """What class and id say: 2 for text of somebody else, 1 for other furniture, else 0.
+
+    Names of several words, such as article-header or widget-text, count by their first and last
+    word if another one names content; frame words do not count beside it.
+    """
     if tag in ("html", "body", "main") or (tag == "header" and inside):
-        return False
-    if attributes.get("role") in FURNITURE_ROLES:
-        return True
-    names = set(_PARTS.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
+        return 0
+    words, own = set(), False
+    for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+        parts = _PARTS.findall(name)
+        if CONTENT_WORDS.isdisjoint(parts):
+            words.update(parts)
+        else:
+            own = True
+            words.update({parts[0], parts[-1]} - FRAME_WORDS)
     if tag in LANDMARKS or re.fullmatch("h[1-6]|p", tag):
-        return bool(names & {"ad", "ads", "advert", "advertisement", "comment", "comments", "cookie", "notice", "promo", "sponsored", "reply"})
-    return bool(names & FURNITURE_WORDS)
+        return 2 if words & {"ad", "ads", "advert", "advertisement", "comment", "comments", "cookie", "notice", "promo", "sponsored", "reply"} else 0
+    if words & FOREIGN_WORDS:
+        return 2
+    if own:
+        words -= FRAME_WORDS
+    if inside:
+        words.discard("header")
+    return int(bool(words & FURNITURE_WORDS))
 
 
 def _tokens(page: str):
@@ -148,6 +177,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
     text and a landmark of -1 where markup was taken out; and the landmark around each landmark."""
     out: list[tuple[str, int, int, int]] = []
     around = [0]
+    hinted: list[tuple[int, int, int]] = []      # (first line, end, hint) of elements with furniture's names
+    open_hints: list[tuple[int, int, int]] = []  # (place of the token after it, first line, hint)
     parts: list[str] = []
     linked = 0
     in_link = 0
@@ -172,6 +203,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
             if in_link:
                 linked += start - at
         at = end
+        while open_hints and open_hints[-1][0] <= k:
+            close()
+            _, first, hint = open_hints.pop()
+            hinted.append((first, len(out), hint))
         k += 1
         if not tag:
             continue
@@ -185,6 +220,11 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
                     k, own = _after(tokens, k - 1, closings, marks[-1][0] if marks else "")
                     at = tokens[k - 1][1] if own else tokens[k][0] if k < len(tokens) else len(page)
                 continue
+            hint = _hint(tag, attributes, landmark > 0) if attributes and tag not in VOID and not extra.endswith("/") else 0
+            if hint:
+                close()
+                stop, own = _after(tokens, k - 1, closings, marks[-1][0] if marks else "")
+                open_hints.append((stop - own, len(out), hint))
         if tag == "a":
             in_link = 0 if ends else 1
         elif tag == "br" or tag == "th" or (tag == "td" and ends):
@@ -214,7 +254,46 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
     if at < len(page):
         parts.append(page[at:])
     close()
-    return out, around
+    while open_hints:
+        _, first, hint = open_hints.pop()
+        hinted.append((first, len(out), hint))
+    return _without_furniture(out, hinted), around
+
+
+def _unlinked(line: tuple) -> int:
+    return 0 if line[1] > LINK_SHARE * len(line[0]) else len(line[0])
+
+
+def _without_furniture(lines: list[tuple], hinted: list[tuple[int, int, int]]) -> list[tuple]:
+    """The lines, without those of elements that have furniture's names and no long text.
+
+    Long text of somebody else goes too, unless the page has no other.
+    """
+    if not hinted:
+        return lines
+    lengths = [_unlinked(line) for line in lines]
+    foreign = [False] * len(lines)
+    for first, end, hint in hinted:
+        if hint == 2:
+            foreign[first:end] = [True] * (end - first)
+    own = [0 if f else n for f, n in zip(foreign, lengths)]
+    gone = [False] * len(lines)
+    # innermost first: what goes with an inner element does not speak for the one around it
+    for first, end, hint in hinted:
+        if hint == 1 and max((sum(own[i:min(i + WINDOW, end)]) for i in range(first, end)), default=0) < LONG:
+            gone[first:end] = [True] * (end - first)
+            own[first:end] = [0] * (end - first)
+    rest = sum(own)
+    for first, end, hint in hinted:
+        if hint == 2 and (rest >= LONG or sum(lengths[first:end]) < max(LONG, rest)):
+            gone[first:end] = [True] * (end - first)
+    out = []
+    for k, line in enumerate(lines):
+        if not gone[k]:
+            out.append(line)
+        elif k == 0 or not gone[k - 1]:
+            out.extend([("", 0, -1, -1)] * WINDOW)
+    return out
 
 
 def _chosen_landmarks(bodies: list[tuple], around: list[int]) -> set[int]:

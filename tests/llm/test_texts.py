@@ -247,6 +247,22 @@ def test_landmarks_in_furniture_are_not_the_main_text(page):
     assert html_extract.main_text(page) == TEXT and TEXT.count("\n") == 5
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<article><div class='article-header'><h1>Title</h1></div>{BODY}</article>", "Title\n" + TEXT),
+    (f"<div class='elementor-widget elementor-widget-text-editor'>{BODY}</div><div class=widget><p>Tags</p></div>", TEXT),
+    (f"<article><div class=header><h2>Title</h2></div><div class='elementor-widget elementor-widget-heading'><h2>Sub</h2></div>{BODY}</article>", "Title\nSub\n" + TEXT),
+    (f"<div id=skip>{BODY}</div>", TEXT),
+    (f"<div class=related><div class='search rail'>{BODY}<div class=share>Share this</div></div></div>", TEXT),
+    (f"<article><p>Start of it.</p><div class=notice>{BODY}</div></article>", "Start of it.\n" + TEXT),
+    (f"<article>{BODY}<div class=social>Follow us<div class=ad>{'Buy this now. ' * 30}</div></div></article>", TEXT),
+    (f"<div class=content>{BODY}</div><div id=comments><p>{'A reader says so. ' * 90}</p></div>", TEXT),
+    (f"<div class='post comments'>{BODY}</div>", TEXT),
+    (f"<article>{BODY}</article><div class=post-comments>{BODY}</div>", TEXT),
+])
+def test_names_of_classes_are_a_hint_only(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def turns(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
