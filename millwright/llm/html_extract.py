@@ -5,7 +5,8 @@ and page furniture (navigation, side columns, footers) leave empty lines in thei
 classes and ids are a hint only: an element named like furniture goes if it has no long text
 without links, one named like text of others (adverts, reader comments) if the page has other text.  Then the text lengths of ``WINDOW`` consecutive lines are summed for
 every line; the sum surges where a body of text begins and dives to nothing where it ends.  The
-text between a surge and its dive is one candidate body.  A page that marks its article keeps the
+text between a surge and its dive is one candidate body.  Lines that are links for the most part
+count as empty, so a list of links is a dive, and such a line with several links is left out.  A page that marks its article keeps the
 bodies inside the mark, where no text outside of it has a higher sum and more length; of several
 marks those with sums near the highest count.  Any other page keeps each body whose peak reaches ``PEAK_SHARE`` of the
 page's highest peak, and every body in an element that holds lines of the highest one.
@@ -56,6 +57,9 @@ LANDMARKS = frozenset("article main".split())
 CONTAINERS = frozenset("div section td center main article body details".split())
 
 
+GAP = ("", 0, -1, -1, 0)
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): _html.unescape(v.strip("\"'")).lower() for k, v in _ATTR.findall(text)} if text.strip(" /") else {}
 
@@ -172,26 +176,31 @@ def _after(tokens: list[tuple], k: int, closings: dict[int, int], mark: str) ->
     return len(tokens), False
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
-    """(text, characters inside links, landmark number or 0, element number) per block, with an empty
-    text and a landmark of -1 where markup was taken out; and the landmark around each landmark."""
-    out: list[tuple[str, int, int, int]] = []
+def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]]:
+    """(text, characters inside links, landmark number or 0, element number, links) per block, with an
+    empty text and a landmark of -1 where markup was taken out; and the landmark around each landmark.
+
+    A main heading (h1) counts as text even if it is a link.
+    """
+    out: list[tuple[str, int, int, int, int]] = []
     around = [0]
     hinted: list[tuple[int, int, int]] = []      # (first line, end, hint) of elements with furniture's names
     open_hints: list[tuple[int, int, int]] = []  # (place of the token after it, first line, hint)
     parts: list[str] = []
-    linked = 0
-    in_link = 0
+    linked = links = 0
+    in_link, open_link, in_title = 0, False, False
     landmark, marks, n_marks = 0, [], 0          # innermost landmark, its open elements
     holders, n_holders = [("", 0)], 0            # open containers
 
     def close():
-        nonlocal linked
+        nonlocal linked, links, in_link
         text = " ".join(_html.unescape("".join(parts)).split())
         if text:
-            out.append((text, linked, landmark, holders[-1][1]))
+            out.append((text, 0 if in_title else linked, landmark, holders[-1][1], links))
         parts.clear()
-        linked = 0
+        linked, links = 0, 0
+        if open_link:
+            in_link = 0
 
     tokens = list(_tokens(page))
     closings = _closings(tokens)
@@ -215,7 +224,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
             if tag in RAW or _is_furniture(tag, attributes, landmark > 0):
                 if tag in BLOCK or tag in FURNITURE or tag not in RAW:
                     close()
-                    out.extend([("", 0, -1, -1)] * WINDOW)
+                    out.extend([GAP] * WINDOW)
                 if tag not in VOID and not extra.endswith("/"):
                     k, own = _after(tokens, k - 1, closings, marks[-1][0] if marks else "")
                     at = tokens[k - 1][1] if own else tokens[k][0] if k < len(tokens) else len(page)
@@ -226,11 +235,15 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
                 stop, own = _after(tokens, k - 1, closings, marks[-1][0] if marks else "")
                 open_hints.append((stop - own, len(out), hint))
         if tag == "a":
-            in_link = 0 if ends else 1
+            in_link = 0 if ends or "href" not in attributes else 1
+            open_link = not ends and k - 1 not in closings  # a link without an end tag ends with its block
+            links += in_link
         elif tag == "br" or tag == "th" or (tag == "td" and ends):
             parts.append(" ")
         elif tag in BLOCK or tag in CONTAINERS:
             close()
+            if tag == "h1":
+                in_title = not ends
             if tag in CONTAINERS:
                 if not ends:
                     n_holders += 1
@@ -244,13 +257,13 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
                     marks.append((tag, landmark))
                     around.append(landmark)
                     landmark = n_marks
-                    out.extend([("", 0, -1, -1)] * WINDOW)
+                    out.extend([GAP] * WINDOW)
                 elif any(t == tag for t, _ in marks):
                     while marks:
                         t, landmark = marks.pop()
                         if t == tag:
                             break
-                    out.extend([("", 0, -1, -1)] * WINDOW)
+                    out.extend([GAP] * WINDOW)
     if at < len(page):
         parts.append(page[at:])
     close()
@@ -292,7 +305,7 @@ def _without_furniture(lines: list[tuple], hinted: list[tuple[int, int, int]]) -
         if not gone[k]:
             out.append(line)
         elif k == 0 or not gone[k - 1]:
-            out.extend([("", 0, -1, -1)] * WINDOW)
+            out.extend([GAP] * WINDOW)
     return out
 
 
@@ -326,7 +339,8 @@ def _chosen_landmarks(bodies: list[tuple], around: list[int]) -> set[int]:
 def main_text(page: str | None) -> str:
     """Blocks of the page's main text in page order, joined by one line feed; "" if there is none."""
     lines, around = lines_of(page or "")
-    lengths = [len(text) if mark > 0 or linked <= LINK_SHARE * len(text) else 0 for text, linked, mark, _ in lines]
+    lengths = [_unlinked(line) for line in lines]
+    texts = [line[0] if n or line[4] < 2 else "" for line, n in zip(lines, lengths)]  # without lines of several links and little else
     sums = [sum(lengths[i:i + WINDOW]) for i in range(len(lengths))]
     bodies, i = [], 0
     while i < len(sums):
@@ -338,16 +352,18 @@ def main_text(page: str | None) -> str:
             i += 1
         full = [k for k in range(surge, i) if lengths[k]]
         bodies.append((full[0], full[-1] + 1, max(sums[surge:i]), lines[full[0]][2], sum(lengths[surge:i])))
+    if not bodies:                               # links only: what the page marks as its article, if any
+        return "\n".join(line[0] for line in lines if line[2] > 0)
     chosen = _chosen_landmarks(bodies, around)
     if chosen:
-        return "\n".join(lines[k][0] for a, b, _, mark, _ in bodies if mark in chosen for k in range(a, b) if lengths[k])
+        return "\n".join(texts[k] for a, b, _, mark, _ in bodies if mark in chosen for k in range(a, b) if texts[k])
     bodies = [body for body in bodies if body[3] == 0]
     if bodies:
         first, last, top, *_ = max(bodies, key=lambda b: b[2])
         holders = {lines[k][3] for k in range(first, last) if lengths[k]} - {0}
         bodies = [body for body in bodies
                   if body[2] >= PEAK_SHARE * top or any(lines[k][3] in holders for k in range(body[0], body[1]) if lengths[k])]
-    return "\n".join(lines[k][0] for a, b, *_ in bodies for k in range(a, b) if lines[k][0])
+    return "\n".join(texts[k] for a, b, *_ in bodies for k in range(a, b) if texts[k])
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -263,6 +263,21 @@ def test_names_of_classes_are_a_hint_only(page, text):
     assert html_extract.main_text(page) == text
 
 
+LINKS = "".join(f"<li><a href=/{i}>Another story, number {i}</a></li>" for i in range(4))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><h1><a href=/me>Title</a></h1>{BODY}<ul>{LINKS}</ul></article>", "Title\n" + TEXT),
+    (f"<main><ul>{LINKS}</ul>{BODY}<p><a href=/f>Facebook</a> <a href=/m>Mail</a></p>{BODY}</main>", TEXT + "\n" + TEXT),
+    (f"<article>{BODY}<ul>{LINKS}</ul>{BODY}</article>", TEXT + "\n" + TEXT),
+    (f"<article><a name=top>{BODY}<p>See <a href=/x>this</a>.</p><p><a href=/y>open link<p>The end.</p></article>", TEXT + "\nSee this.\nopen link\nThe end."),
+    (f"<article><p>One.</p><p><a href=/x>A linked line.</a></p><p>Two.</p></article>", "One.\nA linked line.\nTwo."),
+    (f"<article><p><a href=/x>All of it is a link.</a></p></article>", "All of it is a link."),
+])
+def test_link_share_counts_on_marked_pages_too(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def turns(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
