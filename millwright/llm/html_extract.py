@@ -8,14 +8,16 @@ every line; the sum surges where a body of text begins and dives to nothing wher
 text between a surge and its dive is one candidate body.  Lines that are links for the most part
 count as empty, so a list of links is a dive, and such a line with several links is left out.  A page that marks its article keeps the
 bodies inside the mark, where no text outside of it has a higher sum and more length; of several
-marks those with sums near the highest count.  Any other page keeps each body whose peak reaches ``PEAK_SHARE`` of the
-page's highest peak, and every body in an element that holds lines of the highest one.
+marks those with sums near the highest count.  Any other page keeps the highest body, those whose peak reaches
+``PEAK_SHARE`` of it or that stand in its elements or beside them, and all bodies between these.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left, bisect_right
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +66,11 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): _html.unescape(v.strip("\"'")).lower() for k, v in _ATTR.findall(text)} if text.strip(" /") else {}
 
 
+def _names(attributes: dict[str, str]) -> frozenset[str]:
+    words = _PARTS.findall(attributes.get("class", "") + " " + attributes.get("id", ""))
+    return frozenset(w for w in words if not w.isdigit())
+
+
 def _is_furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     if tag in FURNITURE or (tag == "header" and not inside):
         return True
@@ -135,9 +142,10 @@ def _closings(tokens: list[tuple]) -> dict[int, int]:
     return out
 
 
-def _after(tokens: list[tuple], k: int, closings: dict[int, int], mark: str) -> tuple[int, bool]:
+def _after(tokens: list[tuple], k: int, closings: dict[int, int], bounds: list[int], mark: str) -> tuple[int, bool]:
     """Place of the first token after the element that begins at ``k``, inside an open landmark ``mark``
-    or "", and if the token before it is the element's end tag.
+    or "", and if the token before it is the element's end tag.  ``bounds`` are the places of landmarks
+    and of the ends of the body.
 
     An element ends at its end tag, but not outside of the landmark or body it began in.  One that
     has none ends where its kind may (a list item at the next one) or, with no landmark open, at
@@ -146,7 +154,12 @@ def _after(tokens: list[tuple], k: int, closings: dict[int, int], mark: str) ->
     tag, stop = tokens[k][2], closings.get(k)
     around = PARTS_OF.get(tag)
     depth = inner = 0
-    for i in range(k + 1, len(tokens)):
+    if tag == "p" or around or tag == "head":
+        places = range(k + 1, len(tokens))
+    else:
+        stop_at = len(tokens) if stop is None else stop
+        places = bounds[bisect_right(bounds, k):bisect_left(bounds, stop_at)] + [stop_at] * (stop is not None)
+    for i in places:
         _, _, t, ends, extra = tokens[i]
         if i == stop and tag != "p" and not around:
             return i + 1, True
@@ -176,9 +189,16 @@ def _after(tokens: list[tuple], k: int, closings: dict[int, int], mark: str) ->
     return len(tokens), False
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]]:
+def _mark_frame(boxes: list[list], box: int):
+    while not boxes[box][2] or box and not boxes[boxes[box][0]][2]:
+        boxes[box][2] = True
+        box = boxes[box][0]
+
+
+def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int], list[list]]:
     """(text, characters inside links, landmark number or 0, element number, links) per block, with an
-    empty text and a landmark of -1 where markup was taken out; and the landmark around each landmark.
+    empty text and a landmark of -1 where markup was taken out; the landmark around each landmark; and
+    [element around it, words of class and id, if it holds the page's frame] per element.
 
     A main heading (h1) counts as text even if it is a link.
     """
@@ -191,6 +211,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]
     in_link, open_link, in_title = 0, False, False
     landmark, marks, n_marks = 0, [], 0          # innermost landmark, its open elements
     holders, n_holders = [("", 0)], 0            # open containers
+    boxes: list[list] = [[0, frozenset(), True]]
 
     def close():
         nonlocal linked, links, in_link
@@ -204,6 +225,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]
 
     tokens = list(_tokens(page))
     closings = _closings(tokens)
+    bounds = [i for i, t in enumerate(tokens) if t[2] in LANDMARKS or t[3] and t[2] in ("body", "html")]
     at = k = 0
     while k < len(tokens):
         start, end, tag, ends, extra = tokens[k]
@@ -222,17 +244,19 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]
         if not ends:
             attributes = _attributes(extra)
             if tag in RAW or _is_furniture(tag, attributes, landmark > 0):
+                if tag in ("nav", "footer", "header"):
+                    _mark_frame(boxes, holders[-1][1])
                 if tag in BLOCK or tag in FURNITURE or tag not in RAW:
                     close()
                     out.extend([GAP] * WINDOW)
                 if tag not in VOID and not extra.endswith("/"):
-                    k, own = _after(tokens, k - 1, closings, marks[-1][0] if marks else "")
+                    k, own = _after(tokens, k - 1, closings, bounds, marks[-1][0] if marks else "")
                     at = tokens[k - 1][1] if own else tokens[k][0] if k < len(tokens) else len(page)
                 continue
             hint = _hint(tag, attributes, landmark > 0) if attributes and tag not in VOID and not extra.endswith("/") else 0
             if hint:
                 close()
-                stop, own = _after(tokens, k - 1, closings, marks[-1][0] if marks else "")
+                stop, own = _after(tokens, k - 1, closings, bounds, marks[-1][0] if marks else "")
                 open_hints.append((stop - own, len(out), hint))
         if tag == "a":
             in_link = 0 if ends or "href" not in attributes else 1
@@ -247,6 +271,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]
             if tag in CONTAINERS:
                 if not ends:
                     n_holders += 1
+                    boxes.append([holders[-1][1], _names(attributes), tag == "body"])
                     holders.append((tag, n_holders))
                 elif any(t == tag for t, _ in holders):
                     while holders.pop()[0] != tag:
@@ -270,7 +295,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]
     while open_hints:
         _, first, hint = open_hints.pop()
         hinted.append((first, len(out), hint))
-    return _without_furniture(out, hinted), around
+    return _without_furniture(out, hinted), around, boxes
 
 
 def _unlinked(line: tuple) -> int:
@@ -293,7 +318,7 @@ def _without_furniture(lines: list[tuple], hinted: list[tuple[int, int, int]]) -
     gone = [False] * len(lines)
     # innermost first: what goes with an inner element does not speak for the one around it
     for first, end, hint in hinted:
-        if hint == 1 and max((sum(own[i:min(i + WINDOW, end)]) for i in range(first, end)), default=0) < LONG:
+        if hint == 1 and (sum(own[first:end]) < LONG or all(sum(own[i:min(i + WINDOW, end)]) < LONG for i in range(first, end))):
             gone[first:end] = [True] * (end - first)
             own[first:end] = [0] * (end - first)
     rest = sum(own)
@@ -336,9 +361,51 @@ def _chosen_landmarks(bodies: list[tuple], around: list[int]) -> set[int]:
     return chosen
 
 
+def _around_the_highest(bodies: list[tuple], lines: list[tuple], lengths: list[int], boxes: list[list]) -> list[tuple]:
+    """The body with the highest sum, those that come near it or belong to it, and all between them.
+
+    A body belongs to it if it lies in one of its elements or beside them in one element.  Where
+    that element holds the page's frame too (navigation, lists of links), only bodies in elements
+    named alike, or like content, count.
+    """
+    linked = [line[3] for line in lines if line[0]]
+    flat = [n == 0 for line, n in zip(lines, lengths) if line[0]]
+    for k in range(1, len(linked)):
+        if flat[k] and flat[k - 1]:              # a list of links
+            _mark_frame(boxes, linked[k])
+    held = [{lines[k][3] for k in range(a, b) if lengths[k]} for a, b, *_ in bodies]
+    best = max(range(len(bodies)), key=lambda n: bodies[n][2])
+    # An element's number is above those of the elements around it.
+    ahead = [-box for box in held[best]]
+    heapify(ahead)
+    while True:
+        common = -heappop(ahead)
+        while ahead and ahead[0] == -common:
+            heappop(ahead)
+        if not ahead:
+            break
+        heappush(ahead, -boxes[common][0])
+    parent = boxes[common][0] if len(held[best]) == 1 else common
+    child = [0] * len(boxes)                     # the element just below the parent, around each element
+    for box in range(1, len(boxes)):
+        child[box] = box if boxes[box][0] == parent else child[boxes[box][0]]
+    names = frozenset().union(*(boxes[child[box]][1] for box in held[best] if child[box]))
+    belongs = [False] * len(boxes)
+    inside = [False] * len(boxes)                # of an element of the body that holds no frame
+    for box, (outer, _, frame) in enumerate(boxes):
+        inside[box] = box > 0 and inside[outer] or box in held[best] and not frame
+        belongs[box] = inside[box] or box > 0 and box in held[best]
+        if not belongs[box] and parent not in held[best] and (child[box] or box == parent):
+            beside = boxes[child[box]][1]
+            belongs[box] = not boxes[parent][2] or child[box] > 0 and bool(beside & (names | CONTENT_WORDS) or not beside and not names)
+    least = PEAK_SHARE * bodies[best][2]
+    kept = [n for n, body in enumerate(bodies) if body[2] >= least or any(belongs[box] for box in held[n])]
+    return bodies[kept[0]:kept[-1] + 1]
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the page's main text in page order, joined by one line feed; "" if there is none."""
-    lines, around = lines_of(page or "")
+    lines, around, boxes = lines_of(page or "")
     lengths = [_unlinked(line) for line in lines]
     texts = [line[0] if n or line[4] < 2 else "" for line, n in zip(lines, lengths)]  # without lines of several links and little else
     sums = [sum(lengths[i:i + WINDOW]) for i in range(len(lengths))]
@@ -357,12 +424,7 @@ def main_text(page: str | None) -> str:
     chosen = _chosen_landmarks(bodies, around)
     if chosen:
         return "\n".join(texts[k] for a, b, _, mark, _ in bodies if mark in chosen for k in range(a, b) if texts[k])
-    bodies = [body for body in bodies if body[3] == 0]
-    if bodies:
-        first, last, top, *_ = max(bodies, key=lambda b: b[2])
-        holders = {lines[k][3] for k in range(first, last) if lengths[k]} - {0}
-        bodies = [body for body in bodies
-                  if body[2] >= PEAK_SHARE * top or any(lines[k][3] in holders for k in range(body[0], body[1]) if lengths[k])]
+    bodies = _around_the_highest([body for body in bodies if body[3] == 0], lines, lengths, boxes)
     return "\n".join(texts[k] for a, b, *_ in bodies for k in range(a, b) if texts[k])
 
 

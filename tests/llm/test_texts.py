@@ -278,6 +278,25 @@ def test_link_share_counts_on_marked_pages_too(page, text):
     assert html_extract.main_text(page) == text
 
 
+SHORT = "<p>Yes.</p><p>No.</p><ul><li>One thing</li></ul>"
+SAID = "Yes.\nNo.\nOne thing"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div class=post><div>{BODY}</div><div class=ad>Buy</div><div>{SHORT}</div></div>", TEXT + "\n" + SAID),
+    (f"<section>{SHORT}</section><form>Search</form><section>{BODY}</section><nav>Menu</nav><section>{SHORT}</section>", SAID + "\n" + TEXT + "\n" + SAID),
+    (f"<body><nav>Menu</nav><div class='part a'>{BODY}</div><form>Mail</form><div class='part b'>{SHORT}</div></body>", TEXT + "\n" + SAID),
+    (f"<div class=x><div class=top>{BODY}</div><aside>Side</aside><section id=end>{SHORT}</section></div>", TEXT + "\n" + SAID),
+    (f"<div class=x><div class=top>{BODY}</div><form>Mail</form><div class=mid>{SHORT}</div><form>Mail</form><div class=low>{BODY}</div></div>",
+     TEXT + "\n" + SAID + "\n" + TEXT),
+    (f"<div class=post><div><p>{'A very long paragraph. ' * 400}</p></div><form>Mail</form><div>{BODY}</div></div>",
+     ("A very long paragraph. " * 400).strip() + "\n" + TEXT),
+    (f"<div class=page><ul>{LINKS}</ul><div class=text>{BODY}</div><form>Mail</form><div class=imprint><p>Imprint</p></div></div>", TEXT),
+])
+def test_short_parts_beside_long_ones_stay(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def turns(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
