@@ -6,9 +6,9 @@ the others, until no target is above its clamp.  A target of 2.4 epochs then mea
 repetitions of every document and a seeded sample of documents for the remaining 0.4.
 
 The sample takes documents in the order of a seeded hash until their words reach the remainder;
-the document at the crossing is taken if that comes nearer to it.  The prefix sums are made in two
-steps (hash buckets of about ``BUCKET_ROWS`` documents, then rows of one bucket), so that a source
-with a third of all rows is spread over many tasks.
+the document at the crossing is taken if that comes nearer to it.  The prefix sums are made
+over range chunks of the rows in order, so that a source with a third of all rows, or many rows
+under one id or none, are spread over many tasks.
 """
 
 from __future__ import annotations
@@ -18,11 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordering import row_position
+from ..operators.ordering import row_position, running_sums
 from .common import WORD, settled
 
-BUCKET_ROWS = 1024
-
 
 def source_targets(sizes: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """source, source_size, n_docs, weight, target from one row per source (source, source_size, n_docs).
@@ -62,41 +60,40 @@ def mix_sources(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_epochs: i
     source is a source of its own; repeated rows are separate documents; a null id hashes like an
     empty string.  An empty table gives no rows.  The same rows and seed give the same mix.
     """
+    return _mixed(docs, cycle, max_epochs, seed, id_col, source_col, text_col).drop("_row")
+
+
+def _mixed(docs: DataFrame, cycle: Sequence[int], max_epochs: int, seed: str, id_col: str, source_col: str, text_col: str,
+           row_col: str | None = None) -> DataFrame:
+    """``mix_sources`` with the row's number, ``row_col`` or else one given here, as _row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"))
+                       F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
+                       F.xxhash64(F.col(text_col)).alias("_text"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row"))
     rows = settled(rows, "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = settled(source_targets(sizes, cycle, max_epochs), "mix-targets")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    buckets = F.ceil(F.col("n_docs") / BUCKET_ROWS)
-    placed = (rows.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-              .withColumn("_key", key)
-              .withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32) * buckets)))
-    sums = placed.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"),
-                       F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("source", "_bucket").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows that share an id and a size follow each other by text; the row's number lets equal rows be cut apart too.
+    placed = running_sums(rows.withColumn("_key", key), ["size"], ["source", "_key", "size", "_text", "_row"])
+    placed = placed.withColumn("_before", F.col("size_cum") - F.col("size"))
+    starts = placed.groupBy(F.col("source").alias("_f")).agg(F.min("_before").alias("_start"))
+    known = targets.join(starts, F.col("source").eqNullSafe(F.col("_f"))).drop("_f").withColumnRenamed("source", "_s")
     rest = F.col("target") - F.col("whole") * F.col("source_size")
-    return (placed.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
-            .withColumn("_before", F.col("_before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    return (placed.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+            .withColumn("_before", F.col("_before") - F.col("_start"))
             .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
             .withColumn("extra", ((F.col("_before") * 2 + F.col("size")).cast("double") <= rest * 2).cast("long"))
             .withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(max_epochs)).cast("long"))
             .select("doc_id", "source", "size", "source_size", "target", "whole", "extra", "copies",
-                    (F.col("copies") * F.col("size")).alias("taken")))
+                    (F.col("copies") * F.col("size")).alias("taken"), "_row"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix: every document as often as its number of copies says.
+    """The rows of the mix: every row as often as its own number of copies says.
 
-    Rows that share an id share its copies only if they share source and size too.
+    The rows are written once with a number, so that a row keeps its copies whatever it shares with others.
     """
-    id_col, source_col, text_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text")))
-    plan = (mix_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_n"))
-            .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_c", "_n"))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    keys = F.col(id_col).eqNullSafe(F.col("_d")) & F.col(source_col).eqNullSafe(F.col("_s")) & (size == F.col("_z"))
-    # copies of repeated rows are shared out evenly; the first of them gets what is left over
-    return (docs.join(plan, keys).withColumn("_k", F.when(F.col("_n") == 1, F.col("_c")).otherwise(F.round(F.col("_c") / F.col("_n"))))
-            .filter("_k > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select(*docs.columns))
+    rows = settled(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    given = {"cycle": (1, 2, 3), "max_epochs": 3, "seed": "mix-1", "id_col": "doc_id", "source_col": "source", "text_col": "text"} | options
+    plan = _mixed(rows, row_col="_row", **given).filter("copies > 0").select("_row", F.col("copies").alias("_c"))
+    return rows.join(plan, "_row").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).select(*docs.columns)

@@ -150,6 +150,23 @@ def test_mix_of_odd_documents(spark):
     assert mixing.mix_sources(no_documents(spark)).count() == 0
 
 
+def test_rows_under_one_id_get_copies_of_their_own(spark):
+    rows = [(None, f"w{i} two three", "en", "a", 3) for i in range(9)] + [(None, "same same same", "en", "a", 3)] * 4
+    rows += [(7, f"x{i} y z", "en", "b", 3) for i in range(11)] + [(i, "one two three", "en", "c", 3) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plan = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        plan[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    out = mixing.mixed_documents(docs).collect()
+    assert Counter((r["doc_id"], r["source"], 3) for r in out) == +plan
+    per_row = Counter(r["text"] for r in out if r["text"] not in ("same same same", "one two three"))
+    assert all(n <= 3 for n in per_row.values())
+    whole = {r["source"]: r["whole"] for r in mixing.mix_sources(docs).collect()}
+    assert all(per_row[f"w{i} two three"] >= whole["a"] for i in range(9)) and all(per_row[f"x{i} y z"] >= whole["b"] for i in range(11))
+    again = mixing.mixed_documents(docs.repartition(5)).collect()
+    assert Counter(r["text"] for r in again) == Counter(r["text"] for r in out)
+
+
 def test_quality_model_separates_prose_from_junk(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
