@@ -20,10 +20,6 @@ from .sources_q import _live_readings
 SENS = ", ".join(rules.SENSORS)
 M1 = LINEAR_MODELS["m1"]
 
-# Logistic regression and the forest run with the library's settings.  The boosted models run fewer
-# rounds here than the library's 200: their rounds follow each other, several Spark jobs each.
-ROUNDS = {"lr": {}, "rf": {}, "gbt": {"maxIter": 20, "maxDepth": 4}, "gbt_b": {"maxIter": 20, "maxDepth": 4}}
-
 
 def q_standard_scale(spark, d):
     s = ordering.time_split(fx.sensors(spark, d).select("event_id", "ts", *rules.SENSORS), ["ts", "event_id"], 0.2)
@@ -147,7 +143,7 @@ def _train(spark, d, kind):
         train = training.with_weights(train, training.class_weights(train))
     else:
         train = training.with_pos_weight(train)
-    model = training.fit(train, MODEL_FEATURES, kind, ROUNDS[kind])
+    model = training.fit(train, MODEL_FEATURES, kind)
     scores = training.evaluate(model, test, MODEL_FEATURES)
     in_range = F.lit(True)
     for c in ("pr_auc", "average_precision", "precision", "recall", "f1"):
@@ -177,7 +173,7 @@ def q_train_gbt_b(spark, d):
 def q_model_roundtrip(spark, d):
     """M8: a saved and reloaded pipeline scores the test part exactly as the fitted one."""
     train, test = _split(spark, d)
-    model = training.fit(training.with_pos_weight(train), MODEL_FEATURES, "gbt", {"maxIter": 5, "maxDepth": 3})
+    model = training.fit(training.with_pos_weight(train), MODEL_FEATURES, "gbt")
     path = training.save_model(model, spark=spark, name="gbt-model")
     again = training.load_model(path)
     a = scoring.score_model(test, model, MODEL_FEATURES).select("event_id", F.col("failure_probability").alias("p1"))
@@ -186,10 +182,9 @@ def q_model_roundtrip(spark, d):
 
 
 def q_tune_search(spark, d):
-    """M9: seeded random search, each trial one distributed fit; a space of short boosting runs."""
+    """M9: seeded random search over the library's space, each of its 50 trials one distributed fit."""
     train, test = _split(spark, d)
-    space = {**training.SEARCH_SPACE, "n_estimators": (4, 12, "int"), "max_depth": (3, 5, "int")}
-    return training.tune(train, test, MODEL_FEATURES, n_trials=3, space=space)
+    return training.tune(train, test, MODEL_FEATURES)
 
 
 def q_sampled_attribution(spark, d):
@@ -225,7 +220,7 @@ def _sampled(spark, d):
 def q_tree_attribution(spark, d):
     """Exact path-dependent attributions of a fitted GBT for every test row; they sum to its margin."""
     train, test = _split(spark, d)
-    model = training.fit(training.with_pos_weight(train), MODEL_FEATURES, "gbt", {"maxIter": 10, "maxDepth": 3})
+    model = training.fit(training.with_pos_weight(train), MODEL_FEATURES, "gbt")
     total = attribution.tree_attribution(test, model, MODEL_FEATURES).groupBy("event_id").agg(
         F.sum("phi").alias("_phi"), F.count(F.lit(1)).alias("parts"))
     margin = model.transform(test).select("event_id", vector_to_array("rawPrediction")[1].alias("_margin"))

@@ -1,3 +1,5 @@
+import pytest
+
 from conftest import SF_SMALL
 from millwright import fixtures as fx
 from millwright.operators import reports
@@ -27,3 +29,33 @@ def test_newest_per_machine_is_an_aggregate_not_a_window(spark):
     plan = _plan(reports.machines_at_risk(fx.predictions(spark, SF_SMALL)))
     assert "HashAggregate" in plan or "ObjectHashAggregate" in plan or "SortAggregate" in plan
     assert "Window" not in plan
+
+
+def test_registered_boosted_queries_run_the_librarys_job(monkeypatch):
+    from millwright.plans import training
+    from millwright.suite import models_q
+
+    class Fitted(Exception):
+        pass
+
+    fits = []
+
+    def fit(train, feature_columns, kind, params=None, weight_col="weight"):
+        fits.append((kind, params or {}))
+        raise Fitted
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    trials = []
+    monkeypatch.setattr(training, "fit", fit)
+    monkeypatch.setattr(training, "with_pos_weight", lambda df, **k: df)
+    monkeypatch.setattr(training, "tune", lambda train, valid, columns, n_trials=50, seed=training.SEED, space=None: trials.append((n_trials, space or training.SEARCH_SPACE)))
+    monkeypatch.setattr(models_q, "_split", lambda spark, d: (Rows(), Rows()))
+    for query in (models_q.q_train_gbt, models_q.q_train_gbt_b, models_q.q_model_roundtrip, models_q.q_tree_attribution):
+        with pytest.raises(Fitted):
+            query(None, "")
+    models_q.q_tune_search(None, "")
+    assert fits == [("gbt", {}), ("gbt_b", {}), ("gbt", {}), ("gbt", {})]
+    assert trials == [(50, training.SEARCH_SPACE)]
