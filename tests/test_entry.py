@@ -1,7 +1,7 @@
 import re
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from oracle import duck, matches
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from paths import SF_MID
 from millwright import fixtures as fx
 from millwright.operators import metrics, state
 

@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from millwright import fixtures as fx
 from millwright.operators import reports
 from millwright.suite import quality_q

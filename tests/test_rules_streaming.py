@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from millwright.functions import rules
 from millwright.suite import streaming_q
 
