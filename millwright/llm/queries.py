@@ -9,10 +9,13 @@ from ..session import scratch_path
 from .chat_format import conversation_turns, format_preferences, stale_reply_pairs
 from .common import table
 from .crosspoly import near_duplicate_vectors
+from .hard_negatives import mine_hard_negatives
 from .html_extract import extract_main_text
+from .language_id import identify_language, train_language
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
+from .periodic_runs import periodic_runs, run_digests, with_planted_periods
 from .pu_quality import score_quality, train_quality
 from .suffix_dedup import remove_repeats
 from .token_rollups import TokenRollup, maintain_token_counts
@@ -155,6 +158,37 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))), "doc_id")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return mine_hard_negatives(rows, rows.filter("vec_id % 100 = 0"))
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS y FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, x.vec_id, x.label, CAST(list_inner_product(a.y, x.y) AS BIGINT) AS score
+           FROM v a JOIN v x ON a.vec_id % 100 = 0 AND x.vec_id <> a.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND n.label <> n.anchor_label
+ AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify_language(docs, train_language(docs))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, OP1_SQL),
     "op2_chat_formatting": (op2_chat_formatting, OP2_SQL),
@@ -166,4 +200,7 @@ QUERIES = {
     "op8_embedding_near_dedup": (op8_embedding_near_dedup, OP8_SQL),
     "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
+    "op13_language_id": (op13_language_id, None),
 }

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
 
 
