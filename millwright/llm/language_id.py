@@ -194,8 +194,13 @@ def train_language(docs: DataFrame, per_language: int = 400, max_rows: int = 400
     """
     rows = (docs.filter("doc_id is not null and text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
             .select("lang", "text", F.xxhash64("text").alias("_h")))
-    order = Window.partitionBy("lang").orderBy("_h")
-    first = (rows.select("lang", "_h").dropDuplicates().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language)
+    # before they are ranked, a language's texts are thinned out by their hash to about four times the sample
+    distinct = rows.select("lang", "_h").dropDuplicates()
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
+    place = F.expr(f"pmod(_h, {1 << 30})")
+    thin = distinct.join(sizes, "lang").filter((F.col("_n") <= 4 * per_language) | (place * F.col("_n") < 4.0 * per_language * (1 << 30)))
+    order = Window.partitionBy("lang").orderBy(place, "_h")
+    first = (thin.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language)
              .orderBy("_r", "lang").limit(max_rows).select("lang", "_h"))
     chosen = rows.join(F.broadcast(first), ["lang", "_h"]).select("lang", "_h", "text")   # at most max_rows rows
 
