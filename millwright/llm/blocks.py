@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytescan import utf8
+from .common import tidy
+
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of equal ``key`` from batches that are sorted by it; holds one run at a time."""
@@ -37,7 +40,17 @@ def by_block(rows: DataFrame, key: str, work: Callable, schema: str, n: int | No
             yield from work(table)
 
     dealt = rows.repartition(n, key) if n else rows.repartition(key)
-    return dealt.sortWithinPartitions(key).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(key).mapInArrow(tidy(run), schema)
+
+
+def flat(table: pa.Table, column: str, kind) -> np.ndarray:
+    """The packed numbers of a binary column, of all rows in a row, without a Python object per row."""
+    return utf8(table.column(column))[0].view(kind)
+
+
+def sizes(table: pa.Table, column: str, kind) -> np.ndarray:
+    """How many packed numbers each row of a binary column holds."""
+    return np.diff(utf8(table.column(column))[1]) // np.dtype(kind).itemsize
 
 
 def paired_blocks(rows: DataFrame, group: str, row_id: str, block_rows: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +39,43 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Rows of one Arrow batch where rows hold whole texts; Spark's own default is 10,000.
+#: Rows and bytes of one Arrow batch where rows hold whole texts or packed lists.
 TEXT_ROWS = 1000
+TEXT_BYTES = 4 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Let this session send texts to Python in batches of at most ``TEXT_ROWS`` rows.
+    """Let this session send rows to Python in batches of at most ``TEXT_ROWS`` rows and ``TEXT_BYTES``.
 
     A batch is held by the JVM and by the Python worker at once; with whole texts in its rows the
-    default makes batches of tens of megabytes.  A smaller setting of the session stays.
+    defaults make batches of tens of megabytes.  Plans read the limits when they run, so they stay
+    set for the session; smaller settings are left alone.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        now = str(spark.conf.get(key)).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def fragments_of_bytes(texts: DataFrame, column: str, each: int) -> int:
+    """Number of fragments of about ``each`` bytes of text, at least one per shuffle partition."""
+    size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(partitions(texts.sparkSession), -(-int(size) // each))
+
+
+def tidy(run: Callable) -> Callable:
+    """Give freed memory back to the system when a task of ``run`` ends; workers are used again."""
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):    # another C library: it keeps what it freed
+                pass
+    return tidied
 
 
 def worker_cache(name: str) -> dict:

@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import by_block, forest, paired_blocks
+from .blocks import by_block, flat, forest, paired_blocks
 from .bytescan import distinct_per_row, mix, shingles, utf8
-from .common import partitions, settled, slices, text_batches
+from .common import fragments_of_bytes, settled, slices, text_batches, tidy
 from .components import connected_components
 
 SLICE_BYTES = 1 << 18
+FRAGMENT_BYTES = 16 << 20                        # of text, per fragment of the shingles
 BATCH_SHINGLES = 500_000
 HOT_IN_BATCH = 32
 HOT_CLASS = 255
@@ -141,9 +142,9 @@ def _shared_in_fragment(buckets: int):
                                             ["kind", "doc_id", "fp", "n", "bucket", *_BLOBS]).to_batches()
         known = table.filter(pa.array(kind == 2))
         known_fp = np.repeat(known.column("fp").to_numpy().view(np.uint64), known.column("n").to_numpy())
-        known_value = np.frombuffer(b"".join(known.column("vals").to_pylist()), np.uint64)
+        known_value = flat(known, "vals", np.uint64)
         blobs = table.filter(pa.array(kind == 0))
-        read = lambda c, t: np.frombuffer(b"".join(blobs.column(c).to_pylist()), t)
+        read = lambda c, t: flat(blobs, c, t)
         fp, value = np.repeat(read("keys", np.uint64), read("counts", np.uint32)), read("vals", np.uint64)
         order = np.lexsort((fp, value))
         fp, value = fp[order], value[order]
@@ -176,7 +177,7 @@ def _gather(percent: int):
     def work(table: pa.Table):
         of_class = table.filter(table.column("fps").is_null())
         blobs = table.filter(table.column("fps").is_valid())
-        read = lambda c, t: np.frombuffer(b"".join(blobs.column(c).to_pylist()), t)
+        read = lambda c, t: flat(blobs, c, t)
         fp, value, rank = np.repeat(read("fps", np.int64), read("counts", np.uint32)), read("vals", np.uint64), read("ranks", np.uint8)
         order = np.lexsort((value, fp))
         fp, value, rank = fp[order], value[order], rank[order]
@@ -280,11 +281,11 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     text_batches(spark)
-    fragments = partitions(spark)
+    fragments = fragments_of_bytes(docs, text_col, FRAGMENT_BYTES)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = rows.filter("doc_id is not null")
-    dealt = named.mapInArrow(_dealer(k, fragments), _DEALT)
-    found = settled(by_block(dealt, "cell", _shared_in_fragment(fragments), _FOUND), "ngram-shared")
+    dealt = named.mapInArrow(tidy(_dealer(k, fragments)), _DEALT)
+    found = settled(by_block(dealt, "cell", _shared_in_fragment(fragments), _FOUND, fragments), "ngram-shared")
     members = found.filter("kind = 1").select("doc_id", "fp", "n")
     classes = settled(members.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("size"),
                                                                F.count(F.lit(1)).alias("copies")), "ngram-classes")
@@ -293,7 +294,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     able = (classes.select(in_bucket, "fp", "size", "copies", *none)
             .unionByName(found.filter("kind = 2").select("bucket", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("int").alias("size"),
                                                          F.lit(None).cast("long").alias("copies"), *_BLOBS)))
-    sets = settled(by_block(able, "bucket", _gather(percent), "fp long, size int, copies long, vals binary, prefix int"), "ngram-sets")
+    sets = settled(by_block(able, "bucket", _gather(percent), "fp long, size int, copies long, vals binary, prefix int", fragments), "ngram-sets")
     prefixes = sets.select("fp", "vals", "prefix").mapInArrow(_prefix_rows, "shingle long, fp long")
     roots = prefixes.groupBy("shingle").agg(F.min("fp").alias("root"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     clusters = connected_components(prefixes.join(roots, "shingle").select("fp", "root").distinct(), "fp", "root", "ngram-clusters")

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import chunks, utf8
-from .common import settled, slices, text_batches, worker_cache
+from .common import settled, slices, text_batches, tidy, worker_cache
 
 SEPARATOR = 2
 RANK_ROWS = 1024
-CACHE_WORDS = 1_500_000
-CACHE_PIECES = 500_000
+CACHE_WORDS = 700_000
+CACHE_PIECES = 200_000
 SLICE_BYTES = 1 << 20
 
 
@@ -163,7 +163,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, id_col:
                 yield pa.RecordBatch.from_arrays(out, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(tidy(cut), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -235,7 +235,7 @@ def place_pieces(pieces: DataFrame, size: int = 4096) -> DataFrame:
                 [batch.schema.names[k] for k in keep] + ["sequence_id", "offset", "sequence_tokens"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "_rank")
-    return ranked.mapInArrow(locate, schema + ", sequence_id long, offset long, sequence_tokens long")
+    return ranked.mapInArrow(tidy(locate), schema + ", sequence_id long, offset long, sequence_tokens long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 4096, id_col: str = "doc_id",

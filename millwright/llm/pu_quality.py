@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import mix, shingles, utf8, words
-from .common import slices, text_batches
+from .common import slices, text_batches, tidy
 
 SLICE_BYTES = 1 << 18
 FOLDS = 5
@@ -215,7 +215,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
 
     rows = docs.select(*keep, F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("text").alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, schema + ", score double, predicted int")
+    return rows.mapInArrow(tidy(run), schema + ", score double, predicted int")
 
 
 def good_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
@@ -226,4 +226,4 @@ def good_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 yield part.filter(pa.array(model.score(part.column(part.schema.get_field_index("text"))) >= threshold))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

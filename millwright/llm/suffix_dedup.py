@@ -27,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_block
+from .blocks import by_block, flat, sizes
 from .bytescan import _BASE, _BASE_INV, _VALUES, mix, powers, utf8
-from .common import partitions, settled, slices, text_batches
+from .common import fragments_of_bytes, partitions, settled, slices, text_batches, tidy
 from .ngram_join import _parts, fragment_of
 
 LENGTH = 50
 GRAM = 20
 SLICE_BYTES = 1 << 18
+FRAGMENT_BYTES = 8 << 20                         # of text, per fragment of the q-grams
 BATCH_ANCHORS = 300_000
 BATCH_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 18                            # of stretches that are compared string by string at once
 
 _DEALT = "kind int, cell int, rid long, keys binary, counts binary, vals binary, hot binary"
 _STRETCH = "kind int, cell int, rid long, keys binary, buckets binary, hashes binary, ids binary, starts binary, sizes binary, data binary"
@@ -150,7 +152,7 @@ def _bucket_rows(rid: np.ndarray, first: np.ndarray, second: np.ndarray, buckets
 def _per_row(first_type, second_type, names: list[str], merge=None):
     """One record per row of a bucket, with all of its entries."""
     def work(table: pa.Table):
-        read = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+        read = lambda c, t: flat(table, c, t)
         rid = np.repeat(read("rids", np.int64), read("counts", np.uint32))
         order = np.argsort(rid, kind="stable")
         rid, first, second = rid[order], read("first", first_type)[order], read("second", second_type)[order]
@@ -168,9 +170,9 @@ def _shared_grams(buckets: int):
     def work(table: pa.Table):
         kind = table.column("kind").to_numpy()
         known, blobs = (table.filter(pa.array(kind == k)) for k in (1, 0))
-        read = lambda t, c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k)
+        read = flat
         known_low = read(known, "vals", np.uint32)
-        known_rid = np.repeat(known.column("rid").to_numpy(), [len(v) // 4 for v in known.column("vals").to_pylist()])
+        known_rid = np.repeat(known.column("rid").to_numpy(), sizes(known, "vals", np.uint32))
         rid, low = np.repeat(read(blobs, "keys", np.int64), read(blobs, "counts", np.uint32)), read(blobs, "vals", np.uint32)
         order = np.lexsort((rid, low))
         rid, low = rid[order], low[order]
@@ -288,17 +290,35 @@ def string_buckets(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nd
     return position[fits], number[fits]
 
 
+def _whole_groups(items: np.ndarray, group: np.ndarray, size: np.ndarray, most: int):
+    """Cut ``items``, sorted by their group, into parts of about ``most`` bytes that hold whole groups."""
+    if not len(items):
+        return
+    new = np.flatnonzero(np.concatenate([[True], group[items[1:]] != group[items[:-1]]]))
+    total = np.concatenate([[0], np.cumsum(size[items])])
+    begin = 0
+    for end in [*new[1:].tolist(), len(items)]:
+        if total[end] - total[begin] >= most or end == len(items):
+            yield items[begin:end]
+            begin = end
+
+
 def _covered(length: int, buckets: int):
     """Spans of the stretches of one fragment that a smaller document covers, by bucket of rows."""
     def work(table: pa.Table):
         kind = table.column("kind").to_numpy()
         known, blobs = (table.filter(pa.array(kind == k)) for k in (1, 0))
-        known_starts, known_ends = (np.frombuffer(b"".join(known.column(c).to_pylist()), np.int64) for c in ("starts", "sizes"))
-        known_rid = np.repeat(known.column("rid").to_numpy(), [len(v) // 8 for v in known.column("starts").to_pylist()])
-        read = lambda c, t: np.frombuffer(b"".join(blobs.column(c).to_pylist()), t)
+        known_starts, known_ends = (flat(known, c, np.int64) for c in ("starts", "sizes"))
+        known_rid = np.repeat(known.column("rid").to_numpy(), sizes(known, "starts", np.int64))
+        read = lambda c, t: flat(blobs, c, t)
         rid, bucket, name, doc, start = read("keys", np.int64), read("buckets", np.uint32), read("hashes", np.uint64), read("ids", np.int64), read("starts", np.uint32)
         start, size = start.astype(np.int64), read("sizes", np.uint16).astype(np.int64)
-        data = np.frombuffer(b"".join(map(zlib.decompress, blobs.column("data").to_pylist())), np.uint8)
+        data = np.empty(int(size.sum()), np.uint8)
+        used = 0
+        for blob in blobs.column("data"):
+            piece = zlib.decompress(blob.as_buffer())
+            data[used:used + len(piece)] = np.frombuffer(piece, np.uint8)
+            used += len(piece)
         at = np.concatenate([[0], np.cumsum(size)])
         _, example, inverse = np.unique(name, return_index=True, return_inverse=True)
         least = np.full(len(example), np.iinfo(np.int64).max)
@@ -308,26 +328,30 @@ def _covered(length: int, buckets: int):
         # Distinct stretches that share their q-gram with another one are compared string by string.
         _, of, count = np.unique(bucket[example], return_inverse=True, return_counts=True)
         several = np.flatnonzero(count[of] > 1)
-        if len(several):
-            rows = example[several]
-            sizes = size[rows]
-            shift = np.cumsum(sizes) - sizes
-            part = data[np.arange(int(sizes.sum())) + np.repeat(at[rows] - shift, sizes)]
+        several = several[np.argsort(of[several], kind="stable")]
+        holders = np.flatnonzero(~later)
+        holders = holders[np.argsort(inverse[holders], kind="stable")]
+        for chosen in _whole_groups(several, of, size[example], CHUNK_BYTES):
+            rows = example[chosen]
+            lengths = size[rows]
+            shift = np.cumsum(lengths) - lengths
+            part = data[np.arange(int(lengths.sum())) + np.repeat(at[rows] - shift, lengths)]
             bounds = np.append(shift, len(part))
             position, number = string_buckets(part, bounds, length)
             row = np.searchsorted(bounds, position, side="right") - 1
             first_doc = np.full(number.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(first_doc, number, least[several][row])
-            hit = first_doc[number] < least[several][row]
+            np.minimum.at(first_doc, number, least[chosen][row])
+            hit = first_doc[number] < least[chosen][row]
             # Every holder of a stretch that is its smallest document gets the spans found for it.
             row, offset = row[hit], (position - bounds[row])[hit]
-            held = np.flatnonzero(~later)
-            held = held[np.argsort(inverse[held], kind="stable")]
-            a, b = np.searchsorted(inverse[held], several[row], "left"), np.searchsorted(inverse[held], several[row], "right")
-            times = b - a
-            entry = held[np.repeat(a, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
+            i, j = np.searchsorted(inverse[holders], chosen[row], "left"), np.searchsorted(inverse[holders], chosen[row], "right")
+            times = j - i
+            entry = holders[np.repeat(i, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
             begin = start[entry] + np.repeat(offset, times)
-            spans.append((rid[entry], begin, begin + length))
+            merged = [(o, np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for o, x, y in _span_rows(rid[entry], begin, begin + length)]
+            if merged:
+                spans.append((np.repeat([o for o, _, _ in merged], [len(x) for _, x, _ in merged]),
+                              np.concatenate([x for _, x, _ in merged]), np.concatenate([y for _, _, y in merged])))
         owner, s, e = (np.concatenate(c) for c in zip(*spans))
         rows = [(o, np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for o, x, y in _span_rows(owner, s, e)]
         if rows:
@@ -376,24 +400,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     if not 8 <= gram < length <= 4096:
         raise ValueError("gram must be at least 8 and less than length, length at most 4096")
     text_batches(docs.sparkSession)
-    fragments = 4 * partitions(docs.sparkSession)
+    fragments = max(4 * partitions(docs.sparkSession), fragments_of_bytes(docs, text_col, FRAGMENT_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        *([F.struct(*carry).alias("_carried")] if carry else []))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
     columns = ["rid", "doc_id", "text", *(["_carried"] if carry else [])]
     # Both joins below read the named rows by one and the same exchange.
     named = rows.filter("doc_id is not null").select(*columns)
-    dealt = named.select("rid", "text").mapInArrow(_grams(length, gram, fragments), _DEALT)
-    shared = settled(by_block(dealt, "cell", _shared_grams(fragments), _FOUND), "repeat-grams")
-    shared = by_block(shared, "bucket", _per_row(np.int32, np.uint32, ["cells", "vals"]), "rid long, cells binary, vals binary")
-    candidates = named.join(shared, "rid").mapInArrow(_stretches_of(length, gram, fragments, 4 * fragments), _STRETCH)
-    spans = by_block(candidates, "cell", _covered(length, fragments), _FOUND)
-    spans = by_block(spans, "bucket", _per_row(np.int64, np.int64, ["starts", "ends"], _merged), "rid long, starts binary, ends binary")
+    dealt = named.select("rid", "text").mapInArrow(tidy(_grams(length, gram, fragments)), _DEALT)
+    shared = settled(by_block(dealt, "cell", _shared_grams(fragments), _FOUND, fragments), "repeat-grams")
+    shared = by_block(shared, "bucket", _per_row(np.int32, np.uint32, ["cells", "vals"]), "rid long, cells binary, vals binary", fragments)
+    candidates = named.join(shared, "rid").mapInArrow(tidy(_stretches_of(length, gram, fragments, 4 * fragments)), _STRETCH)
+    spans = by_block(candidates, "cell", _covered(length, fragments), _FOUND, fragments)
+    spans = by_block(spans, "bucket", _per_row(np.int64, np.int64, ["starts", "ends"], _merged), "rid long, starts binary, ends binary", fragments)
     none = F.lit(None).cast("binary")
     carried = f"_carried {dict(rows.dtypes)['_carried']}, " if carry else ""
     schema = f"doc_id long, rid long, {carried}n_bytes long, starts array<long>, ends array<long>, kept binary"
-    cut = named.join(spans, "rid", "left").mapInArrow(_cut, schema)
-    rest = rows.filter("doc_id is null").select(*columns, none.alias("starts"), none.alias("ends")).mapInArrow(_cut, schema)
+    cut = named.join(spans, "rid", "left").mapInArrow(tidy(_cut), schema)
+    rest = rows.filter("doc_id is null").select(*columns, none.alias("starts"), none.alias("ends")).mapInArrow(tidy(_cut), schema)
     return cut.unionByName(rest)
 
 
