@@ -142,65 +142,72 @@ def export_tree_ensemble(model) -> tuple[list[dict], list[float]]:
     return trees, [float(w) for w in ens.treeWeights]
 
 
-def _tree_shap_row(x, tree, phi, scale):
-    left, right, feat, thr, value, cover = (tree["left"], tree["right"], tree["feature"], tree["threshold"],
-                                            tree["value"], tree["cover"])
-
-    def extend(m, pz, po, pi):
-        depth = len(m)
-        m.append([pi, pz, po, 1.0 if depth == 0 else 0.0])
-        for i in range(depth - 1, -1, -1):
-            m[i + 1][3] += po * m[i][3] * (i + 1) / (depth + 1)
-            m[i][3] = pz * m[i][3] * (depth - i) / (depth + 1)
-
-    def unwind(m, k):
-        depth = len(m) - 1
-        zf, of = m[k][1], m[k][2]
-        nxt = m[depth][3]
-        for i in range(depth - 1, -1, -1):
-            if of != 0:
-                tmp = m[i][3]
-                m[i][3] = nxt * (depth + 1) / ((i + 1) * of)
-                nxt = tmp - m[i][3] * zf * (depth - i) / (depth + 1)
-            else:
-                m[i][3] = m[i][3] * (depth + 1) / (zf * (depth - i))
-        for i in range(k, depth):
-            m[i][0], m[i][1], m[i][2] = m[i + 1][0], m[i + 1][1], m[i + 1][2]
-        m.pop()
-
-    def unwound_sum(m, k):
-        depth = len(m) - 1
-        zf, of = m[k][1], m[k][2]
-        nxt, total = m[depth][3], 0.0
-        for i in range(depth - 1, -1, -1):
-            if of != 0:
-                tmp = nxt * (depth + 1) / ((i + 1) * of)
-                total += tmp
-                nxt = m[i][3] - tmp * zf * (depth - i) / (depth + 1)
-            elif zf != 0:
-                total += (m[i][3] / zf) / ((depth - i) / (depth + 1))
-        return total
-
-    def recurse(j, m, pz, po, pi):
-        m = [list(e) for e in m]
-        extend(m, pz, po, pi)
-        if left[j] < 0:
-            for i in range(1, len(m)):
-                w = unwound_sum(m, i)
-                phi[m[i][0]] += scale * w * (m[i][2] - m[i][1]) * value[j]
-            return
-        f = feat[j]
-        hot, cold = (left[j], right[j]) if x[f] <= thr[j] else (right[j], left[j])
-        iz, io = 1.0, 1.0
-        for k in range(1, len(m)):
-            if m[k][0] == f:
-                iz, io = m[k][1], m[k][2]
-                unwind(m, k)
-                break
-        recurse(hot, m, iz * cover[hot] / cover[j], io, f)
-        recurse(cold, m, iz * cover[cold] / cover[j], 0.0, f)
-
-    recurse(0, [], 1.0, 1.0, -1)
+def ensemble_of(model) -> tuple[list[dict], list[float]]:
+    """Node arrays and weights of a boosted model of the library or of a fitted Spark ML ensemble."""
+    if hasattr(model, "settings"):
+        return [{"left": t.left, "right": t.right, "feature": t.feature, "threshold": t.threshold, "value": t.value, "cover": t.cover}
+                for t in model.trees], [1.0] * len(model.trees)
+    return export_tree_ensemble(model)
+
+
+def leaf_paths(trees: list[dict], weights: Sequence[float]) -> list[tuple]:
+    """The leaf-path table: per leaf (features, lows, highs, cover ratios, value).
+
+    The splits of a path on one feature are merged: the row follows all of them if low < x <= high,
+    and the ratio is the product of the covers kept at them.  Bounded by the leaves of the model.
+    """
+    import numpy as np
+    out = []
+    for t, w in zip(trees, weights):
+        stack = [(0, {})]
+        while stack:
+            node, path = stack.pop()
+            f = int(t["feature"][node])
+            if t["left"][node] < 0:
+                if path and t["value"][node] != 0:
+                    low, high, ratio = (np.array([p[i] for p in path.values()]) for i in range(3))
+                    out.append((np.array(list(path)), low, high, ratio, w * float(t["value"][node])))
+                continue
+            low, high, ratio = path.get(f, (-np.inf, np.inf, 1.0))
+            cut, cover = float(t["threshold"][node]), float(t["cover"][node])
+            for child, interval in ((int(t["left"][node]), (low, min(high, cut))), (int(t["right"][node]), (max(low, cut), high))):
+                kept = float(t["cover"][child]) / cover if cover > 0 else 0.0
+                stack.append((child, {**path, f: (*interval, ratio * kept)}))
+    return out
+
+
+def path_attributions(x, paths: list[tuple], n_features: int):
+    """Path-dependent Shapley values of all rows of ``x`` at once.
+
+    For a leaf with m features, feature k gets (follows_k - ratio_k) * value times the sum over
+    subsets S of the others of |S|! (m - 1 - |S|)! / m! * prod of follows in S * prod of ratios
+    outside S.  The products by subset size are the coefficients of prod (ratio_j + follows_j t); they
+    are taken once per pattern of followed features that occurs among the rows.
+    """
+    from math import factorial
+
+    import numpy as np
+    phi = np.zeros((len(x), n_features))
+    for features, low, high, ratio, value in paths:
+        m = len(features)
+        pattern = np.zeros(len(x), np.int64)
+        for k in range(m):
+            column = x[:, features[k]]
+            pattern |= ((column > low[k]) & (column <= high[k])).astype(np.int64) << k
+        seen, of = np.unique(pattern, return_inverse=True)
+        follows = ((seen[:, None] >> np.arange(m)) & 1).astype(float)
+        share = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
+        part = np.empty((len(seen), m))
+        for k in range(m):
+            poly = np.zeros((len(seen), m))
+            poly[:, 0] = 1.0
+            for j in range(m):
+                if j != k:
+                    poly[:, 1:] = poly[:, 1:] * ratio[j] + poly[:, :-1] * follows[:, j:j + 1]
+                    poly[:, 0] *= ratio[j]
+            part[:, k] = (follows[:, k] - ratio[k]) * value * (poly @ share)
+        phi[:, features] += part[of]
+    return phi
 
 
 def tree_expected_value(trees, weights) -> float:
@@ -213,33 +220,33 @@ def tree_expected_value(trees, weights) -> float:
 
 
 def tree_attribution(df: DataFrame, model, features: Sequence[str], id_col: str = "event_id") -> DataFrame:
-    """Exact path-dependent Shapley values of a GBT margin for every row.
+    """Exact path-dependent Shapley values of a boosted margin for every row.
 
-    The exported trees (bounded by the model size) travel in the task closure;
-    ``mapInPandas`` evaluates each Arrow batch.  Output: (id, feature, phi) plus
-    one ``__base__`` row per id holding the expected value, so that
-    Σ φ + base = margin for every row.
+    ``model`` is a ``boosting.BoostedModel`` or a fitted Spark ML GBT.  Its leaf-path table (bounded
+    by the model) travels in the task closure; every Arrow batch is evaluated as a whole, no row by
+    itself.  Output: (id, feature, phi) plus one ``__base__`` row per id holding the expected value,
+    so that the values and the base add up to the margin of every row.  A null feature counts as
+    smaller than all values for a ``BoostedModel`` and as larger for Spark ML.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    trees, weights = export_tree_ensemble(model)
+    trees, weights = ensemble_of(model)
     base = tree_expected_value(trees, weights)
+    paths = leaf_paths(trees, weights)
     names = list(features)
+    missing = -1.7976931348623157e308 if hasattr(model, "settings") else float("inf")
 
     def run(batches):
-        for pdf in batches:
-            xs = pdf[names].to_numpy(dtype=float)
-            ids = pdf[id_col].to_numpy()
-            out_ids, out_f, out_phi = [], [], []
-            for rid, x in zip(ids, xs):
-                phi = np.zeros(len(names))
-                for t, w in zip(trees, weights):
-                    _tree_shap_row(x, t, phi, w)
-                out_ids += [rid] * (len(names) + 1)
-                out_f += names + ["__base__"]
-                out_phi += list(phi) + [base]
-            yield pd.DataFrame({id_col: out_ids, "feature": out_f, "phi": out_phi})
+        for batch in batches:
+            x = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))], axis=1)
+            phi = path_attributions(np.where(np.isnan(x), missing, x), paths, len(names))
+            n, width = len(x), len(names) + 1
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(n), width)))
+            values = np.concatenate([phi, np.full((n, 1), base)], axis=1).reshape(-1)
+            feature = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(width, dtype=np.int32), n)), pa.array([*names, "__base__"]))
+            yield pa.RecordBatch.from_arrays([ids, feature.cast(pa.string()), pa.array(values)], [id_col, "feature", "phi"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, *names).mapInPandas(run, f"{id_col} {id_type}, feature string, phi double")
+    rows = df.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in names])
+    return rows.mapInArrow(run, f"`{id_col}` {id_type}, feature string, phi double")

@@ -10,28 +10,31 @@
 
 from __future__ import annotations
 
-import math
-import random
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+
+import numpy as np
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, features, metrics, ordering
 from ..session import scratch_path
-from . import scoring
+from . import boosting, scoring
+from .boosting import BoostedModel, Settings
 
 LABEL = "machine_failure"
 SEED = 42
 
 # The reference's model settings and search space.
-GBT_A = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-GBT_B = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
-         "maxBins": 64}
+GBT_A = Settings(rounds=200, max_depth=6, rate=0.1, row_share=0.8, column_share=0.8, seed=42)
+GBT_B = Settings(rounds=200, max_depth=6, rate=0.1, row_share=0.8, column_share=0.8, seed=42,
+                 penalty=0.0, min_child_weight=1e-3, min_child_rows=20, max_leaves=31)
+SPARK_GBT = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 RF = {"numTrees": 200, "maxDepth": 30}
 LR = {"maxIter": 1000}
 SEARCH_SPACE = {
@@ -111,15 +114,18 @@ def _estimator(kind: str, params: dict, weight_col: str | None):
         return LogisticRegression(**common, **params)
     if kind == "rf":
         return RandomForestClassifier(**common, seed=SEED, **params)
-    if kind in ("gbt", "gbt_b"):
-        return GBTClassifier(**common, seed=SEED if kind == "gbt" else SEED + 1, **params)
+    if kind == "gbt":
+        return GBTClassifier(**common, seed=SEED, **params)
     raise ValueError(kind)
 
 
 def fit(train: DataFrame, feature_columns: Sequence[str], kind: str, params: dict | None = None,
         weight_col: str | None = "weight") -> PipelineModel:
-    """M3-M6: assembler + classifier pipeline fitted on the distributed frame."""
-    defaults = {"lr": LR, "rf": RF, "gbt": GBT_A, "gbt_b": GBT_B}[kind]
+    """M3, M4 (and Spark ML's own boosted trees): assembler + classifier pipeline fitted on the distributed frame.
+
+    The boosted models M5 and M6 are ``fit_boosted_pair``.
+    """
+    defaults = {"lr": LR, "rf": RF, "gbt": SPARK_GBT}[kind]
     params = {**defaults, **(params or {})}
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(feature_columns), outputCol="features",
                                             handleInvalid="keep"),
@@ -168,43 +174,95 @@ def load_artefacts(spark, root: str) -> tuple[dict[str, PipelineModel], dict]:
     return {s["model"]: load_model(f"{root}/models/{s['model']}") for s in meta["scores"]}, meta
 
 
-def sample_search_space(n_trials: int, seed: int = SEED, space: dict | None = None) -> list[dict]:
-    """M9: seeded random configurations (log-uniform learning rate)."""
-    rng = random.Random(seed)
-    space = space or SEARCH_SPACE
-    out = []
-    for _ in range(n_trials):
-        cfg = {}
-        for k, (lo, hi, kind) in space.items():
-            if kind == "int":
-                cfg[k] = rng.randint(int(lo), int(hi))
-            elif kind == "log":
-                cfg[k] = math.exp(rng.uniform(math.log(lo), math.log(hi)))
-            else:
-                cfg[k] = rng.uniform(lo, hi)
-        out.append(cfg)
-    return out
+def pos_weight(df: DataFrame, label: str = LABEL) -> float:
+    """A19 as a number: negatives / max(positives, 1)."""
+    r = df.agg(F.count_if(F.col(label) == 0).alias("n"), F.count_if(F.col(label) == 1).alias("p")).first()
+    return r["n"] / max(r["p"], 1) if r["n"] else 1.0
+
+
+def fit_boosted_pair(train: DataFrame, feature_columns: Sequence[str], kinds: Sequence[str] = ("gbt", "gbt_b")) -> dict[str, BoostedModel]:
+    """M5 (by depth) and M6 (best leaf first), positives weighted; both share their scans."""
+    weight = pos_weight(train)
+    settings = [replace({"gbt": GBT_A, "gbt_b": GBT_B}[k], pos_weight=weight) for k in kinds]
+    return dict(zip(kinds, boosting.fit_boosted(train, feature_columns, settings)))
+
+
+def boosted_scores(df: DataFrame, models: dict[str, BoostedModel]) -> DataFrame:
+    return boosting.score_boosted(df, models)
+
+
+def evaluate_boosted(model: BoostedModel, test: DataFrame) -> DataFrame:
+    """PR-AUC, AP, precision, recall and F1 of a boosted model on the test part."""
+    scored = boosted_scores(test, {"m": model}).withColumnRenamed("p_m", "failure_probability").withColumn(
+        "prediction", (F.col("margin_m") >= 0).cast("int"))
+    return metrics.pr_summary(scored).crossJoin(metrics.classification_metrics(scored).select("precision", "recall", "f1"))
+
+
+NODE = "tree int, node int, feature int, threshold double, bin int, left int, right int, value double, cover double"
 
 
-def to_gbt_params(cfg: dict) -> dict:
-    """Map a search configuration onto ``GBTClassifier`` parameters."""
-    return {"maxIter": int(cfg["n_estimators"]), "maxDepth": int(cfg["max_depth"]), "stepSize": float(cfg["learning_rate"]),
-            "subsamplingRate": float(cfg["subsample"]), "featureSubsetStrategy": str(round(cfg["colsample_bytree"], 3)),
-            "minInstancesPerNode": int(cfg["min_child_weight"]), "minInfoGain": float(cfg["gamma"]) / 100.0}
-
-
-def tune(train: DataFrame, valid: DataFrame, feature_columns: Sequence[str], n_trials: int = 50,
-         seed: int = SEED, space: dict | None = None) -> DataFrame:
-    """M9: each trial is one distributed fit scored by PR-AUC on the time-later part.
-
-    ``space`` replaces ``SEARCH_SPACE`` (same names, other ranges)."""
-    spark = train.sparkSession
-    rows = []
-    for i, cfg in enumerate(sample_search_space(n_trials, seed, space)):
-        weighted = train.withColumn("weight", F.when(F.col(LABEL) == 1, F.lit(float(cfg["scale_pos_weight"])))
-                                    .otherwise(F.lit(1.0)))
-        model = fit(weighted, feature_columns, "gbt", to_gbt_params(cfg))
-        score = evaluate(model, valid, feature_columns).first()
-        rows.append((i, float(score["pr_auc"]), float(score["f1"]), *[float(cfg[k]) for k in SEARCH_SPACE]))
-    schema = "trial int, pr_auc double, f1 double, " + ", ".join(f"{k} double" for k in SEARCH_SPACE)
-    return spark.createDataFrame(rows, schema)
+def save_boosted(spark, model: BoostedModel, path: str | None = None) -> str:
+    """M8 for boosted trees: one row per node, and the settings as JSON."""
+    path = path or scratch_path(spark, "boosted-model")
+    rows = [(i, n, *(t.__dict__[c][n].item() for c in ("feature", "threshold", "bin", "left", "right", "value", "cover")))
+            for i, t in enumerate(model.trees) for n in range(len(t.feature))]
+    spark.createDataFrame(rows, NODE).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    about = json.dumps({"features": list(model.features), "settings": asdict(model.settings)})
+    spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    return path
+
+
+def load_boosted(spark, path: str) -> BoostedModel:
+    about = json.loads(spark.read.parquet(f"{path}/about").first()["about"])
+    nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"])
+    kinds = {"feature": np.int32, "threshold": float, "bin": np.int32, "left": np.int32, "right": np.int32, "value": float, "cover": float}
+    trees = [boosting.Tree(**{c: part[c].to_numpy(k) for c, k in kinds.items()}) for _, part in nodes.groupby("tree", sort=True)]
+    return BoostedModel(tuple(about["features"]), Settings(**about["settings"]), trees)
+
+
+def to_settings(cfg: dict, seed: int = SEED) -> Settings:
+    """A search configuration as settings of the boosted trees."""
+    return Settings(rounds=int(cfg["n_estimators"]), max_depth=int(cfg["max_depth"]), rate=float(cfg["learning_rate"]), row_share=float(cfg["subsample"]),
+                    column_share=float(cfg["colsample_bytree"]), min_child_weight=float(cfg["min_child_weight"]), gamma=float(cfg["gamma"]),
+                    pos_weight=float(cfg["scale_pos_weight"]), seed=seed)
+
+
+TRIAL_BINS = 64
+
+
+def trial_scores(valid: DataFrame, models: dict[int, BoostedModel], label: str = LABEL) -> dict[int, float]:
+    """PR-AUC of every trial on the same rows: one scoring pass, one grouped curve.
+
+    Scores have six digits, so a trial's curve has at most a million points, whatever the rows are.
+    """
+    scored = boosted_scores(valid.select(label, *next(iter(models.values())).features), {str(k): m for k, m in models.items()})
+    pairs = ", ".join(f"{k}, p_{k}" for k in models)
+    points = (scored.selectExpr(label, f"stack({len(models)}, {pairs}) AS (trial, score)").groupBy("trial", "score")
+              .agg(F.count_if(F.col(label) == 1).alias("tp"), F.count(F.lit(1)).alias("n")))
+    down = Window.partitionBy("trial").orderBy(F.desc("score"))
+    run = points.select("trial", "score", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("n"),
+                        F.sum("tp").over(Window.partitionBy("trial")).alias("all"))
+    run = run.select("trial", "score", (F.col("tp") / F.greatest("all", F.lit(1))).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
+    run = run.select("trial", "recall", "precision", F.lag("recall", 1, 0.0).over(down).alias("r0"), F.lag("precision", 1, 1.0).over(down).alias("p0"))
+    area = run.groupBy("trial").agg(F.sum((F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2).alias("a"))
+    return {r["trial"]: float(r["a"]) for r in area.collect()}
+
+
+def tune(train: DataFrame, valid: DataFrame, feature_columns: Sequence[str], n_trials: int = 50, seed: int = SEED,
+         space: dict | None = None, generation: int = 10) -> DataFrame:
+    """M9: one row per trial with its settings and its PR-AUC on the time-later part.
+
+    A generation of trials is fitted on shared scans; the next one is drawn by the ratio of the
+    densities of good and bad trials (``boosting.suggest``).  ``space`` replaces ``SEARCH_SPACE``
+    (same names, other ranges).
+    """
+    space = space or SEARCH_SPACE
+    rng = np.random.Generator(np.random.PCG64(seed))
+    history: list[tuple[dict, float]] = []
+    while len(history) < n_trials:
+        drawn = boosting.suggest(history, space, min(generation, n_trials - len(history)), rng)
+        models = boosting.fit_boosted(train, feature_columns, [to_settings(c, seed) for c in drawn], max_bins=TRIAL_BINS)
+        area = trial_scores(valid, dict(enumerate(models)))
+        history += [(c, area.get(i, 0.0)) for i, c in enumerate(drawn)]
+    rows = [(i, score, *[float(cfg[k]) for k in SEARCH_SPACE]) for i, (cfg, score) in enumerate(history)]
+    return train.sparkSession.createDataFrame(rows, "trial int, pr_auc double, " + ", ".join(f"{k} double" for k in SEARCH_SPACE))

@@ -3,7 +3,6 @@ and trained Spark ML models (R: rows-only, no exact SQL equivalent)."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -137,21 +136,28 @@ def _split(spark, d):
     return training.time_split(frame)
 
 
-def _train(spark, d, kind):
-    train, test = _split(spark, d)
-    if kind == "lr" or kind == "rf":
-        train = training.with_weights(train, training.class_weights(train))
-    else:
-        train = training.with_pos_weight(train)
-    model = training.fit(train, MODEL_FEATURES, kind)
-    scores = training.evaluate(model, test, MODEL_FEATURES)
+def _report(kind, scores, train, test):
+    """Sizes of the split, whether all metrics are in range, and whether the model beats chance on the later part."""
     in_range = F.lit(True)
     for c in ("pr_auc", "average_precision", "precision", "recall", "f1"):
         in_range = in_range & F.col(c).between(0.0, 1.0)
     sizes = train.agg(F.count(F.lit(1)).alias("train_rows")).crossJoin(
         test.agg(F.count(F.lit(1)).alias("test_rows"), F.count_if(F.col("machine_failure") == 1).alias("test_failures")))
-    return scores.crossJoin(sizes).select(F.lit(kind).alias("model"), "train_rows", "test_rows", "test_failures",
-                                          in_range.alias("metrics_in_range"))
+    return scores.crossJoin(sizes).select(F.lit(kind).alias("model"), "train_rows", "test_rows", "test_failures", in_range.alias("metrics_in_range"),
+                                          (F.col("average_precision") > 2 * F.col("test_failures") / F.col("test_rows")).alias("beats_chance"))
+
+
+def _train(spark, d, kind):
+    train, test = _split(spark, d)
+    train = training.with_weights(train, training.class_weights(train))
+    model = training.fit(train, MODEL_FEATURES, kind)
+    return _report(kind, training.evaluate(model, test, MODEL_FEATURES), train, test)
+
+
+def _train_boosted(spark, d, kind):
+    train, test = _split(spark, d)
+    model = training.fit_boosted_pair(train, MODEL_FEATURES, [kind])[kind]
+    return _report(kind, training.evaluate_boosted(model, test), train, test)
 
 
 def q_train_lr(spark, d):
@@ -163,28 +169,40 @@ def q_train_rf(spark, d):
 
 
 def q_train_gbt(spark, d):
-    return _train(spark, d, "gbt")
+    """M5: 200 rounds of depth 6 by depth."""
+    return _train_boosted(spark, d, "gbt")
 
 
 def q_train_gbt_b(spark, d):
-    return _train(spark, d, "gbt_b")
+    """M6: 200 rounds of depth 6, best leaf first up to 31 leaves."""
+    return _train_boosted(spark, d, "gbt_b")
 
 
 def q_model_roundtrip(spark, d):
-    """M8: a saved and reloaded pipeline scores the test part exactly as the fitted one."""
+    """M8: a saved and reloaded boosted model scores every test row exactly as the fitted one."""
     train, test = _split(spark, d)
-    model = training.fit(training.with_pos_weight(train), MODEL_FEATURES, "gbt")
-    path = training.save_model(model, spark=spark, name="gbt-model")
-    again = training.load_model(path)
-    a = scoring.score_model(test, model, MODEL_FEATURES).select("event_id", F.col("failure_probability").alias("p1"))
-    b = scoring.score_model(test, again, MODEL_FEATURES).select("event_id", F.col("failure_probability").alias("p2"))
-    return a.join(b, "event_id").select("event_id", (F.col("p1") == F.col("p2")).alias("same"))
+    model = training.fit_boosted_pair(train, MODEL_FEATURES, ["gbt"])["gbt"]
+    again = training.load_boosted(spark, training.save_boosted(spark, model))
+    scored = training.boosted_scores(test, {"a": model, "b": again})
+    return scored.select("event_id", ((F.col("margin_a") == F.col("margin_b")) & (F.col("p_a") == F.col("p_b"))).alias("same"))
 
 
 def q_tune_search(spark, d):
-    """M9: seeded random search over the library's space, each of its 50 trials one distributed fit."""
+    """M9: 50 trials over the library's space; count, range checks and the best row."""
     train, test = _split(spark, d)
-    return training.tune(train, test, MODEL_FEATURES)
+    trials = training.tune(train, test, MODEL_FEATURES)
+    inside = F.lit(True)
+    for c, (low, high, kind) in training.SEARCH_SPACE.items():
+        inside = inside & F.col(c).between(low - 1e-9, high + 1e-9)
+        if kind == "int":
+            inside = inside & (F.col(c) == F.floor(c))
+    share = test.agg((F.count_if(F.col("machine_failure") == 1) / F.count(F.lit(1))).alias("_share"))
+    return trials.agg(F.count_distinct("trial").alias("trials"), F.count_if(inside).alias("inside"),
+                      F.max("pr_auc").alias("_best"), F.min("pr_auc").alias("_least")).crossJoin(share).select(
+        "trials", "inside", F.col("_best").between(F.col("_least"), 1.0).alias("best_in_range"), (F.col("_best") > 2 * F.col("_share")).alias("beats_chance"))
+
+
+SQL_TUNE = "SELECT CAST(50 AS BIGINT) AS trials, CAST(50 AS BIGINT) AS inside, true AS best_in_range, true AS beats_chance"
 
 
 def q_sampled_attribution(spark, d):
@@ -218,13 +236,14 @@ def _sampled(spark, d):
 
 
 def q_tree_attribution(spark, d):
-    """Exact path-dependent attributions of a fitted GBT for every test row; they sum to its margin."""
+    """Path-dependent attributions of boosted model A (200 rounds of depth 6) for every test row; they add up to its margin."""
     train, test = _split(spark, d)
-    model = training.fit(training.with_pos_weight(train), MODEL_FEATURES, "gbt")
-    total = attribution.tree_attribution(test, model, MODEL_FEATURES).groupBy("event_id").agg(
-        F.sum("phi").alias("_phi"), F.count(F.lit(1)).alias("parts"))
-    margin = model.transform(test).select("event_id", vector_to_array("rawPrediction")[1].alias("_margin"))
-    return total.join(margin, "event_id").select("event_id", "parts", (F.abs(F.col("_phi") - F.col("_margin")) < 1e-9).alias("adds_up"))
+    model = training.fit_boosted_pair(train, MODEL_FEATURES, ["gbt"])["gbt"]
+    rows = training.boosted_scores(test.select("event_id", *MODEL_FEATURES), {"a": model})
+    total = attribution.tree_attribution(rows, model, MODEL_FEATURES).groupBy("event_id").agg(
+        F.sum("phi").alias("_phi"), F.count(F.lit(1)).alias("parts"), F.count_if(F.col("phi") != 0).alias("_used"))
+    return total.join(rows.select("event_id", "margin_a"), "event_id").select(
+        "event_id", "parts", ((F.abs(F.col("_phi") - F.col("margin_a")) < 1e-8) & (F.col("_used") > 1)).alias("adds_up"))
 
 
 def _test_rows_sql(columns: str) -> str:
@@ -238,7 +257,7 @@ SELECT {columns}""", "sensors")
 
 def _train_sql(kind: str) -> str:
     return _test_rows_sql(f"""'{kind}' AS model, count_if(pos < cut) AS train_rows, count_if(pos >= cut) AS test_rows,
-       count_if(pos >= cut AND machine_failure = 1) AS test_failures, true AS metrics_in_range FROM part""")
+       count_if(pos >= cut AND machine_failure = 1) AS test_failures, true AS metrics_in_range, true AS beats_chance FROM part""")
 
 
 QUERIES = {
@@ -255,7 +274,7 @@ QUERIES = {
     "train_gbt": (q_train_gbt, _train_sql("gbt")),
     "train_gbt_b": (q_train_gbt_b, _train_sql("gbt_b")),
     "model_roundtrip": (q_model_roundtrip, _test_rows_sql("event_id, true AS same FROM part WHERE pos >= cut")),
-    "tune_search": (q_tune_search, None),
+    "tune_search": (q_tune_search, SQL_TUNE),
     "sampled_attribution": (q_sampled_attribution, _sampled_sql()),
     "tree_attribution": (q_tree_attribution, _test_rows_sql("event_id, 17 AS parts, true AS adds_up FROM part WHERE pos >= cut")),
 }

@@ -31,31 +31,28 @@ def test_newest_per_machine_is_an_aggregate_not_a_window(spark):
     assert "Window" not in plan
 
 
-def test_registered_boosted_queries_run_the_librarys_job(monkeypatch):
-    from millwright.plans import training
+def test_registered_boosted_queries_run_the_librarys_settings(monkeypatch):
+    from millwright.plans import boosting, training
     from millwright.suite import models_q
 
     class Fitted(Exception):
         pass
 
-    fits = []
+    fits, trials = [], []
 
-    def fit(train, feature_columns, kind, params=None, weight_col="weight"):
-        fits.append((kind, params or {}))
+    def fit(train, features, settings, **k):
+        fits.extend(settings)
         raise Fitted
 
-    class Rows:
-        def __getattr__(self, name):
-            return lambda *a, **k: self
-
-    trials = []
-    monkeypatch.setattr(training, "fit", fit)
-    monkeypatch.setattr(training, "with_pos_weight", lambda df, **k: df)
-    monkeypatch.setattr(training, "tune", lambda train, valid, columns, n_trials=50, seed=training.SEED, space=None: trials.append((n_trials, space or training.SEARCH_SPACE)))
-    monkeypatch.setattr(models_q, "_split", lambda spark, d: (Rows(), Rows()))
+    monkeypatch.setattr(boosting, "fit_boosted", fit)
+    monkeypatch.setattr(training, "pos_weight", lambda df: 1.0)
+    monkeypatch.setattr(training, "tune", lambda train, valid, columns, n_trials=50, space=None: trials.append((n_trials, space)))
+    monkeypatch.setattr(models_q, "_split", lambda spark, d: (None, type("T", (), {"agg": lambda *a: None})()))
     for query in (models_q.q_train_gbt, models_q.q_train_gbt_b, models_q.q_model_roundtrip, models_q.q_tree_attribution):
         with pytest.raises(Fitted):
             query(None, "")
-    models_q.q_tune_search(None, "")
-    assert fits == [("gbt", {}), ("gbt_b", {}), ("gbt", {}), ("gbt", {})]
-    assert trials == [(50, training.SEARCH_SPACE)]
+    with pytest.raises(AttributeError):
+        models_q.q_tune_search(None, "")
+    assert fits == [training.GBT_A, training.GBT_B, training.GBT_A, training.GBT_A]
+    assert (training.GBT_A.rounds, training.GBT_A.max_depth, training.GBT_B.max_leaves) == (200, 6, 31)
+    assert trials == [(50, None)]

@@ -3,7 +3,97 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from millwright.operators import attribution
-from millwright.plans import training
+from millwright.plans import boosting, training
+
+
+def _row_by_row(x, tree, phi, scale):
+    left, right, feat, thr, value, cover = (tree["left"], tree["right"], tree["feature"], tree["threshold"],
+                                            tree["value"], tree["cover"])
+
+    def extend(m, pz, po, pi):
+        depth = len(m)
+        m.append([pi, pz, po, 1.0 if depth == 0 else 0.0])
+        for i in range(depth - 1, -1, -1):
+            m[i + 1][3] += po * m[i][3] * (i + 1) / (depth + 1)
+            m[i][3] = pz * m[i][3] * (depth - i) / (depth + 1)
+
+    def unwind(m, k):
+        depth = len(m) - 1
+        zf, of = m[k][1], m[k][2]
+        nxt = m[depth][3]
+        for i in range(depth - 1, -1, -1):
+            if of != 0:
+                tmp = m[i][3]
+                m[i][3] = nxt * (depth + 1) / ((i + 1) * of)
+                nxt = tmp - m[i][3] * zf * (depth - i) / (depth + 1)
+            else:
+                m[i][3] = m[i][3] * (depth + 1) / (zf * (depth - i))
+        for i in range(k, depth):
+            m[i][0], m[i][1], m[i][2] = m[i + 1][0], m[i + 1][1], m[i + 1][2]
+        m.pop()
+
+    def unwound_sum(m, k):
+        depth = len(m) - 1
+        zf, of = m[k][1], m[k][2]
+        nxt, total = m[depth][3], 0.0
+        for i in range(depth - 1, -1, -1):
+            if of != 0:
+                tmp = nxt * (depth + 1) / ((i + 1) * of)
+                total += tmp
+                nxt = m[i][3] - tmp * zf * (depth - i) / (depth + 1)
+            elif zf != 0:
+                total += (m[i][3] / zf) / ((depth - i) / (depth + 1))
+        return total
+
+    def recurse(j, m, pz, po, pi):
+        m = [list(e) for e in m]
+        extend(m, pz, po, pi)
+        if left[j] < 0:
+            for i in range(1, len(m)):
+                w = unwound_sum(m, i)
+                phi[m[i][0]] += scale * w * (m[i][2] - m[i][1]) * value[j]
+            return
+        f = feat[j]
+        hot, cold = (left[j], right[j]) if x[f] <= thr[j] else (right[j], left[j])
+        iz, io = 1.0, 1.0
+        for k in range(1, len(m)):
+            if m[k][0] == f:
+                iz, io = m[k][1], m[k][2]
+                unwind(m, k)
+                break
+        recurse(hot, m, iz * cover[hot] / cover[j], io, f)
+        recurse(cold, m, iz * cover[cold] / cover[j], 0.0, f)
+
+    recurse(0, [], 1.0, 1.0, -1)
+
+
+def _frame(spark, n=400, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 4)).round(2)
+    y = ((x[:, 0] + 0.5 * x[:, 1] * x[:, 2]) > 0.3).astype(int)
+    rows = [(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))]
+    return x, y, spark.createDataFrame(rows, "event_id long, f0 double, f1 double, f2 double, f3 double, machine_failure int")
+
+
+NAMES = ["f0", "f1", "f2", "f3"]
+
+
+def test_both_model_kinds_equal_the_recursion(spark):
+    x, _, df = _frame(spark, 150)
+    spark_model = training.fit(df, NAMES, "gbt", {"maxIter": 5, "maxDepth": 4}, weight_col=None)
+    ours = boosting.fit_boosted(df, NAMES, [boosting.Settings(rounds=5, max_depth=4, pos_weight=2.0)])[0]
+    for model in (spark_model, ours):
+        trees, weights = attribution.ensemble_of(model)
+        expected = np.zeros((len(x), 4))
+        for row, phi in zip(x, expected):
+            for t, w in zip(trees, weights):
+                _row_by_row(row, t, phi, w)
+        got = attribution.path_attributions(x, attribution.leaf_paths(trees, weights), 4)
+        np.testing.assert_allclose(got, expected, atol=1e-9)
+        assert np.abs(expected).max() > 0.01
+        long = attribution.tree_attribution(df, model, NAMES).toPandas().pivot(index="event_id", columns="feature", values="phi")
+        np.testing.assert_allclose(long[NAMES].to_numpy(), expected, atol=1e-9)
+    np.testing.assert_allclose(long.sum(axis=1).to_numpy(), ours.margins(x), atol=1e-9)
 
 
 def test_tree_shap_efficiency_identity(spark):
