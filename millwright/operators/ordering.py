@@ -283,12 +283,24 @@ MIDDLE_BINS = 1024
 MIDDLE_ROWS = 100_000
 
 
-def _rankable(df: DataFrame, name: str) -> Column:
-    """A column that orders like ``name`` and can be cut into bins."""
+def _rankable(df: DataFrame, name: str) -> list[Column]:
+    """Two columns that order like ``name``: its class (null, -inf, finite, inf, NaN), and a number
+    without nulls that can be cut into bins."""
     kind = df.schema[name].dataType.typeName()
+    value = F.col(name)
     if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    return F.unix_date(F.col(name)) if kind == "date" else F.col(name)
+        value = F.unix_micros(value.cast("timestamp"))
+    elif kind == "date":
+        value = F.unix_date(value)
+    place = F.when(value.isNull(), 0).otherwise(2)
+    if kind in ("float", "double"):
+        inf = float("inf")
+        place = F.when(value.isNull(), 0).when(F.isnan(value), 4).when(value == -inf, 1).when(value == inf, 3).otherwise(2)
+    return [place, F.when(place == 2, value).otherwise(F.lit(0).cast(value_type(kind)))]
+
+
+def value_type(kind: str) -> str:
+    return "double" if kind in ("float", "double") else "long"
 
 
 def with_half(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -296,12 +308,15 @@ def with_half(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
     The key in the middle is found by counting rows per bin of the first key that still differs
     and going on inside the bin that holds the middle; only ``MIDDLE_BINS`` counts per step and the
-    last ``MIDDLE_ROWS`` keys are gathered.  Keys must be numbers, dates or timestamps without
-    nulls and name a row.
+    middle one of at most ``MIDDLE_ROWS`` keys are gathered.  Keys are numbers, dates or timestamps;
+    nulls come first and NaN last.  Rows that share the middle key are all in the second half.
     """
-    names = [f"_o{i}" for i in range(len(order_by))]
-    keys = df.select(*[_rankable(df, c).alias(n) for c, n in zip(order_by, names)])
-    rows, n = keys, keys.count()
+    parts = [c for name in order_by for c in _rankable(df, name)]
+    names = [f"_o{i}" for i in range(len(parts))]
+    rows = df.select(*[c.alias(n) for c, n in zip(parts, names)])
+    n = rows.count()
+    if n == 0:
+        return df.withColumn("half", F.lit(0))
     position = n // 2
     for name in names:
         while n > MIDDLE_ROWS:
@@ -316,12 +331,10 @@ def with_half(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
                     break
                 position -= count
             rows, n = rows.filter(bin_of == b), count
-    if n == 0:
-        return df.withColumn("half", F.lit(0))
-    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(*names)))  # at most MIDDLE_ROWS keys, or equal ones
-    middle = ranked.filter(F.col("_i") == position + 1).first()
+    # more than MIDDLE_ROWS rows are left only where all of them share one key
+    middle = rows.first() if n > MIDDLE_ROWS else rows.orderBy(*names).offset(position).first()
     first, equal = F.lit(False), F.lit(True)
-    for c, name in zip(order_by, names):
-        first = first | (equal & (_rankable(df, c) < F.lit(middle[name])))
-        equal = equal & (_rankable(df, c) == F.lit(middle[name]))
+    for c, name in zip(parts, names):
+        first = first | (equal & (c < F.lit(middle[name])))
+        equal = equal & (c == F.lit(middle[name]))
     return df.withColumn("half", F.when(first, 0).otherwise(1))

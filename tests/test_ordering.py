@@ -107,3 +107,16 @@ def test_time_split_cut(spark):
     _, df = _frame(spark, n=101)
     out = ordering.time_split(df, ["ts", "event_id"], 0.2)
     assert out.filter(F.col("split") == "train").count() == int(101 * 0.8)
+
+
+@pytest.mark.parametrize("middle_rows", [0, 7, 100_000])
+def test_halves_with_null_keys_do_not_depend_on_the_size(spark, monkeypatch, middle_rows):
+    monkeypatch.setattr(ordering, "MIDDLE_ROWS", middle_rows)
+    df = spark.range(501).selectExpr("id AS event_id", "if(id % 10 = 0, null, timestamp_seconds((id * 7919) % 501)) AS ts",
+                                     "case when id % 9 = 0 then double('NaN') when id % 9 = 1 then double('-Infinity') when id % 9 = 2 then null else id / 3 end AS x")
+    for keys in (["ts", "event_id"], ["x", "event_id"]):
+        expected = {r["event_id"]: int(i >= 250) for i, r in enumerate(df.orderBy(*keys).collect())}
+        assert {r["event_id"]: r["half"] for r in ordering.with_half(df, keys).collect()} == expected
+    same = df.selectExpr("event_id", "1 AS k")
+    assert {r["half"] for r in ordering.with_half(same, ["k"]).collect()} == {1}
+    assert ordering.with_half(df.limit(0), ["ts"]).count() == 0
