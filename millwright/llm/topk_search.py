@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import by_block
-from .common import settled
+from .common import partitions, settled
 from .crosspoly import _vectors
 
 SEGMENTS = (1, 4, 16)
-ROW_BLOCK = 8192
+ROW_BLOCK = 1 << 15
+SMALL_BLOCK = 1 << 12                            # the fewest rows that are worth a block of their own
 QUERY_BLOCK = 1024
 STEP = 1024
 
@@ -95,20 +96,22 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     """query_id, rank, vec_id, score: each query's k highest integer inner products over all rows.
 
     Vectors become floor(scale * x).  A vector that is null, empty or holds null or non-finite
-    components takes no part; of rows that share an id the smallest vector counts; vectors meet
-    only those of their length; ties go to the smaller vec_id; fewer than k rows give all; no rows
-    give no rows.
+    components takes no part, nor does a row without id.  Every row is a candidate for the queries
+    of other ids, repeated rows as often as they occur; query rows that share an id are ranked as one
+    query.  Vectors meet only those of their length; ties go to the smaller vec_id; fewer than k rows
+    give all; no rows give no rows.
     """
     def clean(df: DataFrame) -> DataFrame:
         v = F.col("embedding")
         ok = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         return (df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).filter("vec_id is not null")
-                .filter(F.coalesce(ok, F.lit(False))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-                .withColumn("_size", F.size("embedding")))
+                .filter(F.coalesce(ok, F.lit(False))).withColumn("_size", F.size("embedding")))
 
     x, q = settled(clean(rows), "search-rows"), settled(clean(queries), "search-queries")
-    row_blocks, query_blocks = max(1, -(-x.count() // ROW_BLOCK)), max(1, -(-q.count() // QUERY_BLOCK))
-    part = lambda n: F.expr(f"pmod(xxhash64(vec_id, 3), {n})")
+    n, ways = x.count(), partitions(rows.sparkSession)
+    row_blocks = max(1, -(-n // ROW_BLOCK), min(ways, -(-n // SMALL_BLOCK)))
+    query_blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    part = lambda n: F.expr(f"pmod(xxhash64(vec_id, embedding, 3), {n})")
     dealt = (x.withColumn("_r", part(row_blocks)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("_query", F.lit(False))
              .unionByName(q.withColumn("_q", part(query_blocks)).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))).withColumn("_query", F.lit(True))
                           .select("vec_id", "embedding", "_size", "_r", "_q", "_query"), allowMissingColumns=False)
@@ -123,7 +126,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
         i, j, score = best_rows(v[is_query], ids[is_query], v[~is_query], ids[~is_query], k)
         yield pa.RecordBatch.from_arrays([pa.array(ids[is_query][i]), pa.array(ids[~is_query][j]), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    found = by_block(dealt, "_block", search, "query_id long, vec_id long, score long", n=row_blocks * query_blocks)
+    found = by_block(dealt, "_block", search, "query_id long, vec_id long, score long", n=min(row_blocks * query_blocks, max(4 * ways, row_blocks)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -145,15 +145,16 @@ def test_top_k_matches_brute_force(spark, monkeypatch, spread):
     rng = np.random.default_rng(5)
     rows = [(int(i), (spread * rng.normal(size=10)).round(1).astype(np.float32).tolist()) for i in range(160)]
     rows += [(i, rows[i - 160][1]) for i in range(160, 200)]                       # ties
-    rows += [(200, None), (201, [float("nan")] * 10), (202, [None] * 10), (203, []), (204, [1.0] * 4), (205, [2.0] * 4), (20, rows[20][1])]
+    rows += [(200, None), (201, [float("nan")] * 10), (202, [None] * 10), (203, []), (204, [1.0] * 4), (205, [2.0] * 4), (20, rows[20][1]), (33, rows[40][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
     got = sorted(tuple(r) for r in topk_search.top_k(df, df.filter("vec_id % 20 = 0 or vec_id = 204"), 20).collect())
-    good = {i: [math.floor(64 * float(np.float32(x))) for x in e] for i, e in rows if e and all(x is not None and math.isfinite(x) for x in e)}
+    good = [(i, [math.floor(64 * float(np.float32(x))) for x in e]) for i, e in rows if e and all(x is not None and math.isfinite(x) for x in e)]
     expected = []
-    for q in sorted(good):
+    for q in sorted({i for i, _ in good}):
         if q % 20 == 0 or q == 204:
-            scored = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
+            scored = sorted((-sum(a * b for a, b in zip(u, v)), i) for j, u in good if j == q for i, v in good if i != q and len(v) == len(u))
             expected += [(q, k + 1, i, max(-2 ** 63, min(2 ** 63 - 1, -s))) for k, (s, i) in enumerate(scored[:20])]
+    expected.sort()
     assert got == expected
     assert topk_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
