@@ -184,16 +184,16 @@ def _features_of(docs: DataFrame, ids: DataFrame) -> np.ndarray:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 3000) -> QualityModel:
-    """Fit on trusted positives (labels.quality = 1) and on documents without any label.
+    """Fit on trusted positives (labels.quality = 1) and on documents whatever their label, which stays unread.
 
-    Labels, and unlabelled texts too, come only from rows whose crc32(doc_id) mod 5 is not 0.  Both
+    Labels and unlabelled texts come only from rows whose crc32(doc_id) mod 5 is not 0.  Both
     samples are the first rows by a hash of doc_id, at most ``max_positive`` and
     ``max_unlabelled``; only these come to the driver.  Nothing else is taken from the labels.
     """
     training = _fold(F.col("doc_id")) != 0
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     positives = labels.filter(training & (F.col("quality") == 1)).select("doc_id").distinct()
-    unlabelled = docs.filter(training).select("doc_id").distinct().join(labels.select("doc_id"), "doc_id", "left_anti")
+    unlabelled = docs.filter(training).select("doc_id").distinct()
     return fit_quality(_features_of(docs, positives.orderBy(*by_hash).limit(max_positive)),
                        _features_of(docs, unlabelled.orderBy(*by_hash).limit(max_unlabelled)))
 
