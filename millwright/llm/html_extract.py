@@ -6,7 +6,8 @@ classes and ids are a hint only: an element named like furniture goes if it has
 without links, one named like text of others (adverts, reader comments) if the page has other text.  Then the text lengths of ``WINDOW`` consecutive lines are summed for
 every line; the sum surges where a body of text begins and dives to nothing where it ends.  The
 text between a surge and its dive is one candidate body.  Lines that are links for the most part
-count as empty, so a list of links is a dive, and such a line with several links is left out.  A page that marks its article keeps the
+count as empty, so a list of links is a dive, and such a line with several links is left out; a
+paragraph with words of its own that ends like a sentence is text, however much of it is linked.  A page that marks its article keeps the
 bodies inside the mark, where no text outside of it has a higher sum and more length; of several
 marks those with sums near the highest count.  Any other page keeps the highest body, those whose peak reaches
 ``PEAK_SHARE`` of it or that stand in its elements or beside them, and all bodies between these.
@@ -51,15 +52,18 @@ SIBLINGS = {"dt": ("dd",), "dd": ("dt",), "td": ("th", "tr", "tbody"), "th": ("t
 #: Words that name text of somebody else; those of the others that also name parts of an article;
 #: and words that name its text.
 FOREIGN_WORDS = frozenset(("ad ads adbox adslot advert adverts advertisement advertising adsense adsbygoogle comment comments commentlist consent "
-                           "cookie cookies copyright disqus gdpr newsletter promo promoted promotion replies sidebar sidebars signup sponsor "
+                           "cookie cookies copyright disqus gdpr newsletter notice notices notification promo promoted promotion replies sidebar sidebars signup sponsor "
                            "sponsored subscribe subscription").split())
 FRAME_WORDS = frozenset("alert aside banner foot footer header notice notices notification rail widget widgets".split())
 CONTENT_WORDS = frozenset("article body content editor entry heading headline paragraph post story text title".split())
+#: Words whose elements go whatever the length of the article, if the page has any other text.
+NEVER_MAIN = frozenset("comment comments commentlist consent cookie cookies disqus gdpr replies reply respond responses".split())
 LANDMARKS = frozenset("article main".split())
+INLINE_CONTROLS = frozenset("button input label".split())
 CONTAINERS = frozenset("div section td center main article body details".split())
 
 
-GAP = ("", 0, -1, -1, 0)
+GAP = ("", 0, -1, -1, 0, False)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -82,7 +86,8 @@ def _is_furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
 
 
 def _hint(tag: str, attributes: dict[str, str], inside: bool) -> int:
-    """What class and id say: 2 for text of somebody else, 1 for other furniture, else 0.
+    """What class and id say: 3 for comments and consent, 2 for other text of somebody else, 1 for
+    other furniture, else 0.
 
     Names of several words, such as article-header or widget-text, count by their first and last
     word if another one names content; frame words do not count beside it.
@@ -98,7 +103,9 @@ def _hint(tag: str, attributes: dict[str, str], inside: bool) -> int:
             own = True
             words.update({parts[0], parts[-1]} - FRAME_WORDS)
     if tag in LANDMARKS or re.fullmatch("h[1-6]|p", tag):
-        return 2 if words & {"ad", "ads", "advert", "advertisement", "comment", "comments", "cookie", "notice", "promo", "sponsored", "reply"} else 0
+        return 3 if words & NEVER_MAIN else 2 if words & {"ad", "ads", "advert", "advertisement", "comment", "comments", "cookie", "notice", "promo", "sponsored", "reply"} else 0
+    if words & NEVER_MAIN:
+        return 3
     if words & FOREIGN_WORDS:
         return 2
     if own:
@@ -209,17 +216,19 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]
     parts: list[str] = []
     linked = links = 0
     in_link, open_link, in_title = 0, False, False
+    in_prose, plain = False, False               # a paragraph is open; it has letters outside of links
     landmark, marks, n_marks = 0, [], 0          # innermost landmark, its open elements
     holders, n_holders = [("", 0)], 0            # open containers
     boxes: list[list] = [[0, frozenset(), True]]
 
     def close():
-        nonlocal linked, links, in_link
+        nonlocal linked, links, in_link, plain
         text = " ".join(_html.unescape("".join(parts)).split())
         if text:
-            out.append((text, 0 if in_title else linked, landmark, holders[-1][1], links))
+            sentence = in_prose and plain and text[-1] in ".!?\u2026"
+            out.append((text, 0 if in_title else linked, landmark, holders[-1][1], links, sentence))
         parts.clear()
-        linked, links = 0, 0
+        linked, links, plain = 0, 0, False
         if open_link:
             in_link = 0
 
@@ -233,6 +242,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]
             parts.append(page[at:start])
             if in_link:
                 linked += start - at
+            elif in_prose and not plain:
+                plain = any(map(str.isalpha, parts[-1]))
         at = end
         while open_hints and open_hints[-1][0] <= k:
             close()
@@ -246,7 +257,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]
             if tag in RAW or _is_furniture(tag, attributes, landmark > 0):
                 if tag in ("nav", "footer", "header"):
                     _mark_frame(boxes, holders[-1][1])
-                if tag in BLOCK or tag in FURNITURE or tag not in RAW:
+                if tag in BLOCK or tag in CONTAINERS or tag in FURNITURE and tag not in INLINE_CONTROLS:
                     close()
                     out.extend([GAP] * WINDOW)
                 if tag not in VOID and not extra.endswith("/"):
@@ -266,6 +277,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]
             parts.append(" ")
         elif tag in BLOCK or tag in CONTAINERS:
             close()
+            in_prose = tag == "p" and not ends
             if tag == "h1":
                 in_title = not ends
             if tag in CONTAINERS:
@@ -299,20 +311,22 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]
 
 
 def _unlinked(line: tuple) -> int:
-    return 0 if line[1] > LINK_SHARE * len(line[0]) else len(line[0])
+    """Length of a line; 0 if it is links for the most part and no sentence of a paragraph."""
+    return 0 if line[1] > LINK_SHARE * len(line[0]) and not line[5] else len(line[0])
 
 
 def _without_furniture(lines: list[tuple], hinted: list[tuple[int, int, int]]) -> list[tuple]:
     """The lines, without those of elements that have furniture's names and no long text.
 
-    Long text of somebody else goes too, unless the page has no other.
+    Long text of somebody else goes too, unless the page has no other; comments and consent
+    banners go however short the other text is.
     """
     if not hinted:
         return lines
     lengths = [_unlinked(line) for line in lines]
     foreign = [False] * len(lines)
     for first, end, hint in hinted:
-        if hint == 2:
+        if hint >= 2:
             foreign[first:end] = [True] * (end - first)
     own = [0 if f else n for f, n in zip(foreign, lengths)]
     gone = [False] * len(lines)
@@ -323,7 +337,7 @@ def _without_furniture(lines: list[tuple], hinted: list[tuple[int, int, int]]) -
             own[first:end] = [0] * (end - first)
     rest = sum(own)
     for first, end, hint in hinted:
-        if hint == 2 and (rest >= LONG or sum(lengths[first:end]) < max(LONG, rest)):
+        if hint == 3 and rest or hint == 2 and (rest >= LONG or sum(lengths[first:end]) < max(LONG, rest)):
             gone[first:end] = [True] * (end - first)
     out = []
     for k, line in enumerate(lines):

@@ -388,3 +388,53 @@ def test_maintained_counts_equal_a_recount(spark):
                 n, t = n + 1, t + f([token_rollups.without_repeated_lines(r["text"] or "")])[0]
             expected[(r["source"], r["lang"], version)] = (n, t)
     assert got == expected
+
+
+P = "A paragraph of the story that is long enough to count as the body of a page, with words and more words, so that it has above LONG characters in it."
+
+
+@pytest.mark.parametrize("page, expected", [
+    (f"<article><h1>News</h1><p>A short article of few words.</p></article><div id=comments><p>{P}</p><p>{P}</p></div>", "News\nA short article of few words."),
+    (f"<main><h1>News</h1><p>A short article of few words.</p></main><section class=comments><article><p>{P}</p></article><article><p>{P}</p></article></section>",
+     "News\nA short article of few words."),
+    (f"<div><h1>News</h1><p>A short article of few words.</p></div><ul class=commentlist><li>{P}</li><li>{P}</li></ul>", "News\nA short article of few words."),
+    (f"<article><p>A short article of few words.</p><div class='post-comments'><p>{P}</p><p>{P}</p></div></article>", "A short article of few words."),
+    (f"<article><p>{P}</p><div class=notice><p>{P}</p><p>{P}</p></div><p>The end of it.</p></article>", f"{P}\nThe end of it."),
+    (f"<div class=cookie-banner><p>{P}</p><p>{P}</p></div><article><p>A short story.</p></article>", "A short story."),
+    (f"<article><p>{P}</p><p>See <a href=1>the first report</a>, <a href=2>the second</a>, <a href=3>the third</a>.</p><p>{P}</p></article>",
+     f"{P}\nSee the first report, the second, the third.\n{P}"),
+    (f"<article><p>{P}</p><p>Share: <a href=1>Here and there</a> <a href=2>Elsewhere</a></p><p>{P}</p></article>", f"{P}\n{P}"),
+    (f"<article><p>{P}</p><p>Tick <input type=checkbox> here.</p><p>Word <span hidden>x</span> more.</p><p>Press <button>Go</button> now.</p></article>",
+     f"{P}\nTick here.\nWord more.\nPress now."),
+])
+def test_comments_notices_linked_sentences_and_inline_controls(page, expected):
+    assert html_extract.main_text(f"<html><body>{page}</body></html>") == expected
+
+
+def test_quality_when_nearly_all_documents_are_labelled(spark):
+    """The unlabelled sample comes from all training rows, so junk is still told from good text."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    marked = labels.select("doc_id", "quality")
+    every = marked.unionByName(docs.select("doc_id").join(marked, "doc_id", "left_anti").selectExpr("doc_id", "0 AS quality"))
+    model = pu_quality.train_quality(docs, every)
+    rows = pu_quality.score_quality(docs, model).join(marked, "doc_id").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean(good) > np.mean(bad) + 0.3
+
+
+def test_gradient_steps_lower_the_risk():
+    """The fitted weights have a lower non-negative risk than their neighbours along every sampled direction."""
+    rng = np.random.default_rng(4)
+    p = rng.normal(0.4, 1.0, (900, 3)).astype(np.float32)
+    u = np.concatenate([rng.normal(0.4, 1.0, (600, 3)), rng.normal(-0.4, 1.0, (1400, 3))]).astype(np.float32)
+
+    def risk(w, b):
+        pos, neg = np.logaddexp(0, -(p @ w + b)).mean(), np.logaddexp(0, u @ w + b).mean() - 0.3 * np.logaddexp(0, p @ w + b).mean()
+        return 0.3 * pos + max(0.0, neg) + 0.5 * 1e-3 * float(w @ w)
+
+    w, b = pu_quality._minimise(p, u, 0.3, 1500, 0.02, 1e-3)
+    for _ in range(40):
+        d = rng.normal(size=4)
+        d /= np.linalg.norm(d)
+        assert risk(w, b) <= risk(w + 0.2 * d[:3], b + 0.2 * d[3]) + 1e-4
