@@ -6,7 +6,9 @@
   row; for linear scorers without any shuffle (``linear_top_k``), for
   attributions that come in long form after one grouping by row.
 * J4 global importance: mean |φ| per feature, one aggregate.
-* J5 model-agnostic sampled Shapley: seeded permutations are exploded into
+* J5 model-agnostic values by weighted least squares over coalitions against a
+  sample of background rows (``kernel_shapley``); and
+  sampled Shapley: seeded permutations are exploded into
   coalition points, all points are scored by one ``transform``, and marginal
   contributions are differences of consecutive points - no row cap.
 """
@@ -103,6 +105,75 @@ def sampled_shapley(df: DataFrame, features: Sequence[str], score: Callable[[Dat
         id_col, F.element_at(names, F.col("_j") + 1).alias("feature"), "phi")
 
 
+def coalitions(d: int, most: int, seed: int = 42) -> tuple[list[list[int]], list[float]]:
+    """Coalitions of d features (0/1 per feature) with their Shapley kernel weights.
+
+    All of them where there are at most ``most``; otherwise ``most`` drawn by the kernel, each with
+    its complement, at equal weights.
+    """
+    import itertools
+    import random
+    from math import comb
+    if d < 2:
+        return [], []
+    if 2 ** d - 2 <= most:
+        every = [list(z) for z in itertools.product((0, 1), repeat=d) if 0 < sum(z) < d]
+        return every, [(d - 1) / (comb(d, sum(z)) * sum(z) * (d - sum(z))) for z in every]
+    rng = random.Random(seed)
+    sizes = list(range(1, d))
+    drawn = [[int(i == j) for i in range(d)] for j in range(d)]  # single features make the equations regular
+    while 2 * len(drawn) < most:
+        chosen = set(rng.sample(range(d), rng.choices(sizes, [1 / (s * (d - s)) for s in sizes])[0]))
+        drawn.append([int(i in chosen) for i in range(d)])
+    both = drawn + [[1 - v for v in z] for z in drawn]
+    return both, [1.0] * len(both)
+
+
+def kernel_shapley(df: DataFrame, features: Sequence[str], score: Callable[[DataFrame], DataFrame], background: DataFrame,
+                   n_background: int = 100, n_coalitions: int = 256, id_col: str = "event_id", order_by: Sequence[str] | None = None,
+                   value: str = "failure_probability", seed: int = 42) -> DataFrame:
+    """Model-agnostic Shapley values by weighted least squares, one (id, feature, phi) row each.
+
+    A row's features in a coalition are its own, the others come from ``n_background`` rows of
+    ``background`` (the first by ``order_by``, by a hash of the id without it); ``score(frame)`` adds
+    ``value`` to every such point.  The values fit the coalitions' mean scores by least squares under
+    the Shapley kernel, with the sum over the features fixed to score - mean background score.  The
+    coalitions are the same for all rows, so the inverse of the normal matrix (bounded by the
+    features) is taken once, and a row needs one grouped sum over its points.  Exact where all
+    coalitions fit into ``n_coalitions`` or the model is additive; no rows are left out.  ``id_col``
+    must name a row; an empty background gives null values.
+    """
+    import numpy as np
+    names, d = list(features), len(features)
+    keys = list(order_by) if order_by else [F.xxhash64(id_col), F.col(id_col)]
+    bg = background.orderBy(*keys).limit(n_background).select(*names)
+    rows = df.select(id_col, *names)
+    own = score(rows).select(id_col, F.col(value).alias("_fx"))
+    base = score(bg).agg(F.avg(value).alias("_f0"))
+    z, w = coalitions(d, n_coalitions, seed)
+    if d == 1:
+        return own.crossJoin(F.broadcast(base)).select(id_col, F.lit(names[0]).alias("feature"), (F.col("_fx") - F.col("_f0")).alias("phi"))
+    z, w = np.array(z, float), np.array(w, float)
+    x = z[:, :-1] - z[:, -1:]                    # the last feature takes what the others leave
+    solve = np.linalg.inv((x * w[:, None]).T @ x) @ (x * w[:, None]).T
+    table = F.array(*[F.struct(F.array(*[F.lit(int(v)) for v in row]).alias("z"), F.array(*[F.lit(float(v)) for v in solve[:, i]]).alias("k"))
+                      for i, row in enumerate(z)])
+    other = bg.select(*[F.col(c).alias(f"_b_{c}") for c in names])
+    points = rows.select("*", F.explode(table).alias("_s")).crossJoin(F.broadcast(other))    # at most n_background rows
+    points = points.select(id_col, F.col("_s.k").alias("_k"), *[F.when(F.col("_s.z")[j] == 1, F.col(c)).otherwise(F.col(f"_b_{c}")).alias(c)
+                                                               for j, c in enumerate(names)])
+    sums = score(points).groupBy(id_col).agg(F.count(F.lit(1)).alias("_points"), *[F.sum(F.col("_k")[j] * F.col(value)).alias(f"_p{j}") for j in range(d - 1)])
+    whole = sums.join(own, id_col).crossJoin(F.broadcast(base))                              # one row
+    share = F.col("_points") / F.lit(float(len(z)))                                          # background rows per coalition
+    gain = F.col("_fx") - F.col("_f0")
+    phis = [F.col(f"_p{j}") / share - F.col("_f0") * float(solve[j].sum()) - gain * float(solve[j] @ z[:, -1]) for j in range(d - 1)]
+    last = gain
+    for phi in phis:
+        last = last - phi
+    wide = whole.select(id_col, *[p.alias(f"_q{j}") for j, p in enumerate([*phis, last])])
+    return wide.selectExpr(id_col, f"stack({d}, " + ", ".join(f"'{c}', _q{j}" for j, c in enumerate(names)) + ") AS (feature, phi)")
+
+
 # --------------------------------------------------------------------------
 # Path-dependent tree attributions (Lundberg et al. 2018, Algorithm 2)
 # --------------------------------------------------------------------------

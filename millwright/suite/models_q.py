@@ -235,6 +235,27 @@ def _sampled(spark, d):
     return attribution.sampled_shapley(test, rules.SENSORS, score, split.filter(F.col("split") == "train"))
 
 
+def q_kernel_attribution(spark, d):
+    """Kernel Shapley values of the chosen scorer's logit on the test part, against the first 100 training rows."""
+    split = ordering.time_split(fx.sensors(spark, d), ["ts", "event_id"], 0.2)
+    test, train = split.filter(F.col("split") == "test"), split.filter(F.col("split") == "train")
+
+    def score(frame):
+        return frame.withColumn("logit", scoring.linear_logit(M1))
+    phi = attribution.kernel_shapley(test, rules.SENSORS, score, train, order_by=["ts", "event_id"], value="logit")
+    return phi.select("event_id", "feature", (F.round("phi", 5) + F.lit(0.0)).alias("phi"))
+
+
+def _kernel_sql():
+    weights = dict(zip([t.split(" - ")[0] for t in scoring.TERMS], M1[1:]))
+    unions = " UNION ALL ".join(f"SELECT event_id, '{c}' AS feature, round({weights[c]!r} * ({c} - mu_{c}), 5) + 0.0e0 AS phi FROM part, m WHERE pos >= cut"
+                                for c in rules.SENSORS)
+    return with_views(f"""
+, part AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, CAST(floor(count(*) OVER () * 0.8e0) AS BIGINT) AS cut FROM sensors)
+, m AS (SELECT {', '.join(f'avg({c}) AS mu_{c}' for c in rules.SENSORS)} FROM part WHERE pos < least(cut, 100))
+{unions}""", "sensors")
+
+
 def q_tree_attribution(spark, d):
     """Path-dependent attributions of boosted model A (200 rounds of depth 6) for every test row; they add up to its margin."""
     train, test = _split(spark, d)
@@ -276,5 +297,6 @@ QUERIES = {
     "model_roundtrip": (q_model_roundtrip, _test_rows_sql("event_id, true AS same FROM part WHERE pos >= cut")),
     "tune_search": (q_tune_search, SQL_TUNE),
     "sampled_attribution": (q_sampled_attribution, _sampled_sql()),
+    "kernel_attribution": (q_kernel_attribution, _kernel_sql()),
     "tree_attribution": (q_tree_attribution, _test_rows_sql("event_id, 17 AS parts, true AS adds_up FROM part WHERE pos >= cut")),
 }

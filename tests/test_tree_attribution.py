@@ -115,3 +115,42 @@ def test_tree_shap_efficiency_identity(spark):
     for i in range(3):
         most = phi.filter(F.col("feature") == f"f{i}").agg(F.max(F.abs("phi"))).first()[0]
         assert (most > 0) == (i in used)
+
+
+def _exact(f, x, bg):
+    """Shapley values by all subsets, the missing features averaged over the background."""
+    from itertools import combinations
+    from math import factorial
+    d = x.shape[1]
+
+    def v(row, subset):
+        points = bg.copy()
+        points[:, list(subset)] = row[list(subset)]
+        return f(points).mean()
+    out = np.zeros_like(x)
+    for i, row in enumerate(x):
+        for j in range(d):
+            others = [k for k in range(d) if k != j]
+            for s in range(d):
+                for subset in combinations(others, s):
+                    out[i, j] += factorial(s) * factorial(d - 1 - s) / factorial(d) * (v(row, (*subset, j)) - v(row, subset))
+    return out
+
+
+def test_kernel_values_equal_all_subsets_and_add_up_on_a_fitted_model(spark):
+    x, _, df = _frame(spark, 60)
+    model = boosting.fit_boosted(df, NAMES, [boosting.Settings(rounds=8, max_depth=3)])[0]
+    score = lambda frame: boosting.score_boosted(frame, {"m": model})
+    rows = df.filter("event_id >= 50")
+    got = attribution.kernel_shapley(rows, NAMES, score, df.filter("event_id < 50"), n_background=12, order_by=["event_id"], value="margin_m")
+    wide = got.toPandas().pivot(index="event_id", columns="feature", values="phi")[NAMES].to_numpy()
+    np.testing.assert_allclose(wide, _exact(model.margins, x[50:], x[:12]), atol=1e-9)
+    np.testing.assert_allclose(wide.sum(axis=1), model.margins(x[50:]) - model.margins(x[:12]).mean(), atol=1e-9)
+    # fewer coalitions than there are: still exact on an additive score, and the sum still holds
+    linear = lambda frame: frame.withColumn("s", F.expr("2 * f0 - f1 + 0.5 * f2 + 3"))
+    few = attribution.kernel_shapley(rows, NAMES, linear, df, n_background=9, n_coalitions=10, order_by=["event_id"], value="s")
+    wide = few.toPandas().pivot(index="event_id", columns="feature", values="phi")[NAMES].to_numpy()
+    np.testing.assert_allclose(wide, (x[50:] - x[:9].mean(axis=0)) * [2, -1, 0.5, 0], atol=1e-9)
+    some = attribution.kernel_shapley(rows, NAMES, score, df, n_background=9, n_coalitions=10, order_by=["event_id"], value="margin_m")
+    total = some.groupBy("event_id").sum("phi").orderBy("event_id").toPandas()["sum(phi)"]
+    np.testing.assert_allclose(total, model.margins(x[50:]) - model.margins(x[:9]).mean(), atol=1e-9)
