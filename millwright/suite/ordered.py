@@ -143,6 +143,18 @@ def q_ewm_global(spark, d):
     return _r6(out, ["rpm_ema"])
 
 
+def q_ewm_long_span(spark, d):
+    """W9 with span 1000 in whole-table order: exact carry between chunks."""
+    out = feat.ewm_carried(fx.sensors(spark, d), "rotational_speed", 1000, "rpm_ema", partition_by=None)
+    return out.select("event_id", "machine_id", F.round("rpm_ema", 6).alias("rpm_ema"))
+
+
+SQL_EWM_LONG = with_views(f"""
+, numbered AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS rn FROM sensors)
+SELECT event_id, machine_id, round(sum(pow({1.0 - 2.0 / 1001.0!r}, -rn) * rotational_speed) OVER (ORDER BY rn)
+                                   / sum(pow({1.0 - 2.0 / 1001.0!r}, -rn)) OVER (ORDER BY rn), 6) AS rpm_ema FROM numbered""", "sensors")
+
+
 def q_derived_features(spark, d):
     out = feat.derived(fx.sensors(spark, d))
     return _r6(out, ["temp_diff", "wear_torque"])
@@ -276,6 +288,7 @@ QUERIES = {
     "lag_features": (q_lag_features, SQL_LAG),
     "ewm_mean": (q_ewm_mean, _ewm_sql(True)),
     "ewm_global": (q_ewm_global, _ewm_sql(False)),
+    "ewm_long_span": (q_ewm_long_span, SQL_EWM_LONG),
     "derived_features": (q_derived_features, SQL_DERIVED),
     "fill_features": (q_fill_features, SQL_FILL),
     "fill_global": (q_fill_global, SQL_FILL_GLOBAL),

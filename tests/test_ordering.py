@@ -120,3 +120,25 @@ def test_halves_with_null_keys_do_not_depend_on_the_size(spark, monkeypatch, mid
     same = df.selectExpr("event_id", "1 AS k")
     assert {r["half"] for r in ordering.with_half(same, ["k"]).collect()} == {1}
     assert ordering.with_half(df.limit(0), ["ts"]).count() == 0
+
+
+@pytest.mark.parametrize("keys", [None, ["machine_id"]])
+@pytest.mark.parametrize("chunks", [1, 3, 40])
+def test_long_span_equals_the_recursion(spark, keys, chunks):
+    """A hot machine over many chunks, chunks of one row, absent values; the plan does not know the span."""
+    from millwright.operators import features
+    rows = [(i, 1 if i % 10 else i % 7, i * 37 % 400, None if i % 9 == 0 else float((i * 31) % 97)) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, machine_id int, ts long, x double")
+    got = features.ewm_carried(df, "x", 1000, "m", partition_by=keys, num_chunks=chunks)
+    q, states, expected = 1 - 2 / 1001, {}, {}
+    for i, m, _, x in sorted(rows, key=lambda r: (r[2], r[0])):
+        n, d = states.get(m if keys else 0, (0.0, 0.0))
+        n, d = (n * q + (x or 0.0), d * q + (x is not None))
+        states[m if keys else 0] = (n, d)
+        expected[i] = n / d if d else None
+    out = {r["event_id"]: r["m"] for r in got.collect()}
+    assert out.keys() == expected.keys()
+    assert all((out[i] is None) == (e is None) and (e is None or abs(out[i] - e) < 1e-9) for i, e in expected.items())
+    short = features.ewm_carried(df, "x", 5, "m", partition_by=keys, num_chunks=chunks)
+    plans = [f._jdf.queryExecution().analyzed().toString() for f in (got, short)]
+    assert plans[0].count("\n") == plans[1].count("\n")
