@@ -21,7 +21,7 @@ from ..operators import features, state
 from ..operators.bucketed import BucketedTable
 from ..plans import training
 from ..session import scratch_path
-from ..sources import messages
+from ..sources import fleet_polls, messages
 from ..streaming import live, ordered
 from .base_sql import with_views
 from .state_q import SQL_UPSERT
@@ -204,7 +204,32 @@ def q_state_in_buckets(spark, d):
     return table.read()
 
 
+def q_stream_fleet_documents(spark, d):
+    """K1 over S6: polled documents from the polling source, readings and rejects kept side by side."""
+    s = fx.sensors(spark, d)
+    machine = F.when(F.pmod(F.col("event_id"), F.lit(37)) == 0, F.lit(" ")).otherwise(F.col("machine_id").cast("string"))
+    docs = s.groupBy(F.date_trunc("minute", "ts").alias("_m")).agg(
+        F.collect_list(F.struct(machine.alias("machine_id"), *rules.SENSORS)).alias("machines"), F.max("ts").alias("fetched_at"))
+    text = F.to_json(F.struct("machines", "fetched_at"), {"timestampNTZFormat": live.TS_FORMAT})
+    run, root = live.StreamRun(spark, "k1-fleet"), scratch_path(spark, "fleet-polls")
+    for part in live.time_slices(docs, SLICES, "_m"):
+        fleet_polls.land_poll(part.select(text.alias("document")), root)
+        rows = fleet_polls.fleet_readings(fleet_polls.fleet_documents(spark, root))
+        run.run(rows.writeStream.foreachBatch(fleet_polls.two_outputs_writer(run.sink)))
+    readings, rejects = fleet_polls.outputs(spark, run.sink)
+    refused = rejects.select("reason", "timestamp", F.get_json_object("document", "$.torque").cast("double").alias("torque"))
+    return readings.drop("poll").withColumn("reason", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
+
+
+SQL_FLEET = with_views(f"""
+, polled AS (SELECT *, event_id % 37 = 0 AS blank, max(ts) OVER (PARTITION BY date_trunc('minute', ts)) AS polled_at FROM sensors)
+SELECT CASE WHEN NOT blank THEN CAST(machine_id AS VARCHAR) END AS machine_id,
+       {', '.join(f'CASE WHEN NOT blank THEN {c} END AS {c}' if c != 'torque' else 'torque' for c in rules.SENSORS)},
+       polled_at AS "timestamp", CASE WHEN blank THEN 'machine' END AS reason FROM polled""", "sensors")
+
+
 QUERIES = {
+    "stream_fleet_documents": (q_stream_fleet_documents, SQL_FLEET),
     "stream_ordered_features": (q_stream_ordered_features, SQL_ORDERED),
     "stream_live_scoring": (q_stream_live_scoring, _live_sql()),
     "stream_rejects": (q_stream_rejects, SQL_REJECTS),
