@@ -303,8 +303,8 @@ def value_type(kind: str) -> str:
     return "double" if kind in ("float", "double") else "long"
 
 
-def with_half(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """T8 without positions: ``half`` = 0 for the first n div 2 rows in ``order_by``, else 1.
+def with_half(df: DataFrame, order_by: Sequence[str], position: int | None = None) -> DataFrame:
+    """T8 without positions: ``half`` = 0 for the first n div 2 (or ``position``) rows in ``order_by``, else 1.
 
     The key in the middle is found by counting rows per bin of the first key that still differs
     and going on inside the bin that holds the middle; only ``MIDDLE_BINS`` counts per step and the
@@ -317,7 +317,7 @@ def with_half(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     n = rows.count()
     if n == 0:
         return df.withColumn("half", F.lit(0))
-    position = n // 2
+    position = n // 2 if position is None else min(position, n - 1)
     for name in names:
         while n > MIDDLE_ROWS:
             low, high = rows.agg(F.min(name), F.max(name)).first()

@@ -13,11 +13,13 @@ rows" window as a top-k (TakeOrderedAndProject); ``None`` uses all rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..session import scratch_path
 from . import features, ordering
 
 ORDER = ("ts", "event_id")
@@ -49,6 +51,11 @@ def factory_health(scored: DataFrame, last_n: int | None = None, order_by: Seque
         F.coalesce(F.sum(F.when(F.col("half") == 0, F.col("prediction"))), F.lit(0)).alias("_first"),
         F.coalesce(F.sum(F.when(F.col("half") == 1, F.col("prediction"))), F.lit(0)).alias("_second"),
     )
+    return _health_of(agg)
+
+
+def _health_of(agg: DataFrame) -> DataFrame:
+    """A1 from one row of totals."""
     n = F.col("total_samples_analyzed")
     rate = F.when(n > 0, F.col("failures_detected") / n * 100).otherwise(F.lit(0.0))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - (rate * 0.5 + F.col("_risk") * 50)))
@@ -80,7 +87,13 @@ def machines_at_risk(scored: DataFrame, threshold: float = 0.3, top: int | None
         F.max("failure_probability").alias("_max"),
         F.count(F.lit(1)).alias("recent_readings"),
         F.max_by(F.struct(*SENSORS), _latest_struct(order_by)).alias("_last"),
-    ).filter(F.col("_avg") >= threshold)
+    )
+    return _risk_of(agg, threshold, top)
+
+
+def _risk_of(machines: DataFrame, threshold: float, top: int | None) -> DataFrame:
+    """A2 from one row per machine."""
+    agg = machines.filter(F.col("_avg") >= threshold)
     level = (F.when(F.col("_max") >= 0.8, "CRITICAL").when(F.col("_max") >= 0.5, "HIGH")
              .when(F.col("_avg") >= 0.3, "MEDIUM").otherwise("LOW"))
     out = agg.select(
@@ -109,6 +122,11 @@ def maintenance_schedule(scored: DataFrame, base_ts=None, days: int | None = Non
         agg = agg.crossJoin(F.broadcast(base))  # one row
     else:
         agg = agg.withColumn("_base", F.lit(base_ts).cast("timestamp_ntz"))
+    return _schedule_of(agg, days, top)
+
+
+def _schedule_of(agg: DataFrame, days: int | None, top: int | None) -> DataFrame:
+    """A3 from one row per machine with the schedule's start."""
     urg = rules.urgency("_max", "_avg")
     agg = agg.withColumn("urgency", urg)
     days_c = rules.urgency_attr("urgency", 0)
@@ -160,6 +178,11 @@ def fleet_diagnostics(scored: DataFrame, total_machines=None, last_n: int | None
         F.count(F.lit(1)).alias("data_points_analyzed"),
         F.round(F.avg(F.greatest(p, F.lit(1.0) - p)), 4).alias("model_confidence"),
     )
+    return _diagnostics_of(agg, total_machines)
+
+
+def _diagnostics_of(agg: DataFrame, total_machines) -> DataFrame:
+    """A4 from one row of totals."""
     if isinstance(total_machines, DataFrame):
         agg = agg.crossJoin(F.broadcast(total_machines.select(F.col("total_machines").cast("long"))))
     elif total_machines is None:
@@ -173,6 +196,70 @@ def fleet_diagnostics(scored: DataFrame, total_machines=None, last_n: int | None
                       "avg_torque", "data_points_analyzed", "model_confidence")
 
 
+def dashboard(scored: DataFrame, total_machines=None, threshold: float = 0.3, order_by: Sequence[str] = ORDER) -> dict[str, DataFrame]:
+    """A5: the four full reports ``health``, ``at_risk``, ``schedule`` and ``diagnostics`` from one pass.
+
+    One aggregate of mergeable parts (counts, sums, maxima, the latest reading) per machine and hour
+    reads the scored rows once and is written below the checkpoint folder; the reports are second levels over that table.
+    Only the trend looks at rows again: at those of the hour that holds the middle row, by a filter
+    on the time that reaches the scan.  The driver sees a count and a failure sum per hour.  The results are
+    those of the four reports by themselves; rows without a time count as the earliest, as there.
+    """
+    p, ts = F.col("failure_probability"), order_by[0]
+    confident = F.greatest(p, F.lit(1.0) - p)
+    means = {"risk": p, "confidence": confident, **{s: F.col(s) for s in ("air_temp", "rotational_speed", "torque")}}
+    bands = {"critical": p >= 0.8, "high": (p >= 0.5) & (p < 0.8), "medium": (p >= 0.3) & (p < 0.5), "low": p < 0.3}
+    t = F.col(ts)
+    hour = F.make_timestamp_ntz(F.year(t), F.month(t), F.day(t), F.hour(t), F.lit(0), F.lit(0))
+    level = scored.groupBy("machine_id", hour.alias("_hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("prediction"), F.lit(0)).cast("long").alias("failures"),
+        F.max(p).alias("worst"), F.max(ts).alias("newest"),
+        *[x for name, c in means.items() for x in (F.sum(c).alias(f"sum_{name}"), F.count(c).alias(f"n_{name}"))],
+        *[F.count_if(c).alias(name) for name, c in bands.items()],
+        F.max(_latest_struct(order_by)).alias("at"), F.max_by(F.struct(*SENSORS), _latest_struct(order_by)).alias("last"))
+    spark = scored.sparkSession
+    path = scratch_path(spark, "dashboard")
+    level.write.parquet(path)
+    parts = spark.read.schema(level.schema).parquet(path)
+
+    def mean(name):
+        return F.sum(f"sum_{name}") / F.nullif(F.sum(f"n_{name}"), F.lit(0))
+    machines = parts.groupBy("machine_id").agg(
+        mean("risk").alias("_avg"), F.max("worst").alias("_max"), F.sum("n").alias("recent_readings"), F.max_by("last", "at").alias("_last"))
+    first, second = _halves(scored, parts, order_by)
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_samples_analyzed"),
+                      F.coalesce(F.sum("failures"), F.lit(0)).alias("failures_detected"),
+                      F.coalesce(mean("risk"), F.lit(0.0)).alias("_risk"), F.lit(first).alias("_first"), F.lit(second).alias("_second"))
+    base = parts.agg(F.max("newest").alias("_base"))
+    fleet = parts.agg(
+        F.count_distinct("machine_id").alias("machines_monitored"),
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in bands],
+        F.round(mean("air_temp"), 2).alias("avg_air_temperature"), F.round(mean("rotational_speed"), 2).alias("avg_rotational_speed"),
+        F.round(mean("torque"), 2).alias("avg_torque"), F.coalesce(F.sum("n"), F.lit(0)).alias("data_points_analyzed"),
+        F.round(mean("confidence"), 4).alias("model_confidence"))
+    return {"health": _health_of(total), "at_risk": _risk_of(machines, threshold, None),
+            "schedule": _schedule_of(machines.select("machine_id", "_avg", "_max").crossJoin(F.broadcast(base)), None, None),  # one row
+            "diagnostics": _diagnostics_of(fleet, total_machines)}
+
+
+def _halves(scored: DataFrame, parts: DataFrame, order_by: Sequence[str]) -> tuple[int, int]:
+    """Failures among the first n div 2 rows in order, and among the others."""
+    hours = parts.groupBy("_hour").agg(F.sum("n").alias("n"), F.sum("failures").alias("failures")).orderBy(F.col("_hour").asc_nulls_first()).collect()
+    position, failures, first = sum(r["n"] for r in hours) // 2, sum(r["failures"] for r in hours), 0
+    for r in hours:
+        if position < r["n"]:
+            start, t = r["_hour"], F.col(order_by[0])
+
+            def at(moment):
+                return F.lit(str(moment)).cast(scored.schema[order_by[0]].dataType)
+            inside = t.isNull() if start is None else (t >= at(start)) & (t < at(start + timedelta(hours=1)))
+            rows = ordering.with_half(scored.filter(inside).select(*order_by, "prediction"), order_by, position)
+            first += rows.agg(F.coalesce(F.sum(F.when(F.col("half") == 0, F.col("prediction"))), F.lit(0))).first()[0]
+            break
+        position, first = position - r["n"], first + r["failures"]
+    return int(first), int(failures - first)
+
+
 def prediction_stats(scored: DataFrame) -> DataFrame:
     """Totals, level counts, mean and max probability."""
     lvl = F.col("risk_level")

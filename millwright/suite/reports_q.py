@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -187,6 +189,25 @@ FROM h,
   FROM predictions) g""", "predictions")
 
 
+def q_dashboard_reports(spark, d):
+    """A5 in full: the four reports from one table of parts, one below the other."""
+    total = fx.registry(spark, d).agg(F.count(F.lit(1)).alias("total_machines"))
+    found = reports.dashboard(fx.predictions(spark, d), total)
+    found["schedule"] = found["schedule"].withColumn("parts_required", F.array_join("parts_required", ", "))
+    rows = [df.withColumn("report", F.lit(name)) for name, df in found.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+
+
+def _dashboard_reports_sql():
+    def nested(sql):
+        body = _strip_with(sql).strip()
+        return "WITH " + body.lstrip(",") if body.startswith(",") else body
+    bodies = {"health": _health_sql("predictions").strip(), "at_risk": SQL_AT_RISK, "schedule": SQL_SCHEDULE, "diagnostics": SQL_DIAG}
+    texts = {k: "WITH " + v.lstrip(",") if k == "health" else nested(v) for k, v in bodies.items()}
+    return with_views("\nUNION ALL BY NAME\n".join(f"SELECT '{k}' AS report, * FROM ({v})" for k, v in texts.items()),
+                      "predictions", "registry")
+
+
 # --- A6, A7, A8 ---------------------------------------------------------------------------------
 def q_prediction_stats(spark, d):
     return reports.prediction_stats(fx.predictions(spark, d))
@@ -613,6 +634,7 @@ SQL_DIM = with_views("SELECT machine_id, location, type FROM registry", "registr
 
 
 QUERIES = {
+    "dashboard_reports": (q_dashboard_reports, _dashboard_reports_sql()),
     "machines_at_risk_scored": (q_machines_at_risk_scored, SQL_AT_RISK),
     "factory_health": (q_factory_health, SQL_HEALTH),
     "factory_health_recent": (q_factory_health_recent, SQL_HEALTH_RECENT),
