@@ -153,17 +153,18 @@ REGISTRY_ENTRY = T.StructType([
 ])
 
 
-def registry_documents(registry: DataFrame, shards: int = 16) -> DataFrame:
-    """Encode a registry as JSON maps ``{"machine_<id>": {...}}``, one document per shard.
+def registry_documents(registry: DataFrame, machines: int = 1000) -> DataFrame:
+    """Encode a registry as JSON maps ``{"machine_<id>": {...}}``, one document per block of ids.
 
-    Sharding keeps every document bounded (the reference keeps one map for the
-    whole fleet, which would be one record in one task).
+    A block is ``machines`` consecutive ids, so a document holds at most that many entries however large
+    the fleet is (the reference keeps one map for the whole fleet, which would be one record in
+    one task).  Machine ids are unique; entries without id share a document.
     """
     entry = F.struct(*[F.col(f.name) if f.name in registry.columns else F.lit(None).cast(f.dataType).alias(f.name)
                        for f in REGISTRY_ENTRY.fields])
-    keyed = registry.select(F.pmod(F.col("machine_id"), F.lit(shards)).alias("_shard"),
+    keyed = registry.select(F.floor(F.col("machine_id") / F.lit(machines)).alias("_block"),
                             F.format_string("machine_%d", F.col("machine_id")).alias("k"), entry.alias("v"))
-    return keyed.groupBy("_shard").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")) \
+    return keyed.groupBy("_block").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")) \
         .select("value")
 
 
@@ -173,19 +174,6 @@ def registry_explode(documents: DataFrame, text_col: str = "value") -> DataFrame
     return parsed.select(F.explode("m").alias("key", "e")).select("key", "e.*")
 
 
-def prediction_arrays(scored: DataFrame, keep_last: int, ts_col: str = "ts",
-                      order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """Per-machine JSON arrays of the newest ``keep_last`` predictions (W16 retention bounds each array)."""
-    from ..operators.features import retain_last_n
-    kept = retain_last_n(scored, keep_last, order, ["machine_id"])
-    rec = F.struct(F.col("prediction"), F.col("failure_probability"), F.col("normal_probability"),
-                   F.col("risk_level"), F.struct(*rules.SENSORS).alias("sensor_data"),
-                   F.col(ts_col).alias("timestamp"), F.col(order[-1]).alias("seq"))
-    return kept.groupBy("machine_id").agg(F.to_json(F.array_sort(F.collect_list(
-        F.struct(F.col(ts_col).alias("_t"), F.col(order[-1]).alias("_s"), rec.alias("r"))))["r"],
-        JSON_OPTIONS).alias("value"))
-
-
 PREDICTION_RECORD = T.StructType([
     T.StructField("prediction", T.IntegerType()), T.StructField("failure_probability", T.DoubleType()),
     T.StructField("normal_probability", T.DoubleType()), T.StructField("risk_level", T.StringType()),
@@ -195,7 +183,8 @@ PREDICTION_RECORD = T.StructType([
 
 
 def machine_recent_predictions(spark: SparkSession, path: str, limit: int) -> DataFrame:
-    """Read per-machine array files; machine id from the file path; last ``limit`` each.
+    """Read given JSON arrays in a folder per machine; machine id from the file path; last ``limit`` each.
+    Tables that the library writes itself are by machine in few files (``machine_store``).
 
     Each line holds one machine's (retention-bounded) array, so its length is on
     the row: no per-machine shuffle is needed to keep the tail.

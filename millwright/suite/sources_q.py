@@ -10,7 +10,7 @@ from .. import fixtures as fx
 from ..functions import rules
 from ..operators import reports
 from ..session import scratch_path
-from ..sources import files, messages
+from ..sources import files, machine_store, messages
 from .base_sql import with_views
 
 SENS = ", ".join(rules.SENSORS)
@@ -176,10 +176,10 @@ SELECT printf('machine_%d', machine_id) AS key, machine_id, printf('Machine-%d',
 
 
 def q_machine_recent_predictions(spark, d):
-    arrays = files.prediction_arrays(fx.predictions(spark, d), keep_last=1000)
-    path = scratch_path(spark, "machine-arrays")
-    arrays.write.partitionBy("machine_id").text(path)
-    out = files.machine_recent_predictions(spark, path, limit=100)
+    """S14 over the table by machine: lists of the newest 1000, of which the newest 100 are read."""
+    path = machine_store.write_by_machine(machine_store.prediction_lists(fx.predictions(spark, d), 1000),
+                                          scratch_path(spark, "machine-lists"))
+    out = machine_store.last_predictions(spark.read.parquet(path), 100)
     return out.select("machine_id", "idx", "timestamp", "seq", "failure_probability", "risk_level")
 
 
@@ -216,6 +216,62 @@ SELECT r.machine_id, r.location, st.total_predictions, st.average_failure_probab
 FROM registry r LEFT JOIN st ON r.machine_id = st.machine_id""", "predictions", "registry")
 
 
+def q_machine_lookup(spark, d):
+    """JN1: the whole record, with the newest 200 predictions, of every machine whose newest reading is at high risk."""
+    scored = fx.predictions(spark, d)
+    stats = reports.machine_stats(scored).select("machine_id", "total_predictions", "average_failure_probability", "trend")
+    store = machine_store.MachineStore(spark, scratch_path(spark, "machine-store")).write(fx.registry(spark, d), stats, scored)
+    risky = messages.latest_reading(scored.select("machine_id", "ts", "event_id", "failure_probability")).filter("failure_probability >= 0.5")
+    rows = store.records(risky, recent=200)
+    return rows.select("machine_id", "location", "total_predictions", "average_failure_probability", "trend",
+                       F.posexplode("recent_predictions").alias("place", "r")).select(
+        "machine_id", "location", "total_predictions", "average_failure_probability", "trend", "place",
+        F.col("r.timestamp").alias("ts"), F.col("r.seq").alias("event_id"), F.col("r.failure_probability").alias("failure_probability"),
+        F.col("r.sensor_data.torque").alias("torque"))
+
+
+SQL_LOOKUP = with_views("""
+, n AS (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY ts, event_id) AS ra,
+               row_number() OVER (PARTITION BY machine_id ORDER BY ts DESC, event_id DESC) AS rd FROM predictions)
+, st AS (SELECT machine_id, count(*) AS total_predictions, round(avg(failure_probability), 4) AS average_failure_probability,
+                CASE WHEN avg(CASE WHEN rd <= 50 THEN failure_probability END)
+                        < avg(CASE WHEN ra <= 50 THEN failure_probability END) THEN 'improving' ELSE 'declining' END AS trend,
+                max(CASE WHEN rd = 1 THEN failure_probability END) AS newest FROM n GROUP BY machine_id)
+SELECT r.machine_id, r.location, st.total_predictions, st.average_failure_probability, st.trend,
+       CAST(n.rd - 1 AS INTEGER) AS place, n.ts, n.event_id, n.failure_probability, n.torque
+FROM registry r JOIN st ON r.machine_id = st.machine_id JOIN n ON n.machine_id = r.machine_id
+WHERE st.newest >= 0.5e0 AND n.rd <= 200""", "predictions", "registry")
+
+
+def q_topic_message_rejects(spark, d):
+    """S5, the quarantine: every 37th reading also comes on a short topic, every 41st with a payload cut off."""
+    rows = fx.sensors(spark, d).select("event_id", F.format_string("factory/machines/%d/sensors", "machine_id").alias("topic"),
+                                       F.to_json(F.struct(*rules.SENSORS)).alias("payload"))
+    short = rows.filter(F.pmod("event_id", F.lit(37)) == 0).withColumn("topic", F.lit("factory/machines"))
+    cut = rows.filter(F.pmod("event_id", F.lit(41)) == 0).withColumn("payload", F.lit("{cut off"))
+    return messages.topic_message_rejects(rows.unionByName(short).unionByName(cut)).select("event_id", "topic", "reason")
+
+
+SQL_TOPIC_REJECTS = with_views("""
+SELECT event_id, 'factory/machines' AS topic, 'topic' AS reason FROM sensors WHERE event_id % 37 = 0
+UNION ALL
+SELECT event_id, printf('factory/machines/%d/sensors', machine_id), 'payload' FROM sensors WHERE event_id % 41 = 0""", "sensors")
+
+
+def q_upload_summary(spark, d):
+    """S4 result: record count and the machines of a normalised upload, read from CSV."""
+    path = files.write_csv(fx.sensors(spark, d).select("machine_id", *[F.col(c).alias(f" {c.upper()} ") for c in rules.SENSORS]),
+                           name="upload")
+    schema = T.StructType([T.StructField("machine_id", T.LongType()), *[T.StructField(f" {c.upper()} ", T.DoubleType()) for c in rules.SENSORS]])
+    upload = files.read_csv(spark, path, schema)
+    named = files.upload_normalize(upload, required=[f" {c.upper()} " for c in rules.SENSORS], now="2024-01-01 00:00:00")
+    return files.upload_summary(named).select("records", F.explode("machines").alias("machine"))
+
+
+SQL_UPLOAD_SUMMARY = with_views("""
+SELECT (SELECT count(*) FROM sensors) AS records, CAST(machine_id AS VARCHAR) AS machine FROM sensors GROUP BY machine_id""", "sensors")
+
+
 QUERIES = {
     "scan_csv": (q_scan_csv, SQL_SENSORS),
     "sink_roundtrip": (q_sink_roundtrip, SQL_SINK),
@@ -231,4 +287,7 @@ QUERIES = {
     "registry_explode": (q_registry_explode, SQL_REGISTRY),
     "machine_recent_predictions": (q_machine_recent_predictions, SQL_RECENT),
     "machine_report": (q_machine_report, SQL_REPORT),
+    "machine_lookup": (q_machine_lookup, SQL_LOOKUP),
+    "topic_message_rejects": (q_topic_message_rejects, SQL_TOPIC_REJECTS),
+    "upload_summary": (q_upload_summary, SQL_UPLOAD_SUMMARY),
 }
