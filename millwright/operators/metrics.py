@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from . import ordering
 
 
@@ -97,10 +98,8 @@ def pr_curve_thin(curve: DataFrame, target_points: int = 100) -> DataFrame:
     return out.filter(F.pmod(F.col("position"), step) == 0).drop("_n")
 
 
-def classification_report(df: DataFrame, label="machine_failure", pred="prediction",
-                          names=("Normal", "Failure")) -> DataFrame:
-    """Per-class precision/recall/F1/support, accuracy, macro and weighted averages."""
-    cm = confusion_matrix(df, label, pred)
+def _class_shares(cm: DataFrame) -> DataFrame:
+    """A confusion row with precision, recall, F1 and support per class (0, 1), accuracy and weighted means; 0 when undefined."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
 
     def safe(a, b):
@@ -111,10 +110,16 @@ def classification_report(df: DataFrame, label="machine_failure", pred="predicti
     f0, f1 = safe(2 * p0 * r0, p0 + r0), safe(2 * p1 * r1, p1 + r1)
     s0, s1 = tn + fp, tp + fn
     total = s0 + s1
-    wide = cm.select(p0.alias("p0"), r0.alias("r0"), f0.alias("f0"), s0.alias("s0"),
+    return cm.select("tn", "fp", "fn", "tp", p0.alias("p0"), r0.alias("r0"), f0.alias("f0"), s0.alias("s0"),
                      p1.alias("p1"), r1.alias("r1"), f1.alias("f1"), s1.alias("s1"), total.alias("n"),
                      safe(tp + tn, total).alias("acc"), safe(p0 * s0 + p1 * s1, total).alias("wp"),
                      safe(r0 * s0 + r1 * s1, total).alias("wr"), safe(f0 * s0 + f1 * s1, total).alias("wf"))
+
+
+def classification_report(df: DataFrame, label="machine_failure", pred="prediction",
+                          names=("Normal", "Failure")) -> DataFrame:
+    """Per-class precision/recall/F1/support, accuracy, macro and weighted averages."""
+    wide = _class_shares(confusion_matrix(df, label, pred))
     long = wide.selectExpr(
         "stack(5, "
         f"'{names[0]}', p0, r0, f0, s0, "
@@ -129,7 +134,7 @@ def classification_report(df: DataFrame, label="machine_failure", pred="predicti
 
 def evaluation_report(df: DataFrame, model_name: str, label="machine_failure", pred="prediction",
                       score="failure_probability") -> DataFrame:
-    """The report text as one row (metrics formatted to 4 places)."""
+    """E8 in short: metrics and counts as one text (``evaluation_text`` is the full one)."""
     m = classification_metrics(df, label, pred)
     s = pr_summary(df, label, score)
     row = m.crossJoin(s)
@@ -144,6 +149,45 @@ def evaluation_report(df: DataFrame, model_name: str, label="machine_failure", p
     return row.select(F.lit(model_name).alias("model"), F.concat_ws("\n", *lines).alias("report"))
 
 
+# Titles, order, widths and digits of the evaluation text.
+RULE = "=" * 60
+METRIC_TITLE, CLASS_TITLE, MATRIX_TITLE = "--- Primary Metrics ---", "--- Classification Report ---", "--- Confusion Matrix ---"
+METRIC_LINES = (("Precision:", "p1"), ("Recall:", "r1"), ("F1 Score:", "f1"), ("PR-AUC:", "pr_auc"), ("Average Precision:", "average_precision"))
+METRIC_WIDTH, CLASS_WIDTH, CELL_WIDTH = 21, 12, 10
+
+
+def evaluation_text(df: DataFrame, model_name: str, label="machine_failure", pred="prediction", score="failure_probability",
+                    names=("Normal", "Failure")) -> DataFrame:
+    """E8 in full: title, primary metrics (4 digits), report per class (2 digits) and confusion matrix as one text.
+
+    Two passes over ``df``: the confusion counts, from which all shares follow, and the curve.  Halves
+    are rounded up.  Without rows all shares are 0.
+    """
+    row = _class_shares(confusion_matrix(df, label, pred)).crossJoin(pr_summary(df, label, score))  # one row each
+
+    def cells(name, *values):
+        shown = [F.format_string(" %9.2f", rules.round_half_up(F.expr(v), 2)) if v else F.lit(" " * 10) for v in values]
+        return F.concat(F.lit(f"{name:>{CLASS_WIDTH}} "), *shown)
+
+    def counted(line, support):
+        return F.concat(line, F.format_string(" %9d", F.col(support)))
+
+    def matrix(name, *counts):
+        return F.concat(F.lit(f"{'Actual ' + name:<17}"), F.format_string(f"%{CELL_WIDTH}d{' ' * 7}%{CELL_WIDTH}d", *counts))
+    lines = [
+        F.lit(RULE), F.lit("Model Evaluation Report"), F.lit(RULE), F.lit(""), F.lit(f"Model: {model_name}"), F.lit(""),
+        F.lit(METRIC_TITLE),
+        *[F.format_string(f"{name:<{METRIC_WIDTH}}%.4f", rules.round_half_up(c, 4)) for name, c in METRIC_LINES], F.lit(""),
+        F.lit(CLASS_TITLE), F.lit(" " * (CLASS_WIDTH + 1) + "".join(f" {h:>9}" for h in ("precision", "recall", "f1-score", "support"))), F.lit(""),
+        counted(cells(names[0], "p0", "r0", "f0"), "s0"), counted(cells(names[1], "p1", "r1", "f1"), "s1"), F.lit(""),
+        counted(cells("accuracy", None, None, "acc"), "n"),
+        counted(cells("macro avg", "(p0 + p1) / 2", "(r0 + r1) / 2", "(f0 + f1) / 2"), "n"),
+        counted(cells("weighted avg", "wp", "wr", "wf"), "n"), F.lit(""),
+        F.lit(MATRIX_TITLE), F.lit(" " * 15 + f"Predicted {names[0]}  Predicted {names[1]}"),
+        matrix(names[0], "tn", "fp"), matrix(names[1], "fn", "tp")]
+    return row.select(F.lit(model_name).alias("model"), F.concat_ws("\n", *lines).alias("report"))
+
+
 def select_best(metrics: DataFrame, by: str = "pr_auc", rank_col: str = "rank") -> DataFrame:
     """M7: best row by ``by`` descending; the earliest-listed model wins ties."""
     return metrics.orderBy(F.col(by).desc(), F.col(rank_col).asc()).limit(1)

@@ -79,27 +79,6 @@ def score_linear(df: DataFrame, models: dict | None = None, chosen: str = CHOSEN
     return out
 
 
-def fitted_votes(df: DataFrame, models: dict, feature_columns: Sequence[str], chosen: str) -> DataFrame:
-    """M11 with fitted models: a vote per model, the share that agrees with the first, and the chosen score.
-
-    Missing features are filled with 0 first (P14), so live readings can be voted on as they come.
-    """
-    others = [c for c in df.columns if c not in feature_columns]
-    present = set(df.columns)
-    out = df.select(*others, *[(F.col(c).cast("double") if c in present else F.lit(0.0)).alias(c) for c in feature_columns])
-    keep = list(out.columns)
-    for name, model in models.items():
-        scored = score_model(out, model, feature_columns)
-        new = [F.col("prediction").alias(f"vote_{name}")]
-        if name == chosen:
-            new += [F.col("failure_probability").alias("_p"), F.col("prediction").alias("_v")]
-        out = scored.select(*keep, *new)
-        keep = list(out.columns)
-    votes = [f"vote_{m}" for m in models]
-    return out.withColumnsRenamed({"_p": "failure_probability", "_v": "prediction"}).select(
-        "*", rules.risk_band("failure_probability").alias("risk_level"), rules.ensemble_agreement(votes).alias("ensemble_agreement"))
-
-
 def align_features(df: DataFrame, feature_columns: Sequence[str], fill: float = 0.0) -> DataFrame:
     """Project to the model schema; missing features become ``fill``."""
     present = set(df.columns)

@@ -151,29 +151,6 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def save_artefacts(models: dict[str, PipelineModel], scores: DataFrame, feature_columns: Sequence[str], root: str) -> str:
-    """M7 + M8: every fitted model, the best one (PR-AUC, then listing order) and the metadata.
-
-    ``scores`` has one row per model: model, rank, pr_auc, f1.  The metadata is one JSON row with
-    the best model's name, the feature columns and each model's scores.
-    """
-    best = metrics.select_best(scores).first()["model"]
-    for name, model in models.items():
-        model.write().overwrite().save(f"{root}/models/{name}")
-    models[best].write().overwrite().save(f"{root}/best")
-    listed = F.collect_list(F.struct("model", "rank", "pr_auc", "f1"))
-    (scores.agg(F.array_sort(listed).alias("scores"))
-     .select(F.lit(best).alias("best_model"), F.array(*[F.lit(c) for c in feature_columns]).alias("feature_columns"), "scores")
-     .write.mode("overwrite").json(f"{root}/metadata"))
-    return best
-
-
-def load_artefacts(spark, root: str) -> tuple[dict[str, PipelineModel], dict]:
-    """The saved models by name, and the metadata."""
-    meta = spark.read.json(f"{root}/metadata").first().asDict(recursive=True)
-    return {s["model"]: load_model(f"{root}/models/{s['model']}") for s in meta["scores"]}, meta
-
-
 def pos_weight(df: DataFrame, label: str = LABEL) -> float:
     """A19 as a number: negatives / max(positives, 1)."""
     r = df.agg(F.count_if(F.col(label) == 0).alias("n"), F.count_if(F.col(label) == 1).alias("p")).first()

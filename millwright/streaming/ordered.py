@@ -22,7 +22,7 @@ from ..functions import rules
 from ..operators import features, state as state_ops
 from ..operators.bucketed import BucketedTable
 from ..operators.features import FeatureConfig
-from ..plans import scoring
+from ..plans import ensemble, scoring
 from ..sources import messages
 
 _US = "_event_us"
@@ -277,7 +277,12 @@ def live_readings(readings: DataFrame) -> DataFrame:
 
 
 def scored_features(rows: DataFrame, model, feature_columns: Sequence[str]) -> DataFrame:
-    """Rows scored by a fitted model; features that are missing or null count as 0."""
+    """Rows scored by a fitted model; features that are missing or null count as 0.
+
+    An ``Ensemble`` scales by its own scaler and columns and adds the votes of all its models (M11).
+    """
+    if isinstance(model, ensemble.Ensemble):
+        return ensemble.votes(rows, model)
     present = set(rows.columns)
     others = [c for c in rows.columns if c not in feature_columns]
     aligned = rows.select(*others, *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in present else F.lit(0.0)).alias(c)
