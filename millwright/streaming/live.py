@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import rules
 from ..operators import state as state_ops
+from ..operators.bucketed import BucketedTable
 from ..plans import scoring
 from ..session import scratch_path
 from ..sources import messages
@@ -100,6 +101,17 @@ def latest_per_machine(stream: DataFrame, order=("ts", "event_id")) -> DataFrame
         .select("machine_id", *[F.col(f"r.{c}").alias(c) for c in others])
 
 
+def latest_writer(table: BucketedTable, staging: str, order=("ts", "event_id")):
+    """K2 sink, a ``foreachBatch`` body: newest rows by ``order`` go into the buckets of their machines; a replay changes nothing.
+
+    The batch is written to ``staging`` once, so that the stream's state is not computed again for each use.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(staging)
+        table.upsert(batch.sparkSession.read.schema(batch.schema).parquet(staging), order)
+    return write
+
+
 def risk_counts(scored_stream: DataFrame) -> DataFrame:
     """K4: running counts per risk level."""
     return scored_stream.groupBy("risk_level").agg(F.count(F.lit(1)).alias("count"))

@@ -8,13 +8,13 @@ checked against the batch oracle.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import rules
+from ..operators.bucketed import BucketedTable
 from ..plans import scoring
+from ..session import scratch_path
 from ..sources import messages
 from ..streaming import live
 from .base_sql import with_views
@@ -44,11 +44,12 @@ def q_stream_ingest(spark, d):
 
 
 def q_stream_latest(spark, d):
-    name = f"k2_{uuid.uuid4().hex[:8]}"
+    """K2: the machines a batch changed replace their rows in buckets; nothing is kept on the driver."""
+    table = BucketedTable(spark, scratch_path(spark, "k2-latest"), ["machine_id"], 16)
     _sliced_run(spark, d, "k2", fx.sensors(spark, d).select(*SENSOR_COLS),
-                lambda r, src: live.latest_per_machine(src).writeStream.outputMode("complete")
-                .format("memory").queryName(name))
-    return spark.table(name).select("machine_id", "event_id", "ts", *rules.SENSORS, "type", "machine_failure")
+                lambda r, src: live.latest_per_machine(src).writeStream.outputMode("update")
+                .foreachBatch(live.latest_writer(table, f"{r.sink}-staging")))
+    return table.read().select("machine_id", "event_id", "ts", *rules.SENSORS, "type", "machine_failure")
 
 
 def q_stream_score_log(spark, d):
@@ -66,11 +67,11 @@ SELECT event_id, machine_id, ts, failure_probability, risk_level, ensemble_agree
 
 
 def q_stream_risk_counts(spark, d):
-    name = f"k4_{uuid.uuid4().hex[:8]}"
-    _sliced_run(spark, d, "k4", fx.sensors(spark, d).select(*SENSOR_COLS),
-                lambda r, src: live.risk_counts(scoring.score_linear(src)).writeStream.outputMode("complete")
-                .format("memory").queryName(name))
-    return spark.table(name)
+    run = _sliced_run(spark, d, "k4", fx.sensors(spark, d).select(*SENSOR_COLS),
+                      lambda r, src: live.risk_counts(scoring.score_linear(src)).writeStream.outputMode("update")
+                      .foreachBatch(live.batch_folder_writer(r.sink)))
+    updates = spark.read.parquet(run.sink)
+    return updates.groupBy("risk_level").agg(F.max_by("count", "batch").alias("count"))
 
 
 SQL_RISK_COUNTS = with_views("SELECT risk_level, count(*) AS count FROM predictions GROUP BY risk_level",
