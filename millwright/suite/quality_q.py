@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import rules
-from ..operators import cleaning
+from ..operators import cleaning, logs
 from ..operators.features import MODEL_FEATURES
 from ..plans import scoring
 from .base_sql import with_views
@@ -202,8 +202,7 @@ SQL_ALIGN = with_views("SELECT CAST(event_id AS DOUBLE) AS event_id, " + ", ".jo
 
 
 def q_filter_by_risk(spark, d):
-    p = fx.predictions(spark, d)
-    return p.filter(F.col("risk_level") == "CRITICAL").select("event_id", "machine_id", "ts", "failure_probability")
+    return logs.of_risk(fx.predictions(spark, d), "CRITICAL").select("event_id", "machine_id", "ts", "failure_probability")
 
 
 SQL_FILTER_RISK = with_views("""
@@ -211,8 +210,7 @@ SELECT event_id, machine_id, ts, failure_probability FROM predictions WHERE risk
 
 
 def q_filter_by_machine(spark, d):
-    p = fx.predictions(spark, d)
-    return p.filter(F.col("machine_id") == 7).select("event_id", "machine_id", "ts", "prediction", "risk_level")
+    return logs.of_machine(fx.predictions(spark, d), 7).select("event_id", "machine_id", "ts", "prediction", "risk_level")
 
 
 SQL_FILTER_MACHINE = with_views("""
@@ -221,11 +219,7 @@ SELECT event_id, machine_id, ts, prediction, risk_level FROM predictions WHERE m
 
 def q_log_at_risk_rows(spark, d):
     """P20: every predicted failure of the log with its readings (no resolved column in the log)."""
-    p = fx.predictions(spark, d).filter(F.col("prediction") == 1)
-    if "resolved" in p.columns:
-        p = p.filter(~F.col("resolved"))
-    return p.select(F.col("ts").alias("timestamp"), "machine_id", "risk_level",
-                    F.col("failure_probability").alias("avg_risk_score"), *rules.SENSORS)
+    return logs.failures_of_log(fx.predictions(spark, d))
 
 
 SQL_LOG_AT_RISK = with_views(f"""

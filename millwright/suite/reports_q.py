@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import rules
-from ..operators import attribution, ordering, reports
+from ..operators import attribution, logs, ordering, reports
 from ..plans.scoring import CHOSEN_MODEL, LINEAR_MODELS
 from .base_sql import with_views
 
@@ -349,9 +349,8 @@ SENS = ", ".join(rules.SENSORS)
 
 def q_unresolved_failures(spark, d):
     """Unresolved predicted failures, all of them; a page size belongs to the caller."""
-    mf = fx.machine_failures(spark, d)
-    return (mf.filter((F.col("resolved") == 0) & (F.col("prediction") == 1))
-            .select("id", "timestamp", "machine_id", "failure_probability", "risk_level", *rules.SENSORS))
+    return logs.unresolved_failures(fx.machine_failures(spark, d)).select(
+        "id", "timestamp", "machine_id", "failure_probability", "risk_level", *rules.SENSORS)
 
 
 SQL_UNRESOLVED = with_views(f"""
@@ -359,16 +358,8 @@ SELECT id, "timestamp", machine_id, failure_probability, risk_level, {SENS} FROM
 WHERE resolved = 0 AND prediction = 1""", "machine_failures")
 
 
-def _newest_failures(spark, d):
-    mf = fx.machine_failures(spark, d).filter((F.col("resolved") == 0) & (F.col("prediction") == 1))
-    keep = ["id", "timestamp", "risk_level", "failure_probability", *rules.SENSORS]
-    return (mf.groupBy("machine_id")
-            .agg(F.max_by(F.struct(*keep), F.struct("timestamp", "id")).alias("r"))
-            .select("machine_id", *[F.col(f"r.{c}").alias(c) for c in keep]))
-
-
 def q_newest_failure_per_machine(spark, d):
-    return _newest_failures(spark, d)
+    return logs.newest_failure_per_machine(fx.machine_failures(spark, d))
 
 
 SQL_NEWEST = with_views(f"""
@@ -379,10 +370,7 @@ QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY "timestamp" DESC, id
 
 def q_oldest_failure_per_machine(spark, d):
     """First failure per machine in log order (ascending; first wins)."""
-    p = fx.predictions(spark, d).filter(F.col("prediction") == 1)
-    keep = ["ts", "event_id", "risk_level", "failure_probability", *rules.SENSORS]
-    return (p.groupBy("machine_id").agg(F.min_by(F.struct(*keep), F.struct("ts", "event_id")).alias("r"))
-            .select("machine_id", *[F.col(f"r.{c}").alias(c) for c in keep]))
+    return logs.oldest_failure_per_machine(fx.predictions(spark, d))
 
 
 SQL_OLDEST = with_views(f"""
@@ -519,11 +507,7 @@ FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos,
 
 def q_sample_per_class(spark, d):
     """First normal and first failing row of the test part."""
-    split = ordering.time_split(fx.sensors(spark, d), ORDER, 0.2).filter(F.col("split") == "test")
-    keep = ["event_id", "ts", *rules.SENSORS]
-    return (split.groupBy("machine_failure")
-            .agg(F.min_by(F.struct(*keep), F.col("row_position")).alias("r"))
-            .select("machine_failure", *[F.col(f"r.{c}").alias(c) for c in keep]))
+    return logs.sample_per_class(fx.sensors(spark, d), ["event_id", "ts", *rules.SENSORS])
 
 
 SQL_SAMPLE = with_views(f"""
@@ -534,9 +518,7 @@ QUALIFY row_number() OVER (PARTITION BY machine_failure ORDER BY pos) = 1""", "s
 
 def q_synthetic_ts(spark, d):
     """P10: 1-minute timestamps from 2024-01-01 by row position."""
-    s = ordering.row_position(fx.sensors(spark, d).select("event_id", "ts"), ORDER, name="pos")
-    return s.select("event_id", F.timestamp_add("MINUTE", F.col("pos"), F.lit("2024-01-01 00:00:00")
-                                                .cast("timestamp_ntz")).alias("timestamp"))
+    return logs.with_synthetic_time(fx.sensors(spark, d).select("event_id", "ts"), ORDER).select("event_id", "timestamp")
 
 
 SQL_SYNTH = with_views("""
@@ -546,10 +528,7 @@ SELECT event_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(row_number()
 
 def q_assign_fleet(spark, d):
     """P16 + P17 over a table without machine ids (orders): machine = pos mod 50 + 1, row id."""
-    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
-    pos = ordering.row_position(o, ["o_orderkey"], name="pos")
-    return pos.select("o_orderkey", "o_custkey", (F.pmod(F.col("pos"), F.lit(50)) + 1).alias("machine_id"),
-                      F.format_string("MACHINE_%04d", F.col("pos") + 1).alias("row_id"))
+    return logs.with_machines(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey"), ["o_orderkey"])
 
 
 SQL_FLEET_ASSIGN = """
