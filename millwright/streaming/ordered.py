@@ -70,10 +70,17 @@ def _look_back(cfg: FeatureConfig) -> int:
     return max([w - 1 for w in cfg.windows] + [k for ks, _ in cfg.lags.values() for k in ks] + [1])
 
 
-def _rolled(values: np.ndarray, before: int, window: int, stat: str) -> np.ndarray:
-    """Statistic of the last ``window`` values at every place from ``before`` on; NaN is absent."""
-    padded = np.concatenate([np.full(window, np.nan), values])
-    seen = np.lib.stride_tricks.sliding_window_view(padded, window)[before + 1:]
+def _earlier(values: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The value ``k`` rows before, NaN where the run (``place`` counts its rows from 0) has none."""
+    out = np.full(len(values), np.nan)
+    if k < len(values):
+        out[k:] = np.where(place[k:] >= k, values[:len(values) - k], np.nan)
+    return out
+
+
+def _rolled(values: np.ndarray, place: np.ndarray, window: int, stat: str) -> np.ndarray:
+    """Statistic of the last ``window`` values of the run at every row; NaN is absent."""
+    seen = np.stack([_earlier(values, place, k) for k in range(window - 1, -1, -1)], axis=1)
     present = ~np.isnan(seen)
     n = present.sum(axis=1)
     if stat in ("min", "max"):
@@ -86,59 +93,108 @@ def _rolled(values: np.ndarray, before: int, window: int, stat: str) -> np.ndarr
     return np.where(n > 1, np.sqrt(spread / np.maximum(n - 1, 1)), np.nan)
 
 
-def _features_of(rows: pd.DataFrame, past: dict, sums: dict, cfg: FeatureConfig, folds: dict) -> tuple[pd.DataFrame, dict, dict]:
-    """Features of ordered rows after ``past`` values and exponential ``sums``; both as they are afterwards."""
-    out, kept, carried = rows.copy(), {}, {}
-    n = _look_back(cfg)
+def _starts(rows: pd.DataFrame, key: str) -> np.ndarray:
+    """Whether a row of rows in order of the key is its key's first."""
+    k = rows[key].to_numpy()
+    return np.concatenate([[True], k[1:] != k[:-1]])[:len(k)]
+
+
+def _from_end(first: np.ndarray) -> np.ndarray:
+    """Rows that follow in the same key, given its first rows."""
+    ends = np.append(np.flatnonzero(first)[1:], len(first))
+    return ends[np.cumsum(first) - 1] - 1 - np.arange(len(first))
+
+
+def _features_of(ready: pd.DataFrame, past: pd.DataFrame | None, cfg: FeatureConfig, folds: dict, key: str, idle_us: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Features of the ordered rows of many machines after the rows of ``past``; and each machine's last rows then.
+
+    A run is the rows of a machine without a gap of more than ``idle_us``; no feature looks beyond its run.
+    """
+    held = sorted({c for c in [*cfg.rolling, *cfg.lags] if c in ready})
+    sums = {c: (f"_n_{name}", f"_d_{name}") for c, (_, name) in cfg.ewm.items() if c in ready}
+    both = ready[[key, _US, *dict.fromkeys([*held, *sums])]].assign(_row=np.arange(len(ready)))
+    if past is not None:
+        both = pd.concat([past.assign(_row=-1), both], ignore_index=True).sort_values(key, kind="stable", ignore_index=True)
+    row = both["_row"].to_numpy()
+    now, n = row >= 0, len(both)
+    first = _starts(both, key)
+    begins = first | (np.diff(both[_US].to_numpy(), prepend=0) > idle_us)
+    starts = np.flatnonzero(begins)
+    place = np.arange(n) - starts[np.cumsum(begins) - 1]
+    made, kept = {}, {key: both[key], _US: both[_US]}
 
     def column(c):
-        return np.concatenate([past.get(c, np.empty(0)), rows[c].to_numpy(dtype=float, na_value=np.nan)])
+        return both[c].to_numpy(dtype=float, na_value=np.nan)
+    for c in held:
+        kept[c] = column(c)
     for w in cfg.windows:
         for c, (stats, prefix) in cfg.rolling.items():
-            if c in rows:
-                x = column(c)
-                kept[c] = x[-n:]
-                for stat in stats:
-                    out[f"{prefix}_{stat}_{w}"] = _rolled(x, len(x) - len(rows), w, stat)
+            for stat in stats if c in ready else ():
+                made[f"{prefix}_{stat}_{w}"] = _rolled(kept[c], place, w, stat)
     for c, (ks, prefix) in cfg.lags.items():
-        if c in rows:
-            x = column(c)
-            kept[c] = x[-n:]
-            for k in ks:
-                out[f"{prefix}_lag{k}"] = np.concatenate([np.full(k, np.nan), x])[len(x) - len(rows):len(x)]
+        for k in ks if c in ready else ():
+            made[f"{prefix}_lag{k}"] = _earlier(kept[c], place, k)
+    bounds = [*starts.tolist(), n]
+    fresh = np.add.reduceat(now, starts).tolist()             # rows of a run that are not past ones: its last
     for c, (_, name) in cfg.ewm.items():
-        if c in rows:
-            total, weight = features._ewm_fold(rows[c].to_numpy(dtype=float, na_value=np.nan), sums.get(name, (0.0, 0.0)), *folds[name])
-            out[name] = np.divide(total, weight, out=np.full(len(total), np.nan), where=weight > 0)
-            carried[name] = (float(total[-1]), float(weight[-1]))
-    return out, kept, carried
+        if c not in ready:
+            continue
+        x = column(c)
+        total, weight = (np.zeros(n) if past is None else column(s) for s in sums[c])
+        for a, b, size in zip(bounds[:-1], bounds[1:], fresh):
+            if size:
+                at = b - size
+                before = (total[at - 1], weight[at - 1]) if at > a else (0.0, 0.0)
+                total[at:b], weight[at:b] = features._ewm_fold(x[at:b], before, *folds[name])
+        made[name] = np.divide(total, weight, out=np.full(n, np.nan), where=weight > 0)
+        kept[c], kept[sums[c][0]], kept[sums[c][1]] = x, total, weight
+    out = ready.copy()
+    for name, values in made.items():
+        out[name] = values[now][np.argsort(row[now], kind="stable")]
+    return out, pd.DataFrame(kept)[_from_end(first) < _look_back(cfg)]
 
 
-_FEATURE_STATE = T.StructType([
-    T.StructField("waiting", T.BinaryType()), T.StructField("past", T.ArrayType(T.DoubleType())),
-    T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("last_us", T.LongType())])
+_FEATURE_STATE = T.StructType([T.StructField("waiting", T.BinaryType()), T.StructField("past", T.BinaryType())])
+#: Groups of machines that share a state; a checkpoint keeps the number it began with.
+GROUPS = 256
+
+
+def _grouped(timed: DataFrame, key: str, groups: int):
+    """Machines dealt to ``groups`` by hash: a call of the state function takes all rows of a group, not of one machine."""
+    return timed.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).groupBy("_group")
+
+
+def _ordered(rows: pd.DataFrame, key: str, id_col: str) -> pd.DataFrame:
+    """Rows by machine, time and id; of equal ones the first."""
+    by = [key, _US, id_col]
+    return rows.sort_values(by, kind="stable").drop_duplicates(by)
+
+
+def _alive(rows: pd.DataFrame, last: np.ndarray, idle_us: int, watermark: int) -> tuple[pd.DataFrame, int | None]:
+    """Rows of the machines that the watermark has not left behind by ``idle_us``, and when the next one is (ms)."""
+    end = -(-(last + idle_us) // 1000)
+    stays = end >= watermark
+    return rows[stays], int(end[stays].min()) if stays.any() else None
 
 
 def ordered_features(stream: DataFrame, delay: str = "1 hour", idle: str = "7 days", cfg: FeatureConfig | None = None,
-                     ts_col: str = "ts", id_col: str = "event_id", key: str = "machine_id") -> DataFrame:
+                     ts_col: str = "ts", id_col: str = "event_id", key: str = "machine_id", groups: int = GROUPS) -> DataFrame:
     """K6: rolling, lag, exponential and derived features of each machine in event-time order.
 
-    Rows wait in the machine's state until the watermark is past them, are put in order of (time, id) over
+    Rows wait in the state of their machine's group until the watermark is past them, are put in order of (time, id) over
     all micro-batches, and leave by data or by timer with the same features that the batch pipeline
     gives before its null repair.  Of rows with one time and id the first stays, so a message that is
     delivered again changes nothing.  Rows without key, time or id are left out (``live_rejects`` keeps them).
 
     A machine whose next row comes more than ``idle`` after the one before starts anew, and once the watermark
-    is that far its state goes, so neither the cut into micro-batches nor the timer changes a result.  Until
-    then the state holds its rows of the last ``delay``, the last look-back values (a fixed number, NaN where there
-    are fewer) and two sums per exponential mean.  Rows still waiting when a bounded run ends stay in the checkpoint for the next run.
+    is that far its rows go from the state, so neither the cut into micro-batches nor the timer changes a result.  Until
+    then the state holds its rows of the last ``delay`` and its last look-back rows (a fixed number) with two
+    sums per exponential mean.  The machines of one of the ``groups`` are computed together.  Rows still waiting
+    when a bounded run ends stay in the checkpoint for the next run.
     """
     cfg = cfg or FeatureConfig()
     columns, idle_us = stream.columns, _seconds(idle) * 1_000_000
     names = _names(cfg, columns)
-    held = sorted({c for c in [*cfg.rolling, *cfg.lags] if c in columns})
-    smoothed = [name for c, (_, name) in cfg.ewm.items() if c in columns]
-    n = _look_back(cfg)
     folds = {}
     away = np.arange(features.EWM_BLOCK)[:, None] - np.arange(features.EWM_BLOCK)[None, :]
     for _, (span, name) in cfg.ewm.items():
@@ -146,42 +202,35 @@ def ordered_features(stream: DataFrame, delay: str = "1 hour", idle: str = "7 da
         folds[name] = (q ** np.arange(features.EWM_BLOCK + 1), np.where(away >= 0, q ** np.maximum(away, 0), 0.0))
 
     def fn(group, frames: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, past, sums, last = st.get if st.exists else (None, [], [], None)
+        waiting, past = st.get if st.exists else (None, None)
         parts = [*_unpack(waiting), *([] if st.hasTimedOut else [f[[*columns, _US]] for f in frames])]
-        watermark = st.getCurrentWatermarkMs()
-        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else (parts[0] if parts else None)
-        if rows is None:                                     # nothing waits and nothing came: the machine is idle
+        past = (_unpack(past) or [None])[0]
+        watermark, wakes = st.getCurrentWatermarkMs(), []
+        later = None
+        if parts:
+            rows = _ordered(pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0], key, id_col)
+            due = -(-rows[_US] // 1000) < watermark          # whole milliseconds, as the watermark has them
+            ready, later = rows[due].reset_index(drop=True), rows[~due]
+            if len(ready):
+                out, past = _features_of(ready, past, cfg, folds, key, idle_us)
+                out = out.drop(columns=_US)
+                out[names] = out[names].astype("Float64").mask(out[names].isna())
+                yield out
+            if len(later):
+                wakes.append(-(-int(later[_US].min()) // 1000))
+        if past is not None:
+            last = past[_US].to_numpy()
+            past, end = _alive(past, last[np.arange(len(past)) + _from_end(_starts(past, key))], idle_us, watermark)
+            wakes += [end] if len(past) else []
+        if not wakes:                                        # nothing waits and all machines are idle
             st.remove()
             return
-        rows = rows.sort_values([_US, id_col], kind="stable").drop_duplicates([_US, id_col])
-        due = -(-rows[_US] // 1000) < watermark              # whole milliseconds, as the watermark has them
-        ready, later = rows[due], rows[~due]
-        if len(ready):
-            size = len(past) // max(1, len(held))
-            before = {c: np.array(past[i * size:(i + 1) * size], dtype=float) for i, c in enumerate(held)}
-            totals = {name: (sums[2 * i], sums[2 * i + 1]) for i, name in enumerate(smoothed)} if sums else {}
-            times = ready[_US].to_numpy()
-            gaps = np.diff(times, prepend=times[0] if last is None else last) > idle_us
-            done = []
-            for a, b in zip([0, *np.flatnonzero(gaps)], [*np.flatnonzero(gaps), len(ready)]):
-                if b > a:
-                    if gaps[a]:
-                        before, totals = {}, {}
-                    out, before, totals = _features_of(ready.iloc[a:b], before, totals, cfg, folds)
-                    done.append(out)
-            past = [float(v) for c in held for v in np.concatenate([np.full(n, np.nan), before[c]])[-n:]]
-            sums = [v for name in smoothed for v in totals[name]]
-            last = int(times[-1])
-            out = pd.concat(done, ignore_index=True).drop(columns=_US)
-            out[names] = out[names].astype("Float64").mask(out[names].isna())
-            yield out
-        st.update((_pack(later) if len(later) else None, past, sums, last))
-        wake = -(-int(later[_US].iloc[0]) // 1000) if len(later) else -(-(last + idle_us) // 1000)
-        st.setTimeoutTimestamp(max(wake, watermark, 1))
+        st.update((_pack(later) if later is not None and len(later) else None, _pack(past) if past is not None and len(past) else None))
+        st.setTimeoutTimestamp(max(min(wakes), watermark, 1))
 
     schema = T.StructType([*stream.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names]])
     timed = _with_event_time(stream, ts_col, delay, [key, ts_col, id_col])
-    return features.derived(timed.groupBy(key).applyInPandasWithState(
+    return features.derived(_grouped(timed, key, groups).applyInPandasWithState(
         fn, schema, _FEATURE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
@@ -203,38 +252,42 @@ def latest_per_unit(stream: DataFrame, unit: str = "1 second", delay: str = "1 h
     return best.select(*[F.col(f"_r.`{c}`").alias(c) for c in columns])
 
 
-_WINDOW_STATE = T.StructType([T.StructField("rows", T.BinaryType()), T.StructField("last_us", T.LongType())])
+_WINDOW_STATE = T.StructType([T.StructField("rows", T.BinaryType())])
 
 
 def last_n(stream: DataFrame, n: int = 30, delay: str = "1 hour", idle: str = "7 days", ts_col: str = "ts",
-           id_col: str = "event_id", key: str = "machine_id") -> DataFrame:
+           id_col: str = "event_id", key: str = "machine_id", groups: int = GROUPS) -> DataFrame:
     """K8: the newest ``n`` readings of each machine by (time, id), kept in the stream's state.
 
     Update mode: a machine whose window changed emits its whole window, so a sink replaces the machine's rows
     (``window_writer``).  Readings more than ``idle`` before the newest one are not in the window, so the state (``n``
-    rows per machine) can go when the watermark is that far past it; the rows in the sink stay.  A repeated (time, id) is one row.  Rows without key, time or id are left out.
+    rows per machine) can go when the watermark is that far past it; the rows in the sink stay.  A repeated (time, id)
+    is one row.  Rows without key, time or id are left out.  The machines of one of the ``groups`` share a state.
     """
     columns, idle_us = stream.columns, _seconds(idle) * 1_000_000
 
     def fn(group, frames: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        if st.hasTimedOut:
+        held = _unpack(st.get[0]) if st.exists else []
+        window = held[0].assign(_new=False) if held else None
+        for frame in () if st.hasTimedOut else frames:       # n rows of each machine and one frame at a time
+            rows = frame[[*columns, _US]].assign(_new=True)
+            window = _ordered(rows if window is None else pd.concat([window, rows], ignore_index=True), key, id_col)
+            behind, times = _from_end(_starts(window, key)), window[_US].to_numpy()
+            window = window[(behind < n) & (times >= times[np.arange(len(times)) + behind] - idle_us)]
+        times = window[_US].to_numpy()
+        first = _starts(window, key)
+        changed = np.logical_or.reduceat(window["_new"].to_numpy(bool), np.flatnonzero(first))[np.cumsum(first) - 1]
+        if changed.any():
+            yield window.loc[changed, columns]
+        window, end = _alive(window, times[np.arange(len(times)) + _from_end(first)], idle_us, st.getCurrentWatermarkMs())
+        if end is None:
             st.remove()
             return
-        held = _unpack(st.get[0]) if st.exists else []
-        window = held[0] if held else None
-        for frame in frames:                                 # n rows and one frame at a time
-            rows = frame[[*columns, _US]] if window is None else pd.concat([window, frame[[*columns, _US]]], ignore_index=True)
-            window = rows.sort_values([_US, id_col], kind="stable").drop_duplicates([_US, id_col]).tail(n)
-            window = window[window[_US] >= window[_US].iloc[-1] - idle_us]
-        last = int(window[_US].iloc[-1])
-        changed = not held or not window[[_US, id_col]].reset_index(drop=True).equals(held[0][[_US, id_col]].reset_index(drop=True))
-        st.update((_pack(window), last))
-        st.setTimeoutTimestamp(max(-(-(last + idle_us) // 1000), st.getCurrentWatermarkMs(), 1))
-        if changed:
-            yield window[columns]
+        st.update((_pack(window.drop(columns="_new")),))
+        st.setTimeoutTimestamp(max(end, st.getCurrentWatermarkMs(), 1))
 
     timed = _with_event_time(stream, ts_col, delay, [key, ts_col, id_col])
-    return timed.groupBy(key).applyInPandasWithState(fn, stream.schema, _WINDOW_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return _grouped(timed, key, groups).applyInPandasWithState(fn, stream.schema, _WINDOW_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def window_writer(table: BucketedTable, staging: str, key: str = "machine_id"):
