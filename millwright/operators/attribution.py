@@ -253,7 +253,7 @@ def path_attributions(x, paths: list[tuple], n_features: int):
     For a leaf with m features, feature k gets (follows_k - ratio_k) * value times the sum over
     subsets S of the others of |S|! (m - 1 - |S|)! / m! * prod of follows in S * prod of ratios
     outside S.  The products by subset size are the coefficients of prod (ratio_j + follows_j t); they
-    are taken once per pattern of followed features that occurs among the rows.
+    are taken once per pattern of followed features: of all patterns where these are fewer than the rows, else of those that occur.
     """
     from math import factorial
 
@@ -265,7 +265,7 @@ def path_attributions(x, paths: list[tuple], n_features: int):
         for k in range(m):
             column = x[:, features[k]]
             pattern |= ((column > low[k]) & (column <= high[k])).astype(np.int64) << k
-        seen, of = np.unique(pattern, return_inverse=True)
+        seen, of = (np.arange(1 << m), pattern) if 1 << m <= len(x) else np.unique(pattern, return_inverse=True)
         follows = ((seen[:, None] >> np.arange(m)) & 1).astype(float)
         share = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
         part = np.empty((len(seen), m))
