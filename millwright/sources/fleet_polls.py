@@ -24,13 +24,18 @@ FORMAT = "fleet_polls"
 DOCUMENT_COLUMNS = "poll long, document string"
 #: Text handed to Spark at once, in documents and bytes (a longer document goes alone).
 BATCH_DOCUMENTS, BATCH_BYTES = 1024, 4 << 20
+#: A landed file is read by a task per so many bytes; compressed files are read as a whole.
+SPLIT_BYTES = 4 << 20
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".br")
 
 
 @dataclass
 class PollFile(InputPartition):
-    """One landed file of a poll: a task of the stream."""
+    """A landed file of a poll, or its lines that begin at bytes from ``start`` to before ``end``: a task of the stream."""
     poll: int
     path: str
+    start: int = 0
+    end: int | None = None
 
 
 def _file_system(path: str):
@@ -60,13 +65,18 @@ def complete_polls(root: str, after: int = 0) -> int:
 
 
 def _poll_files(root: str, first: int, last: int) -> list[PollFile]:
-    folder = root.rstrip("/")
-    return [PollFile(n, posixpath.join(poll_folder(folder, n), i.base_name)) for n in range(first, last + 1)
-            for i in sorted(_listed(poll_folder(folder, n), True), key=lambda i: i.base_name) if i.base_name[:1] not in "._" and i.size]
+    folder, out = root.rstrip("/"), []
+    for n in range(first, last + 1):
+        for i in sorted(_listed(poll_folder(folder, n), True), key=lambda i: i.base_name):
+            if i.base_name[:1] not in "._" and i.size:
+                step = i.size if i.base_name.endswith(COMPRESSED) else SPLIT_BYTES
+                path = posixpath.join(poll_folder(folder, n), i.base_name)
+                out += [PollFile(n, path, a, a + step if a + step < i.size else None) for a in range(0, i.size, step)]
+    return out
 
 
 def _documents(partition: PollFile) -> Iterator:
-    """Arrow batches of a file's lines; blank lines are no documents."""
+    """Arrow batches of the lines of a file or a part of it; blank lines are no documents."""
     import io
 
     import pyarrow as pa
@@ -74,9 +84,16 @@ def _documents(partition: PollFile) -> Iterator:
 
     def batch(lines):
         return pa.RecordBatch.from_arrays([pa.array([partition.poll] * len(lines), pa.int64()), pa.array(lines, pa.string())], ["poll", "document"])
-    with system.open_input_stream(inner) as stream:
-        lines, size = [], 0
-        for raw in io.BufferedReader(stream):
+    whole = partition.start == 0 and partition.end is None
+    with system.open_input_stream(inner) if whole else system.open_input_file(inner) as stream:
+        reader, lines, size, at = io.BufferedReader(stream), [], 0, 0
+        if partition.start:                                  # the line that runs over the start belongs to the part before
+            reader.seek(partition.start - 1)
+            at = partition.start - 1 + len(reader.readline())
+        for raw in reader:
+            if partition.end is not None and at >= partition.end:
+                break
+            at += len(raw)
             text = raw.decode("utf-8", "replace").strip()
             if not text:
                 continue
@@ -159,20 +176,25 @@ def fleet_readings(documents: DataFrame) -> DataFrame:
     """
     text = F.col("document")
     whole = F.from_json(text, "machines string, fetched_at timestamp_ntz")
-    parsed = documents.select("poll", text.alias("_text"), whole.alias("_d"))
-    entries = F.from_json(F.col("_d.machines"), "array<string>")
-    is_object = F.coalesce(F.get_json_object("_text", "$").startswith("{"), F.lit(False))
-    is_list = F.coalesce(F.trim(F.col("_d.machines")).startswith("["), F.lit(False)) & entries.isNotNull()
-    broken = F.when(~is_object, F.lit("json")).when(~is_list, F.lit("machines"))
-    rows = parsed.select("poll", "_text", "_d.fetched_at", broken.alias("_broken"),
-                         F.explode(F.when(broken.isNull(), entries).otherwise(F.array(F.lit(None).cast("string")))).alias("_entry"))
-    fields = F.from_json(F.col("_entry"), messages.FLEET_ENTRY)
-    object_entry = F.coalesce(F.trim("_entry").startswith("{"), F.lit(False))
-    machine = F.get_json_object("_entry", "$.machine_id")
-    reason = (F.when(F.col("_broken").isNotNull(), F.col("_broken")).when(~object_entry, F.lit("entry"))
-              .when(F.coalesce(F.trim(machine), F.lit("")) == "", F.lit("machine")))
-    out = rows.select("poll", F.col("fetched_at").alias("timestamp"), fields.alias("_f"), reason.alias("reason"),
-                      F.when(F.col("_broken").isNotNull(), F.col("_text")).otherwise(F.col("_entry")).alias("_about"))
+    is_object = F.coalesce(F.get_json_object(text, "$").startswith("{"), F.lit(False))
+    # Every text is parsed in a generator, so once: projections above it only take the fields.
+    parsed = documents.select("poll", text.alias("_text"), F.explode(F.array(F.struct(whole.alias("d"), is_object.alias("object")))).alias("_p"))
+    machines = F.col("_p.d.machines")
+    is_list = F.col("_p.object") & F.coalesce(F.trim(machines).startswith("["), F.lit(False))
+
+    def parts(entry, broken):
+        return F.struct(F.lit(broken).alias("broken"), entry.alias("text"), F.from_json(entry, messages.FLEET_ENTRY).alias("f"),
+                        F.get_json_object(entry, "$.machine_id").alias("machine"))
+    entries = F.transform(F.when(is_list, F.from_json(machines, "array<string>")), lambda entry: parts(entry, False))
+    none = F.array(parts(F.lit(None).cast("string"), True))
+    rows = parsed.select("poll", "_text", F.col("_p.d.fetched_at").alias("fetched_at"), F.col("_p.object").alias("_object"),
+                         F.explode(F.coalesce(entries, none)).alias("_e"))
+    broken = F.col("_e.broken")
+    object_entry = F.coalesce(F.trim("_e.text").startswith("{"), F.lit(False))
+    reason = (F.when(broken & ~F.col("_object"), F.lit("json")).when(broken, F.lit("machines")).when(~object_entry, F.lit("entry"))
+              .when(F.coalesce(F.trim("_e.machine"), F.lit("")) == "", F.lit("machine")))
+    out = rows.select("poll", F.col("fetched_at").alias("timestamp"), F.col("_e.f").alias("_f"), reason.alias("reason"),
+                      F.when(broken, F.col("_text")).otherwise(F.col("_e.text")).alias("_about"))
     kept = F.col("reason").isNull()
     return out.select("poll", *[F.when(kept, F.col(f"_f.{c}")).alias(c) for c in ("machine_id", *rules.SENSORS)], "timestamp",
                       "reason", F.when(~kept, F.col("_about")).alias("document"))

@@ -82,3 +82,20 @@ def test_an_empty_folder_is_an_empty_stream(spark):
     r = live.StreamRun(spark, "fleet-empty")
     run(spark, root, r)
     assert fleet_polls.fleet_documents(spark, root, stream=False).isEmpty()
+
+
+def test_a_file_is_read_in_parts_and_every_line_once(tmp_path, monkeypatch):
+    """Parts of any size, lines longer than a part, blank lines, and a compressed file as a whole."""
+    import gzip
+    folder = tmp_path / "poll=1"
+    folder.mkdir()
+    lines = [f"{i}:" + "x\u00e4" * (i * 7 % 40) for i in range(60)]
+    (folder / "part-0.txt").write_bytes("\n".join([*lines[:30], "", *lines[30:]]).encode())
+    (folder / "part-1.txt.gz").write_bytes(gzip.compress(b"last\nbut one\n"))
+    (folder / "_SUCCESS").touch()
+    for size in (1, 5, 64, 100, 1 << 20):
+        monkeypatch.setattr(fleet_polls, "SPLIT_BYTES", size)
+        files = fleet_polls._poll_files(f"file://{tmp_path}", 1, 1)
+        got = [t for f in files for b in fleet_polls._documents(f) for t in b.column(1).to_pylist()]
+        assert got == [*lines, "last", "but one"]
+        assert size > 100 or len(files) > 10
