@@ -96,6 +96,26 @@ def test_windows_of_machines_replace_themselves(spark):
     assert sorted(r["event_id"] for r in table.read().collect()) == sorted(r["event_id"] for r in want.collect())
 
 
+def test_machines_of_a_group_share_a_state(spark):
+    """Two states for 60 machines, with a gap that starts some of them anew, give what batch features give."""
+    rows = [(i, i % 60, f"2024-01-{1 + i // 60 + (9 if i % 60 < 20 and i >= 300 else 0):02d} {i % 24:02d}:00:00", float(i * 7 % 50)) for i in range(600)]
+    s = spark.createDataFrame(rows, "event_id long, machine_id long, t string, air_temp double").select(
+        "event_id", "machine_id", F.col("t").cast("timestamp_ntz").alias("ts"), "air_temp")
+    run = live.StreamRun(spark, "groups")
+    for part in (s.filter("event_id < 300"), s.filter("event_id >= 300")):
+        run.land(part)
+        query = ordered.ordered_features(run.source(s.schema), "1 hour", "5 days", groups=2).writeStream.outputMode("append") \
+            .format("parquet").option("path", run.sink).option("checkpointLocation", run.checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.exception() is None and max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) == 2
+    parted = s.withColumn("run", F.when(F.expr("machine_id < 20 and event_id >= 300"), 1).otherwise(0))
+    want = {r["event_id"]: r for r in features.feature_pipeline(parted, partition_by=["machine_id", "run"], mode="native", fill=False).collect()}
+    got = spark.read.parquet(run.sink).collect()
+    assert len(got) > 550 and len({r["event_id"] for r in got}) == len(got)
+    for r in got:
+        assert all(close(r[c], want[r["event_id"]][c]) for c in ("air_temp_mean_6", "air_temp_lag1", "air_temp_lag2")), r
+
+
 def test_live_path_scores_logs_registers_and_rejects(spark):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import NaiveBayes
