@@ -290,12 +290,28 @@ def tree_expected_value(trees, weights) -> float:
     return base
 
 
+TABLE_CELLS = 1 << 23
+
+
+def _plain_paths(paths: list[tuple]) -> bytes:
+    """The leaf-path table as ``Trees.java`` reads it."""
+    import struct
+
+    import numpy as np
+    sizes = np.array([len(p[0]) for p in paths], "<i4")
+    out = [struct.pack("<2i", len(paths), int(sizes.sum())), sizes.tobytes()]
+    out += [b"".join(np.asarray(p[i]).astype(kind).tobytes() for p in paths) for i, kind in enumerate(("<i4", "<f8", "<f8", "<f8"))]
+    out.append(np.array([p[4] for p in paths], "<f8").tobytes())
+    return b"".join(out)
+
+
 def tree_attribution(df: DataFrame, model, features: Sequence[str], id_col: str = "event_id") -> DataFrame:
     """Exact path-dependent Shapley values of a boosted margin for every row.
 
-    ``model`` is a ``boosting.BoostedModel`` or a fitted Spark ML GBT.  Its leaf-path table (bounded
-    by the model) travels in the task closure; every Arrow batch is evaluated as a whole, no row by
-    itself.  Output: (id, feature, phi) plus one ``__base__`` row per id holding the expected value,
+    ``model`` is a ``boosting.BoostedModel`` or a fitted Spark ML GBT.  What a leaf gives for every
+    pattern of followed features is worked out once and broadcast, if there are at most ``TABLE_CELLS``
+    of these numbers, and looked up row by row in the JVM; else the leaf-path table (bounded by the
+    model) travels in the task closure, and every Arrow batch is evaluated as a whole.  Output: (id, feature, phi) plus one ``__base__`` row per id holding the expected value,
     so that the values and the base add up to the margin of every row.  A null feature counts as
     smaller than all values for a ``BoostedModel`` and as larger for Spark ML.
     """
@@ -305,9 +321,17 @@ def tree_attribution(df: DataFrame, model, features: Sequence[str], id_col: str
     trees, weights = ensemble_of(model)
     base = tree_expected_value(trees, weights)
     paths = leaf_paths(trees, weights)
-    names = list(features)
+    names, spark = list(features), df.sparkSession
     missing = -1.7976931348623157e308 if hasattr(model, "settings") else float("inf")
 
+    if sum(len(p[0]) << len(p[0]) for p in paths) <= TABLE_CELLS:
+        from ..plans import jvm
+        row = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in names])
+        phi = jvm.column(jvm.trees(spark).shares, spark.sparkContext._jsc, _plain_paths(paths), len(names), missing, base, row)
+        named = F.array(*[F.lit(c) for c in [*names, "__base__"]])
+        long = df.select(id_col, phi.alias("_phi")).select(id_col, F.posexplode("_phi").alias("_at", "phi"))
+        return long.select(id_col, named[F.col("_at")].alias("feature"), "phi")
+
     def run(batches):
         for batch in batches:
             x = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))], axis=1)

@@ -154,3 +154,18 @@ def test_kernel_values_equal_all_subsets_and_add_up_on_a_fitted_model(spark):
     some = attribution.kernel_shapley(rows, NAMES, score, df, n_background=9, n_coalitions=10, order_by=["event_id"], value="margin_m")
     total = some.groupBy("event_id").sum("phi").orderBy("event_id").toPandas()["sum(phi)"]
     np.testing.assert_allclose(total, model.margins(x[50:]) - model.margins(x[:9]).mean(), atol=1e-9)
+
+
+def test_looked_up_shares_equal_those_of_whole_batches_without_python(spark, monkeypatch):
+    x, _, df = _frame(spark, 120)
+    df = df.withColumn(NAMES[1], F.when(F.col("event_id") % 7 > 0, F.col(NAMES[1])))
+    model = boosting.fit_boosted(df, NAMES, [boosting.Settings(rounds=6, max_depth=5, pos_weight=2.0)])[0]
+    fast = attribution.tree_attribution(df, model, NAMES)
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapIn" not in plan
+    monkeypatch.setattr(attribution, "TABLE_CELLS", 0)
+    slow = attribution.tree_attribution(df, model, NAMES)
+    assert fast.columns == slow.columns and fast.dtypes == slow.dtypes
+    a, b = (t.orderBy("event_id", "feature").toPandas() for t in (fast, slow))
+    assert a[["event_id", "feature"]].equals(b[["event_id", "feature"]])
+    np.testing.assert_allclose(a["phi"], b["phi"], atol=1e-12)
