@@ -310,7 +310,7 @@ def tree_attribution(df: DataFrame, model, features: Sequence[str], id_col: str
 
     ``model`` is a ``boosting.BoostedModel`` or a fitted Spark ML GBT.  What a leaf gives for every
     pattern of followed features is worked out once and broadcast, if there are at most ``TABLE_CELLS``
-    of these numbers, and looked up row by row in the JVM; else the leaf-path table (bounded by the
+    of these numbers, and looked up in the JVM, many rows at a time and leaf by leaf; else the leaf-path table (bounded by the
     model) travels in the task closure, and every Arrow batch is evaluated as a whole.  Output: (id, feature, phi) plus one ``__base__`` row per id holding the expected value,
     so that the values and the base add up to the margin of every row.  A null feature counts as
     smaller than all values for a ``BoostedModel`` and as larger for Spark ML.
@@ -325,12 +325,14 @@ def tree_attribution(df: DataFrame, model, features: Sequence[str], id_col: str
     missing = -1.7976931348623157e308 if hasattr(model, "settings") else float("inf")
 
     if sum(len(p[0]) << len(p[0]) for p in paths) <= TABLE_CELLS:
+        from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
         from ..plans import jvm
-        row = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in names])
-        phi = jvm.column(jvm.trees(spark).shares, spark.sparkContext._jsc, _plain_paths(paths), len(names), missing, base, row)
+        rows = df.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"_{i}") for i, c in enumerate(names)])
+        made = jvm.trees(spark).shares(spark.sparkContext._jsc, rows._jdf.toJavaRDD(), _plain_paths(paths), len(names), missing, base)
+        phi = jvm.frame(spark, made, StructType([rows.schema[id_col], StructField("_phi", ArrayType(DoubleType(), False), False)]))
         named = F.array(*[F.lit(c) for c in [*names, "__base__"]])
-        long = df.select(id_col, phi.alias("_phi")).select(id_col, F.posexplode("_phi").alias("_at", "phi"))
-        return long.select(id_col, named[F.col("_at")].alias("feature"), "phi")
+        return phi.select(id_col, F.posexplode("_phi").alias("_at", "phi")).select(id_col, named[F.col("_at")].alias("feature"), "phi")
 
     def run(batches):
         for batch in batches:
